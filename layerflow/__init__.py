@@ -1,5 +1,9 @@
 """Layered data preparation with DataFrames in and DataFrames out."""
 
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
 from layerflow.functions.documents import explode_object, json_collect, referenced_fields
 from layerflow.operators.aggregates import aggregate, classify_max, recompute_check, rollup_grain
 from layerflow.operators.clean import (
@@ -84,4 +88,8 @@ from layerflow.sources import (
 )
 from layerflow.streaming.incremental import incremental_stream
 
+# Python functions of this package travel to the workers by value, so that script steps run
+# on executors that do not have the package installed.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+
 __all__ = [name for name in dir() if not name.startswith("_")]

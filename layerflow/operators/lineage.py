@@ -1,10 +1,10 @@
 """Lineage over edge tables ``(src, dst[, ns])``.
 
-Walks go round by round: each round is a join of a frontier with the edges, written to the
-shared folder, so a lost executor repeats one read and plans stay short. The edges stay where
-they are while the frontier is measured to be small enough to broadcast; a larger frontier is
-shuffled, and the adaptive skew join spreads nodes with very many edges. What has been seen is
-kept as a table and never returns to the driver.
+Walks go round by round. Each round joins a frontier with the edges, groups once to drop what
+is known, and writes the new frontier to the shared folder, so a lost executor repeats one
+read and plans stay short. Spark knows the size of a written frontier: a small one is
+broadcast and the edges stay where they are; a large one is shuffled, and the adaptive skew
+join spreads nodes with very many edges. Nothing seen on the way returns to the driver.
 """
 
 from __future__ import annotations
@@ -20,17 +20,10 @@ from layerflow.session import cut
 
 # Fixed value: the namespace of an edge that names none.
 DEFAULT_NS = "Default"
-# Rows of a measured frontier up to which it is sent to every executor.
-BROADCAST_ROWS = 200_000
 # Rounds after which the table of seen rows is written in one piece again.
 REWRITE_EVERY = 10
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """A materialised table, marked for broadcast when it is measured to be small."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _links(edges: DataFrame) -> DataFrame:
     """Distinct edges. They lie spread by (src, dst), so a node with very many edges does
     not weigh on one partition."""
@@ -38,27 +31,28 @@ def _links(edges: DataFrame) -> DataFrame:
 
 
 def _with_ns(edges: DataFrame) -> DataFrame:
-    ns = F.coalesce(F.nullif(F.col("ns"), F.lit("")), F.lit(DEFAULT_NS)) if "ns" in edges.columns else F.lit(DEFAULT_NS)
-    return edges.select("src", "dst", ns.alias("ns"))
+    """Edges with a namespace; a missing or empty one is the default."""
+    if "ns" not in edges.columns:
+        return edges.select("src", "dst", F.lit(DEFAULT_NS).alias("ns"))
+    named = F.coalesce(F.nullif(F.col("ns"), F.lit("")), F.lit(DEFAULT_NS))
+    return edges.select("src", "dst", named.alias("ns"))
 
 
 def _walk(links: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
     """All (keys…, node, level) with the smallest number of hops from ``start``."""
     frontier = cut(start.withColumn("level", F.lit(0)))
-    seen = frontier
-    level = 0
-    while True:
+    seen, level = frontier, 0
+    while not frontier.isEmpty():
         level += 1
-        met = links.join(_small(frontier.drop("level")), F.col("src") == F.col("node"))
-        reached = met.select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = cut(
-            missing_from(reached, seen, [*keys, "node"]).withColumn("level", F.lit(level))
-        )
-        if frontier.isEmpty():
-            return seen
+        met = links.join(frontier.drop("level"), F.col("src") == F.col("node"))
+        reached = met.select(*keys, F.col("dst").alias("node"), F.lit(level).alias("level"))
+        # Known rows have a smaller level, so grouping both tells the new ones apart.
+        first = seen.unionByName(reached).groupBy(*keys, "node").agg(F.min("level").alias("level"))
+        frontier = cut(first.where(F.col("level") == level))
         seen = seen.unionByName(frontier)
         if level % REWRITE_EVERY == 0:
             seen = cut(seen)
+    return seen
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -79,25 +73,35 @@ def bfs_levels(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFram
 
 def waves(edges: DataFrame) -> DataFrame:
     """(node, wave): length of the longest path that ends in the node, so all nodes of one
-    wave can be built at the same time. Peels off nodes without open parents, wave by wave;
-    raises when a cycle is left."""
-    left = _links(edges)
-    everything = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    ready = cut(missing_from(everything, left, [("node", "dst")]).withColumn("wave", F.lit(0)))
-    done, wave = ready, 0
-    while not ready.isEmpty():
+    wave can be built at the same time. Raises when the edges contain a cycle.
+
+    Each round takes the nodes without open parents and lowers the number of open parents of
+    their children; every edge is used in one round only.
+    """
+    links = _links(edges)
+    zero = F.lit(0).cast("bigint")
+    ends = F.array(
+        F.struct(F.col("src").alias("node"), zero.alias("n")),
+        F.struct(F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n")),
+    )
+    state = cut(links.select(F.inline(ends)).groupBy("node").agg(F.sum("n").alias("n_open")))
+    done, wave = None, 0
+    while True:
+        ready, waiting = state.where("n_open = 0").select("node"), state.where("n_open > 0")
+        if ready.isEmpty():
+            break
+        peeled = ready.withColumn("wave", F.lit(wave))
+        done = peeled if done is None else done.unionByName(peeled)
         wave += 1
-        nodes = ready.select("node")
-        freed = exists_in(left, nodes, [("src", "node")]).select(F.col("dst").alias("node")).distinct()
-        left_now = cut(missing_from(left, nodes, [("src", "node")]))
-        ready = cut(missing_from(freed, left_now, [("node", "dst")]).withColumn("wave", F.lit(wave)))
-        left = left_now
-        done = done.unionByName(ready)
         if wave % REWRITE_EVERY == 0:
             done = cut(done)
-    if not left.isEmpty():
+        freed = links.join(ready, F.col("src") == F.col("node")).select(
+            F.col("dst").alias("node"), F.lit(-1).cast("bigint").alias("n_open")
+        )
+        state = cut(waiting.unionByName(freed).groupBy("node").agg(F.sum("n_open").alias("n_open")))
+    if not waiting.isEmpty():
         raise ValueError("waves: the edges contain a cycle")
-    return done
+    return done if done is not None else state.select("node", F.lit(0).alias("wave"))
 
 
 def node_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -34,32 +34,41 @@ def script_by(
 ) -> DataFrame:
     """Run a Python function per group, for groups of any size.
 
-    ``fn`` turns a piece of a group (group columns included) into rows of ``schema``;
-    ``combine`` turns rows of one group from several pieces into rows of the same schema,
-    and gives the same result in whatever order and portions it is applied. Pieces are
-    combined inside each task first, so what is shuffled per group is bounded by the number
-    of tasks, and a group that fills a third of the table is never gathered.
+    Both functions get rows of many groups at once and work per group themselves, as pandas
+    ``groupby`` does. ``fn`` turns part of the table (group columns included) into rows of
+    ``schema``; ``combine`` merges rows of ``schema``, and gives the same result in whatever
+    order and portions it is applied. Parts are merged inside each task first, so a group
+    that fills a third of the table sends a few rows per task and is never gathered. Merging
+    then streams over sorted partitions and holds one batch and one open group.
     """
     keys = as_list(by)
 
-    def per_group(rows: pd.DataFrame, work: Script) -> pd.DataFrame:
-        return pd.concat(
-            [work(group) for _, group in rows.groupby(keys, dropna=False, sort=False)], ignore_index=True
-        )
-
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
         for batch in batches:
-            if not len(batch):
-                continue
-            held.append(per_group(batch, fn))
+            held.append(fn(batch))
             if sum(len(h) for h in held) > BUFFERED_ROWS:
-                merged = per_group(pd.concat(held, ignore_index=True), combine)
+                merged = combine(pd.concat(held, ignore_index=True))
                 held = [merged]
-                if len(merged) > BUFFERED_ROWS / 2:  # many groups: pass them on
+                if len(merged) > BUFFERED_ROWS / 2:  # mostly different groups: pass them on
                     yield merged
                     held = []
         if held:
-            yield per_group(pd.concat(held, ignore_index=True), combine)
+            yield combine(pd.concat(held, ignore_index=True))
 
-    return df.mapInPandas(partial, schema).groupBy(*[col(k) for k in keys]).applyInPandas(combine, schema)
+    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carried: pd.DataFrame | None = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if carried is None else pd.concat([carried, batch], ignore_index=True)
+            last = rows[keys].iloc[-1]
+            open_group = (rows[keys].eq(last) | (rows[keys].isna() & last.isna())).all(axis=1)
+            if not open_group.all():
+                yield combine(rows[~open_group])
+            carried = combine(rows[open_group])
+        if carried is not None and len(carried):
+            yield carried
+
+    gathered = df.mapInPandas(partial, schema).repartition(*[col(k) for k in keys])
+    return gathered.sortWithinPartitions(*[col(k) for k in keys]).mapInPandas(merge, schema)

@@ -61,9 +61,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise reliably and drop the lineage, so that a lost executor costs one read."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    """Write a table to the shared folder and go on from there.
+
+    The lineage ends, so a lost executor costs a read instead of a recomputation, and every
+    later step sees the same rows. Unlike an opaque checkpoint the table has a known size, by
+    which Spark decides about broadcasts, and its columns can be pruned.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
