@@ -33,8 +33,8 @@ def period_index(ts: Column, grain: str) -> Column:
     if grain == "week":  # weeks start on Monday; 1970-01-01 was a Thursday
         return F.floor((_days(ts) + 3) / 7).cast("bigint")
     if grain in _MONTHS:
-        months = F.year(ts) * 12 + F.month(ts) - 1
-        return F.floor(months / _MONTHS[grain]).cast("bigint")
+        months = (F.year(ts) * 12 + F.month(ts) - 1).cast("bigint")
+        return months if grain == "month" else F.floor(months / _MONTHS[grain]).cast("bigint")
     clock = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return F.floor((_days(ts) * 86400 + clock) / _SECONDS[grain]).cast("bigint")
 
@@ -62,4 +62,9 @@ def index_start(index: Column, grain: str) -> Column:
 
 def period_start(ts: Column, grain: str) -> Column:
     """The period a timestamp falls in, named by its first instant."""
+    _check(grain)
+    if grain == "day":
+        return ts.cast("date")
+    if grain == "week" or grain in _MONTHS:
+        return F.trunc(ts.cast("date"), grain)
     return index_start(period_index(ts, grain), grain)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from layerflow.functions.names import as_list, col
 from layerflow.functions.periods import period_start
 from layerflow.operators.joins import Keys, attach, match_struct
-from layerflow.operators.windows import accumulate, group_too_large
+from layerflow.operators.windows import accumulate, hot_groups
 
 Aggs = Mapping[str, str | tuple[str, str | Column]]
 
@@ -75,7 +75,7 @@ def aggregate(df: DataFrame, by: str | Sequence[str], aggs: Aggs) -> DataFrame:
     keys, parts = as_list(by), _parts(aggs)
     medians = {n: v for n, (fn, v) in parts.items() if fn == "median"}
     grouped = df.groupBy(*[col(k) for k in keys])
-    if not medians or not group_too_large(df, keys):
+    if not medians or not hot_groups(df, keys)[0]:
         return grouped.agg(
             *[(F.median(v) if fn == "median" else _SIMPLE[fn](v)).alias(n) for n, (fn, v) in parts.items()]
         )

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from layerflow.functions.names import as_list, as_pairs, col
 from layerflow.functions.text import BUILTIN_COLUMNS, field_tokens
-from layerflow.operators.joins import Keys, exists_in, missing_from
+from layerflow.operators.joins import Keys, attach, exists_in, missing_from
 
 # How layered tables are named. Scratch and retired tables have their own
 # prefixes.
@@ -201,7 +201,7 @@ def coverage(items: DataFrame, assigned: DataFrame, item: str, group: str) -> Da
     pairs = assigned.select(col(item), col(group)).distinct()
     known = items.select(col(item)).distinct()
     counts = pairs.groupBy(col(item)).agg(F.count(F.lit(1)).alias("n_groups")).where(F.col("n_groups") > 1)
-    several = pairs.join(counts, item).select(
+    several = attach(pairs, counts, item, how="inner", unique=True).select(
         col(item), F.lit("multiple").alias("status"), col(group), "n_groups"
     )
     none = missing_from(known, pairs, item).select(

@@ -2,9 +2,10 @@
 
 No side is broadcast by hint: Spark broadcasts a side only when its measured size is under
 ``spark.sql.autoBroadcastJoinThreshold``. Beyond that, rows of a hot key are spread by the
-adaptive skew join. That rule needs both inputs of a sort-merge join to be plain shuffles,
-which an aggregated side is not, so ``attach`` and the presence checks compare their keys
-as one struct: the aggregated side then gets a shuffle of its own and the rule applies.
+adaptive skew join. That rule needs both inputs of a sort-merge join to be plain shuffles. An
+aggregated side is none, because the join takes over its partitioning; so where one side is
+an aggregate, the keys are compared as one struct, the aggregated side (small by then) gets a
+shuffle of its own, and the rule applies.
 """
 
 from __future__ import annotations
@@ -75,36 +76,47 @@ def _present(column_pairs: Sequence[str]) -> Column:
     return reduce(Column.__and__, [col(c).isNotNull() for c in column_pairs])
 
 
-def one_row_per_key(lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The lookup with null keys left out; the query fails when a key has several rows."""
-    rest = [c for c in lookup.columns if c not in keys]
-    counted = (
-        lookup.where(_present(keys))
-        .groupBy(*[col(k) for k in keys])
-        .agg(F.count(F.lit(1)).alias("__rows"), *[F.first(col(c)).alias(c) for c in rest])
-    )
-    checked = F.when(
-        F.col("__rows") > 1,
-        F.raise_error(F.concat(F.lit(f"several rows for one key of {list(keys)}: "),
-                               F.to_json(F.struct(*[col(k) for k in keys])))).cast("boolean"),
-    ).otherwise(F.lit(True))
-    # The filter keeps the check in the plan whichever columns are read later.
-    return counted.where(checked).drop("__rows")
+def _or_fail_on_repeats(lookup: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lookup, in a plan that fails when a key has several rows.
+
+    Only keys are grouped for the check. It gives no rows, so stacking it on the lookup costs
+    one narrow shuffle, and the lookup itself is shuffled once, by the join.
+    """
+    shown = F.to_json(F.struct(*[col(k) for k in keys]))
+    failure = F.raise_error(F.concat(F.lit("several rows for one key: "), shown))
+    counts = lookup.groupBy(*[col(k) for k in keys]).agg(F.count(F.lit(1)).alias("__rows"))
+    repeated = F.col("__rows") > 1
+    # The failure sits behind its condition, so a filter on the key cannot set it off early.
+    made = [
+        (F.when(repeated, failure) if f.name in keys else F.lit(None)).cast(f.dataType).alias(f.name)
+        for f in lookup.schema.fields
+    ]
+    return lookup.unionByName(counts.where(repeated).select(*made))
 
 
-def attach(df: DataFrame, lookup: DataFrame, on: Keys, how: str = "left", found: str | None = None) -> DataFrame:
-    """Add the columns of a lookup that has at most one row per key (checked in the plan).
+def attach(
+    df: DataFrame, lookup: DataFrame, on: Keys, how: str = "left", found: str | None = None, unique: bool = False
+) -> DataFrame:
+    """Add the columns of a lookup that has at most one row per key.
 
-    Row count and rows of ``df`` stay as they are with ``how="left"``. Null keys find
-    nothing. ``found`` names a Boolean column that tells whether there was a match.
+    The query fails when a key has several rows; ``unique=True`` skips that check for a lookup
+    that is grouped by the key. Rows of ``df`` stay as they are with ``how="left"``. Null keys
+    find nothing. ``found`` names a Boolean column that tells whether there was a match.
     """
     pairs = as_pairs(on)
-    unique = one_row_per_key(lookup, [r for _, r in pairs])
-    added = [c for c in unique.columns if c not in {r for _, r in pairs}]
+    keys = [r for _, r in pairs]
+    offered = lookup.where(_present(keys))
+    added = [c for c in lookup.columns if c not in keys]
     require_distinct([*df.columns, *added, *as_list(found)], "attach")
     if found:
-        unique = unique.withColumn(found, F.lit(True))
-    joined = match_struct(df, unique, pairs, how)
+        offered = offered.withColumn(found, F.lit(True))
+    if unique:
+        joined = match_struct(df, offered, pairs, how)
+    else:
+        checked = _or_fail_on_repeats(offered, keys)
+        renamed = checked.withColumnsRenamed({k: f"__key_{i}" for i, k in enumerate(keys)})
+        same = [col(l) == F.col(f"__key_{i}") for i, (l, _) in enumerate(pairs)]
+        joined = df.join(renamed, reduce(Column.__and__, same), how).drop(*[f"__key_{i}" for i in range(len(keys))])
     return joined.withColumn(found, F.coalesce(col(found), F.lit(False))) if found else joined
 
 
@@ -231,7 +243,7 @@ def resolve_names(names: DataFrame, catalog: DataFrame, name: str = "name", stri
     ``strict=True`` gives (rows, ambiguous names) for callers that need one match at most.
     """
     counts = catalog.where(col(name).isNotNull()).groupBy(col(name)).agg(F.count(F.lit(1)).alias("n_matches"))
-    asked = attach(names, counts, name).withColumn("n_matches", F.coalesce(F.col("n_matches"), F.lit(0)))
+    asked = attach(names, counts, name, unique=True).withColumn("n_matches", F.coalesce(F.col("n_matches"), F.lit(0)))
     resolved = join(asked, catalog, name, "left")
     if not strict:
         return resolved

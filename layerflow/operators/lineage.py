@@ -68,7 +68,7 @@ def bfs_levels(edges: DataFrame, nodes: DataFrame, seeds: DataFrame) -> DataFram
     start = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node IS NOT NULL").distinct()
     levels = _walk(_links(edges), start, [])
     everything = nodes.select(F.col(nodes.columns[0]).alias("node")).distinct()
-    return attach(everything, levels, "node")
+    return attach(everything, levels, "node", unique=True)
 
 
 def waves(edges: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def _via_chains(hops: DataFrame, ends: DataFrame, chain_nodes: DataFrame) -> Dat
     found = ends.select(
         F.col("node").alias("at"), F.col("to").alias("to_2"), F.col("ns").alias("ns_2"), F.col("merge").alias("merge_2")
     )
-    into = attach(hops, chain_nodes.select(F.col("node").alias("__chain")), [("to", "__chain")], found="__in_chain")
+    into = attach(hops, chain_nodes, [("to", "node")], found="__in_chain", unique=True)
     moved = into.join(found, F.col("to") == F.col("at"), "left").where("NOT __in_chain OR at IS NOT NULL")
     hit = F.col("at").isNotNull()
     others = [c for c in hops.columns if c not in ("to", "ns", "merge")]
@@ -180,7 +180,7 @@ def _via_chains(hops: DataFrame, ends: DataFrame, chain_nodes: DataFrame) -> Dat
 def _summarise(hops: DataFrame, values: DataFrame, keep: DataFrame, by: list[str]) -> DataFrame:
     """Smallest and largest (target, ns) the hops of each ``by`` lead to, which is enough to
     tell none, one and several apart without listing them."""
-    kept = attach(hops, keep.select(F.col("node").alias("__kept")), [("to", "__kept")], found="__is_kept")
+    kept = attach(hops, keep, [("to", "node")], found="__is_kept", unique=True)
     offered = values.select(
         F.col("node").alias("at"), F.col("low").alias("low_2"), F.col("high").alias("high_2"), F.col("merge").alias("merge_2")
     )
@@ -214,13 +214,14 @@ def bridge(edges: DataFrame, keep: DataFrame, outputs: DataFrame | None = None)
     """
     links = cut(_with_ns(edges))
     kept = cut(keep.select(F.col(keep.columns[0]).alias("node")).distinct())
-    parents = links.groupBy("dst").agg((F.count(F.lit(1)) > 1).alias("merge"))
+    several = F.count(F.lit(1)) > 1
+    parents = links.groupBy(F.col("dst").alias("dst_of_parent")).agg(several.alias("merge"))
     origins = exists_in(links, kept, [("src", "node")])
 
     inner = missing_from(links, kept, [("src", "node")])
     if outputs is not None:
         inner = missing_from(inner, outputs, [("src", outputs.columns[0])])
-    marked = attach(inner, parents.select(F.col("dst").alias("__dst"), "merge"), [("src", "__dst")])
+    marked = attach(inner, parents, [("src", "dst_of_parent")], unique=True)
     hops = cut(
         marked.select(
             F.col("src").alias("node"),
@@ -254,9 +255,10 @@ def bridge(edges: DataFrame, keep: DataFrame, outputs: DataFrame | None = None)
     )
     led = _summarise(_via_chains(starts, ends, chain_nodes), values, kept, ["src", "dst", "ns_in"])
     verdicts = attach(
-        attach(origins, kept.select(F.col("node").alias("__kept")), [("dst", "__kept")], found="__direct"),
+        attach(origins, kept, [("dst", "node")], found="__direct", unique=True),
         led.withColumnsRenamed({"src": "__src", "dst": "__dst", "ns_in": "__ns"}),
         [("src", "__src"), ("dst", "__dst"), ("ns", "__ns")],
+        unique=True,
     )
     verdict = (
         F.when(F.col("__direct"), F.lit("kept"))
@@ -322,7 +324,7 @@ def edge_diff(
     theirs = _with_ns(source_edges).select(F.col("src").alias("source_src"), "dst", F.col("ns").alias("ns_source"))
     differing = missing_from(mine, theirs, ["source_src", "dst", ("ns", "ns_source")])
     named = theirs.groupBy("source_src", "dst").agg(F.min("ns_source").alias("ns_source"))
-    return differing.join(named, ["source_src", "dst"]).select(
+    return attach(differing, named, ["source_src", "dst"], how="inner", unique=True).select(
         "src", "dst", "source_src", F.col("ns").alias("ns_new"), "ns_source"
     )
 
@@ -333,7 +335,7 @@ def derive_edges(outputs: DataFrame, inputs: DataFrame, scope: str | None = None
     only. Gives distinct (src, dst, name)."""
     theirs = outputs.select(F.col("flow").alias("src"), "name", *[F.col(s).alias("__scope") for s in as_list(scope)])
     mine = inputs.select(F.col("flow").alias("dst"), "name", *[F.col(s).alias("__asked") for s in as_list(scope)])
-    met = theirs.join(mine, "name")
+    met = theirs.distinct().join(mine.distinct(), "name")
     if scope:
         met = met.where(F.col("__asked").isNull() | (F.col("__asked") == F.col("__scope")))
     return met.select("src", "dst", "name").distinct()

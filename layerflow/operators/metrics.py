@@ -28,7 +28,8 @@ def metric(
 
     ``running_total`` adds the sum so far (sums and counts only); ``compare="previous"`` adds
     the value of the calendar period before, the change, and the ratio (null on a zero or
-    missing base). Windows run on the aggregated series, one row per period and split.
+    missing base). Windows run on the aggregated series, so a window group has one row per period
+    of the calendar and no more.
     """
     keys = as_list(dims)
     if running_total and agg not in ("sum", "count"):
@@ -90,7 +91,7 @@ def consumer_impact(
     counted = targets
     names = ("reports", "definitions", "definitions_followed")
     for counts in (per_report, per_definition, per_followed):
-        counted = attach(counted, counts, dataset)
+        counted = attach(counted, counts, dataset, unique=True)
     counted = counted.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("bigint") for n in names})
     verdict = (
         F.when((F.col("reports") > 0) | (F.col("definitions_followed") > 0), F.lit(REPOINT))

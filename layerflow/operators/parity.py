@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from layerflow.functions.names import as_list, col, require_columns
-from layerflow.operators.joins import missing_from
+from layerflow.operators.joins import attach, missing_from
 
 
 def _profile(df: DataFrame, distinct: bool) -> DataFrame:
@@ -145,8 +145,7 @@ def resolve_pairs(original: DataFrame, successors: DataFrame, name: str, declare
     claims = successors.select(col(declared).alias("original"), col(successor).alias("successor")).where(
         F.col("original").isNotNull()
     )
-    marked = known.withColumn("__known", F.lit(True))
-    paired = claims.join(marked, "original", "left").select(
+    paired = attach(claims, known, "original", found="__known", unique=True).select(
         "original",
         "successor",
         F.when(F.col("__known"), F.lit("paired")).otherwise(F.lit("unknown_original")).alias("status"),

@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from layerflow.functions.names import col
+from layerflow.functions.names import as_list, col
 
 # Fixed values.
 LAYERS = ("staging", "intermediate", "marts")
 APPEND = "outputOperationTypeAppend"
 
 
-def publish(df: DataFrame, root: str, layer: str, name: str) -> DataFrame:
+def _write(df: DataFrame, path: str, mode: str, partition_by: str | Sequence[str] | None) -> None:
+    """Store a table. With partition columns the rows are rebalanced on them first: a value
+    with few rows makes one file, a value with very many is split over several tasks."""
+    columns = as_list(partition_by)
+    if not columns:
+        df.write.mode(mode).parquet(path)
+        return
+    df.hint("rebalance", *columns).write.mode(mode).partitionBy(*columns).parquet(path)
+
+
+def _read_back(df: DataFrame, path: str) -> DataFrame:
+    """The stored table with the columns, order and types of the DataFrame written."""
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    return stored.select(*[col(c) for c in df.columns])
+
+
+def publish(
+    df: DataFrame, root: str, layer: str, name: str, partition_by: str | Sequence[str] | None = None
+) -> DataFrame:
     """Full refresh of a published table; gives back the stored table. Publishing a table
     read from another layer unchanged is a thin republish."""
     if layer not in LAYERS:
         raise ValueError(f"layer must be one of {LAYERS}")
     path = f"{root}/{layer}/{name}"
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _write(df, path, "overwrite", partition_by)
+    return _read_back(df, path)
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:
@@ -30,34 +50,38 @@ def publish_view(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_extract(df: DataFrame, path: str) -> DataFrame:
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _write(df, path, "overwrite", None)
+    return _read_back(df, path)
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The table at ``path``, or None when nothing has been written there yet."""
+def _stored(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None) -> DataFrame | None:
+    """The table at ``path``, or None when nothing has been written there yet. Partition
+    columns are read with the types of ``df``, as paths do not tell types."""
     try:
-        return spark.read.parquet(path)
+        stored = df.sparkSession.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    named = [c for c in as_list(partition_by) if c in stored.columns and c in kinds]
+    return stored.withColumns({c: col(c).cast(kinds[c]) for c in named})
 
 
 def _require_fit(df: DataFrame, stored: DataFrame) -> None:
-    mine = {f.name: f.dataType for f in df.schema.fields}
-    theirs = {f.name: f.dataType for f in stored.schema.fields}
+    mine = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    theirs = {f.name: f.dataType.simpleString() for f in stored.schema.fields}
     if mine != theirs:
         differing = sorted(n for n in mine.keys() | theirs.keys() if mine.get(n) != theirs.get(n))
         raise ValueError(f"append: columns {differing} do not fit the stored table")
 
 
-def append(df: DataFrame, path: str) -> None:
+def append(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None) -> None:
     """Append all rows. Appending a whole snapshot to a filled output stores it twice."""
-    stored = _stored(df.sparkSession, path)
+    stored = _stored(df, path, partition_by)
     if stored is not None:
         _require_fit(df, stored)
-    df.write.mode("append").parquet(path)
+    _write(df, path, "append", partition_by)
 
 
 def newer_rows(src: DataFrame, stored: DataFrame | None, control: str, output_field: str) -> DataFrame:
@@ -75,24 +99,30 @@ def newer_rows(src: DataFrame, stored: DataFrame | None, control: str, output_fi
 
 
 def incremental_append(
-    src: DataFrame, out: str, control: str, output_field: str | None = None, mode: str = "incremental"
+    src: DataFrame,
+    out: str,
+    control: str,
+    output_field: str | None = None,
+    mode: str = "incremental",
+    partition_by: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Append to ``out`` and give back the stored table.
 
     ``mode="incremental"`` appends only rows whose control value is above everything stored
     in ``output_field``; ties with the mark count as known. ``mode="full"`` appends the whole
     snapshot, which stores known rows again. Schema and control column are checked before
-    anything is written. One writer at a time: the mark is read before the append.
+    anything is written. One writer at a time: the mark is read before the append. Only the
+    control column of the output is read for the mark; ``partition_by`` stores the output by
+    columns, for readers that filter on them.
     """
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be 'incremental' or 'full'")
-    spark = src.sparkSession
-    stored = _stored(spark, out)
+    stored = _stored(src, out, partition_by)
     if stored is not None:
         _require_fit(src, stored)
     fresh = src if mode == "full" else newer_rows(src, stored, control, output_field or control)
-    fresh.write.mode("append").parquet(out)
-    return spark.read.schema(src.schema).parquet(out)
+    _write(fresh, out, "append", partition_by)
+    return _read_back(src, out)
 
 
 def refresh_mode(settings: DataFrame, outputs: DataFrame, by: str) -> DataFrame:

@@ -9,6 +9,7 @@ ones are range-split, numbered piece by piece, and moved up by the size of earli
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,11 +43,13 @@ def fixed(df: DataFrame, by: str | Sequence[str], agg: str, column: str, name: s
     return match_struct(df, per_group, [(k, k) for k in keys], "left")
 
 
-def group_too_large(df: DataFrame, by: Sequence[str]) -> bool:
-    """Measure: does any group exceed what one task should hold? Reads the keys only and
-    combines counts before the shuffle."""
-    largest = df.groupBy(*[col(k) for k in by]).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > max_group_rows(df.sparkSession)
+def hot_groups(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
+    """Measure how many groups exceed what one task should hold, and the rows they have.
+    Reads the keys only and combines counts before the shuffle."""
+    counts = df.groupBy(*[col(k) for k in by]).count()
+    hot = counts.where(F.col("count") > max_group_rows(df.sparkSession))
+    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    return n_hot, n_rows
 
 
 def _accumulate(df: DataFrame, by: list[str], sorting: list[Column], value: str | None, name: str) -> DataFrame:
@@ -57,11 +60,15 @@ def _accumulate(df: DataFrame, by: list[str], sorting: list[Column], value: str
     return df.withColumn(name, F.sum(col(value)).over(running))
 
 
-def _accumulate_split(df: DataFrame, by: list[str], sorting: list[Column], value: str | None, name: str) -> DataFrame:
+def _accumulate_split(
+    df: DataFrame, by: list[str], sorting: list[Column], value: str | None, name: str, n_rows: int
+) -> DataFrame:
     """The same over groups of any size. Range partitions follow (by, order), so a group
-    covers a run of partitions. Their bounds come from sampling; the result is materialised
-    so that every later step sees one and the same placement."""
-    pieces = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    covers a run of partitions. Their bounds come from sampling; the result is written so
+    that every later step sees one and the same placement."""
+    spark = df.sparkSession
+    even = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    pieces = max(even, ceil(n_rows / max_group_rows(spark)))
     placed = df.repartitionByRange(pieces, *[col(k).asc() for k in by], *sorting)
     placed = cut(placed.withColumn("__piece", F.spark_partition_id()))
     amount = F.count(F.lit(1)) if value is None else F.sum(col(value))
@@ -85,20 +92,21 @@ def _accumulate_split(df: DataFrame, by: list[str], sorting: list[Column], value
 
 def accumulate(df: DataFrame, by: Sequence[str], order: Order, name: str, value: str | None = None) -> DataFrame:
     """Row number (``value=None``) or running sum per group, in an order that tells all rows
-    of a group apart."""
+    of a group apart. Only the rows of hot groups are range-split; without ``by`` the whole
+    table is one group."""
     keys, sorting = list(by), _sorting(order)
-    if keys and not group_too_large(df, keys):
-        return _accumulate(df, keys, sorting, value, name)
     if not keys:
-        return _accumulate_split(df, keys, sorting, value, name)
+        return _accumulate_split(df, keys, sorting, value, name, df.count())
+    n_hot, n_rows = hot_groups(df, keys)
+    if not n_hot:
+        return _accumulate(df, keys, sorting, value, name)
     counts = df.groupBy(*[col(k) for k in keys]).count()
-    # At most (all rows / maxGroupRows) groups can be this large.
     hot = cut(counts.where(F.col("count") > max_group_rows(df.sparkSession)).drop("count"))
     pairs = [(k, k) for k in keys]
     cold_rows = match_struct(df, hot, pairs, "left_anti")
     hot_rows = match_struct(df, hot, pairs, "left_semi")
     return _accumulate(cold_rows, keys, sorting, value, name).unionByName(
-        _accumulate_split(hot_rows, keys, sorting, value, name)
+        _accumulate_split(hot_rows, keys, sorting, value, name, n_rows)
     )
 
 

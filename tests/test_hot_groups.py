@@ -10,6 +10,7 @@ from layerflow import (
     exists_in,
     fill_dates,
     fixed,
+    join,
     missing_from,
     renumber,
     row_number,
@@ -125,6 +126,14 @@ def test_lookups_and_presence_checks_handle_skew(spark, hot, skew_conf):
         assert "skew=true" in _final_plan(out)
 
 
+def test_plain_joins_handle_skew(spark, hot, skew_conf):
+    ints = hot.withColumn("k", F.col("k").cast("int"))
+    dims = spark.range(0, 60).select(F.col("id").cast("int").alias("k"), F.concat(F.lit("x"), "id").alias("label"))
+    out = join(ints, dims, "k", "left")
+    assert "SortMergeJoin(skew=true)" in _final_plan(out)
+    assert out.count() == N
+
+
 def test_copies_collapse_before_the_shuffle(spark):
     same = spark.range(0, 5000, 1, 4).select(F.lit("a").alias("x"), F.lit(1).alias("y"))
     out = value_diff(same, same.limit(4990))

@@ -91,6 +91,20 @@ def test_stream_equals_batch_and_survives_replay(src, spark, tmp_path, rows):
     assert incremental_stream(spark, arriving, out, "t", str(tmp_path / "fresh"), src.schema).count() == 4
 
 
+def test_partitioned_outputs_keep_types_and_order(spark, src, tmp_path, rows):
+    root = str(tmp_path)
+    by_text = src.select(F.lpad(F.col("t").cast("string"), 2, "0").alias("code"), "t", "v")
+    stored = publish(by_text, root, "marts", "fct_x", partition_by="code")
+    assert stored.schema == by_text.schema and rows(stored) == rows(by_text)
+    plan = stored.where("code = '02'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(code" in plan
+    out = str(tmp_path / "out")
+    incremental_append(by_text.where("t <= 2"), out, "t", partition_by="code")
+    assert rows(incremental_append(by_text, out, "t", partition_by="code")) == rows(by_text)
+    append(by_text, out, partition_by="code")
+    assert spark.read.parquet(out).count() == 8
+
+
 def test_refresh_mode_rules(spark, rows):
     settings = spark.createDataFrame(
         [("a", True, "d", "o"), ("b", True, None, "o"), ("b", True, "", "o"), ("c", False, "d", "o"), ("d", True, "d", "o"), ("e", None, "d", "o")],
