@@ -80,18 +80,15 @@ def consumer_impact(
     subscribed to. Reports or followed definitions: repoint; only unfollowed definitions:
     cleanup_only; nothing: none.
     """
-    followed = exists_in(metrics, subscriptions, "metric")
-    per_report = reports.groupBy(col(dataset)).agg(F.count(F.lit(1)).alias("reports"))
-    per_definition = definitions.groupBy(col(dataset)).agg(F.count(F.lit(1)).alias("definitions"))
-    per_followed = (
-        exists_in(definitions, followed, "definition")
-        .groupBy(col(dataset))
-        .agg(F.count(F.lit(1)).alias("definitions_followed"))
-    )
-    counted = targets
     names = ("reports", "definitions", "definitions_followed")
-    for counts in (per_report, per_definition, per_followed):
-        counted = attach(counted, counts, dataset, unique=True)
+
+    def ones(rows: DataFrame, counted: str) -> DataFrame:
+        return rows.select(col(dataset), *[F.lit(int(n == counted)).alias(n) for n in names])
+
+    followed = exists_in(definitions, exists_in(metrics, subscriptions, "metric"), "definition")
+    stacked = ones(reports, names[0]).unionByName(ones(definitions, names[1])).unionByName(ones(followed, names[2]))
+    counts = stacked.groupBy(col(dataset)).agg(*[F.sum(n).alias(n) for n in names])
+    counted = attach(targets, counts, dataset, unique=True)
     counted = counted.withColumns({n: F.coalesce(F.col(n), F.lit(0)).cast("bigint") for n in names})
     verdict = (
         F.when((F.col("reports") > 0) | (F.col("definitions_followed") > 0), F.lit(REPOINT))

@@ -32,15 +32,35 @@ def _read_back(df: DataFrame, path: str) -> DataFrame:
 
 
 def publish(
-    df: DataFrame, root: str, layer: str, name: str, partition_by: str | Sequence[str] | None = None
+    df: DataFrame,
+    root: str,
+    layer: str,
+    name: str,
+    partition_by: str | Sequence[str] | None = None,
+    bucket_by: str | Sequence[str] | None = None,
+    buckets: int = 200,
 ) -> DataFrame:
     """Full refresh of a published table; gives back the stored table. Publishing a table
-    read from another layer unchanged is a thin republish."""
+    read from another layer unchanged is a thin republish.
+
+    ``partition_by`` lays the table out for filters. ``bucket_by`` stores it bucketed and
+    sorted under its name in the session catalog: tables with the same bucket keys and number
+    are joined and grouped on those keys without a shuffle.
+    """
     if layer not in LAYERS:
         raise ValueError(f"layer must be one of {LAYERS}")
     path = f"{root}/{layer}/{name}"
-    _write(df, path, "overwrite", partition_by)
-    return _read_back(df, path)
+    keys = as_list(bucket_by)
+    if not keys:
+        _write(df, path, "overwrite", partition_by)
+        return _read_back(df, path)
+    if partition_by is not None:
+        raise ValueError("publish: choose partition columns or bucket columns")
+    # One task per bucket writes one file per bucket; the join later reads it as it lies.
+    placed = df.repartition(buckets, *[col(k) for k in keys])
+    writer = placed.write.mode("overwrite").format("parquet").option("path", path)
+    writer.bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def publish_view(df: DataFrame, name: str) -> DataFrame:
@@ -126,36 +146,43 @@ def incremental_append(
 
 
 def refresh_mode(settings: DataFrame, outputs: DataFrame, by: str) -> DataFrame:
-    """Full or incremental, per table (column ``by``).
+    """Full or incremental, per table (column ``by``), and the control fields in use.
 
     ``settings``: incremental_enabled, control_field, output_node_id; ``outputs``:
     output_operation_type, incremental_output_operation_type. Incremental needs an enabled
     setting that names both control field and output, and an output that appends in either
-    kind of run. An enabled setting naming neither is counted as inert.
+    kind of run. An enabled setting that lacks one of them is inert: counted and ignored.
+    Settings and outputs are stacked, so one grouping serves both.
     """
     def given(name: str):
         return F.coalesce(col(name), F.lit("")) != ""
 
     enabled = F.coalesce(col("incremental_enabled"), F.lit(False))
     complete = given("control_field") & given("output_node_id")
-    inputs = settings.groupBy(col(by)).agg(
-        F.count_if(enabled & complete).alias("n_effective"),
-        F.count_if(enabled & ~complete).alias("n_inert"),
-    )
-    appends = (col("output_operation_type") == APPEND) | (
-        col("incremental_output_operation_type") == APPEND
+    appends = (col("output_operation_type") == APPEND) | (col("incremental_output_operation_type") == APPEND)
+    asked = settings.select(
+        col(by),
+        (enabled & complete).alias("effective"),
+        (enabled & ~complete).alias("inert"),
+        F.lit(False).alias("appends"),
+        F.when(enabled & complete, col("control_field")).alias("control_field"),
     )
-    targets = outputs.groupBy(col(by)).agg(F.bool_or(F.coalesce(appends, F.lit(False))).alias("has_append"))
-    both = inputs.join(targets, by, "full_outer")
-    effective = F.coalesce(F.col("n_effective"), F.lit(0)).cast("bigint")
-    appending = F.coalesce(F.col("has_append"), F.lit(False))
-    return both.select(
+    offered = outputs.select(
         col(by),
-        effective.alias("n_effective"),
-        F.coalesce(F.col("n_inert"), F.lit(0)).cast("bigint").alias("n_inert"),
-        appending.alias("has_append"),
-        F.when((effective > 0) & appending, F.lit("incremental")).otherwise(F.lit("full")).alias("run_type"),
+        F.lit(False).alias("effective"),
+        F.lit(False).alias("inert"),
+        F.coalesce(appends, F.lit(False)).alias("appends"),
+        F.lit(None).cast("string").alias("control_field"),
+    )
+    found = asked.unionByName(offered).groupBy(col(by)).agg(
+        F.count_if("effective").alias("n_effective"),
+        F.count_if("inert").alias("n_inert"),
+        F.bool_or("appends").alias("has_append"),
+        # distinct column names of one table: a short list
+        F.array_join(F.array_sort(F.collect_set("control_field")), ", ").alias("control_fields"),
     )
+    incremental = (F.col("n_effective") > 0) & F.col("has_append")
+    return found.withColumn("run_type", F.when(incremental, F.lit("incremental")).otherwise(F.lit("full")))
 
 
 def backfill(new: DataFrame, old: DataFrame, control: str) -> DataFrame:

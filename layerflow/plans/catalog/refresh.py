@@ -98,14 +98,15 @@ def j6(spark, root):
 @query(
     "j7_refresh_mode",
     """WITH settings AS (SELECT c_nationkey AS flow, c_acctbal > 0 AS enabled,
-                               CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'ts' END AS control,
+                               CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN lower(c_mktsegment) END AS control,
                                CASE WHEN c_custkey % 10 < 8 THEN 'out' END AS target FROM customer),
             outputs AS (SELECT s_nationkey AS flow, s_acctbal > 8000 AS appends FROM supplier),
             i AS (SELECT flow, count(*) FILTER (enabled AND control IS NOT NULL AND target IS NOT NULL) AS n_effective,
-                         count(*) FILTER (enabled AND (control IS NULL OR target IS NULL)) AS n_inert FROM settings GROUP BY flow),
+                         count(*) FILTER (enabled AND (control IS NULL OR target IS NULL)) AS n_inert,
+                         string_agg(DISTINCT control, ', ' ORDER BY control) FILTER (enabled AND control IS NOT NULL AND target IS NOT NULL) AS fields FROM settings GROUP BY flow),
             o AS (SELECT flow, bool_or(appends) AS has_append FROM outputs GROUP BY flow)
        SELECT coalesce(i.flow, o.flow) AS flow, coalesce(n_effective, 0) AS n_effective, coalesce(n_inert, 0) AS n_inert,
-              coalesce(has_append, false) AS has_append,
+              coalesce(has_append, false) AS has_append, coalesce(fields, '') AS control_fields,
               CASE WHEN coalesce(n_effective, 0) > 0 AND coalesce(has_append, false) THEN 'incremental' ELSE 'full' END AS run_type
        FROM i FULL JOIN o ON i.flow = o.flow""",
 )
@@ -113,7 +114,7 @@ def j7(spark, root):
     settings = table(spark, root, "customer").selectExpr(
         "c_nationkey AS flow",
         "c_acctbal > 0 AS incremental_enabled",
-        "CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN 'ts' END AS control_field",
+        "CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN lower(c_mktsegment) END AS control_field",
         "CASE WHEN c_custkey % 10 < 8 THEN 'out' END AS output_node_id",
     )
     outputs = table(spark, root, "supplier").selectExpr(
@@ -198,3 +199,14 @@ def k6(spark, root):
 )
 def k7(spark, root):
     return models.revenue_by_segment_monthly(spark, root)
+
+
+@query(
+    "k8_published_layers",
+    f"""SELECT c_mktsegment, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
+               CAST(sum(CAST(revenue AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS n_lines
+        FROM ({_FACT}) f LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+)
+def k8(spark, root):
+    published = models.publish_layers(spark, root, scratch_path(spark, "k8"))
+    return models.monthly_by_segment(published["rpt_sales_with_customer"])

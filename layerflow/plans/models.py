@@ -14,7 +14,7 @@ from layerflow.operators.aggregates import rollup_grain
 from layerflow.operators.clean import add_column, filter_rows
 from layerflow.operators.columns import augment
 from layerflow.operators.joins import join
-from layerflow.operators.refresh import publish_view
+from layerflow.operators.refresh import publish, publish_view
 from layerflow.sources import read_dataset, scan
 
 # Column mappings of the staging tables.
@@ -54,10 +54,9 @@ def stg_shop__nation(spark: SparkSession, root: str) -> DataFrame:
     return publish_view(augment(read_dataset(spark, root, "nation"), NATION_MAPPING), "stg_shop__nation")
 
 
-def int_orders_enriched(spark: SparkSession, root: str) -> DataFrame:
+def enrich_orders(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     """Order lines with their order, and the business columns."""
-    lines = filter_rows(stg_shop__lineitem(spark, root), "l_orderkey IS NOT NULL")
-    orders = stg_shop__orders(spark, root)
+    lines = filter_rows(lineitem, "l_orderkey IS NOT NULL")
     joined = join(lines, orders, [("l_orderkey", "o_orderkey")], "inner")
     priced = add_column(joined, "revenue", "l_extendedprice * (1 - l_discount)")
     flagged = add_column(priced, "is_returned", "l_returnflag = 'R'")
@@ -68,9 +67,9 @@ def int_orders_enriched(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def fct_sales(spark: SparkSession, root: str) -> DataFrame:
+def sales_of(enriched: DataFrame) -> DataFrame:
     return scan(
-        int_orders_enriched(spark, root),
+        enriched,
         [
             "o_orderkey", "o_custkey", "l_partkey", "l_suppkey", "l_linenumber", "o_orderdate",
             "l_quantity", "revenue", "is_returned", "order_class",
@@ -78,6 +77,28 @@ def fct_sales(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def with_customer(sales: DataFrame, customers: DataFrame) -> DataFrame:
+    """One wide table: the fact with its dimension joined in."""
+    return join(sales, customers, [("o_custkey", "c_custkey")], "left").drop("c_custkey")
+
+
+def monthly_by_segment(report: DataFrame) -> DataFrame:
+    measures = {
+        "revenue": ("sum", F.col("revenue").cast("decimal(18,4)")),
+        "n_lines": ("count", F.lit(1)),
+    }
+    rolled = rollup_grain(report, "o_orderdate", "month", "c_mktsegment", measures)
+    return rolled.withColumn("revenue", F.col("revenue").cast("double"))
+
+
+def int_orders_enriched(spark: SparkSession, root: str) -> DataFrame:
+    return enrich_orders(stg_shop__lineitem(spark, root), stg_shop__orders(spark, root))
+
+
+def fct_sales(spark: SparkSession, root: str) -> DataFrame:
+    return sales_of(int_orders_enriched(spark, root))
+
+
 def dim_customers(spark: SparkSession, root: str) -> DataFrame:
     customers, nations = stg_shop__customer(spark, root), stg_shop__nation(spark, root)
     named = join(customers, nations, [("c_nationkey", "n_nationkey")], "left")
@@ -85,9 +106,7 @@ def dim_customers(spark: SparkSession, root: str) -> DataFrame:
 
 
 def rpt_sales_with_customer(spark: SparkSession, root: str) -> DataFrame:
-    """One wide table: the fact with its dimension joined in."""
-    fact, customers = fct_sales(spark, root), dim_customers(spark, root)
-    return join(fact, customers, [("o_custkey", "c_custkey")], "left").drop("c_custkey")
+    return with_customer(fct_sales(spark, root), dim_customers(spark, root))
 
 
 def agg_revenue_monthly(spark: SparkSession, root: str) -> DataFrame:
@@ -102,11 +121,19 @@ def agg_revenue_monthly(spark: SparkSession, root: str) -> DataFrame:
 
 def revenue_by_segment_monthly(spark: SparkSession, root: str) -> DataFrame:
     """Monthly revenue by market segment, from the wide report table."""
-    measures = {
-        "revenue": ("sum", F.col("revenue").cast("decimal(18,4)")),
-        "n_lines": ("count", F.lit(1)),
+    return monthly_by_segment(rpt_sales_with_customer(spark, root))
+
+
+def publish_layers(spark: SparkSession, root: str, out: str) -> dict[str, DataFrame]:
+    """Store the intermediate table and the marts below ``out``, each from the stored tables of
+    the layer before, and give them back by name. Staging stays live."""
+    enriched = publish(int_orders_enriched(spark, root), out, "intermediate", "int_orders_enriched")
+    sales = publish(sales_of(enriched), out, "marts", "fct_sales")
+    customers = publish(dim_customers(spark, root), out, "marts", "dim_customers")
+    report = publish(with_customer(sales, customers), out, "marts", "rpt_sales_with_customer")
+    return {
+        "int_orders_enriched": enriched,
+        "fct_sales": sales,
+        "dim_customers": customers,
+        "rpt_sales_with_customer": report,
     }
-    rolled = rollup_grain(
-        rpt_sales_with_customer(spark, root), "o_orderdate", "month", "c_mktsegment", measures
-    )
-    return rolled.withColumn("revenue", F.col("revenue").cast("double"))

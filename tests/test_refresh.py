@@ -8,6 +8,7 @@ from layerflow import (
     backfill,
     incremental_append,
     incremental_stream,
+    join,
     publish,
     publish_view,
     read_dataset,
@@ -105,6 +106,23 @@ def test_partitioned_outputs_keep_types_and_order(spark, src, tmp_path, rows):
     assert spark.read.parquet(out).count() == 8
 
 
+def test_bucketed_tables_join_without_a_shuffle(spark, data, conf, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold=-1)
+    root = str(tmp_path)
+    orders = publish(spark.read.parquet(f"{data}/orders.parquet"), root, "staging", "stg_b__orders", bucket_by="o_orderkey", buckets=4)
+    lines = publish(spark.read.parquet(f"{data}/lineitem.parquet"), root, "staging", "stg_b__lines", bucket_by="l_orderkey", buckets=4)
+    joined = join(lines, orders, [("l_orderkey", "o_orderkey")], "inner")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert joined.count() == 6000
+    again = publish(spark.read.parquet(f"{data}/orders.parquet"), root, "staging", "stg_b__orders", bucket_by="o_orderkey", buckets=4)
+    assert again.count() == 1500
+    with pytest.raises(ValueError, match="choose"):
+        publish(orders, root, "staging", "x", partition_by="o_orderstatus", bucket_by="o_orderkey")
+    for name in ("stg_b__orders", "stg_b__lines"):
+        spark.sql(f"DROP TABLE {name}")
+
+
 def test_refresh_mode_rules(spark, rows):
     settings = spark.createDataFrame(
         [("a", True, "d", "o"), ("b", True, None, "o"), ("b", True, "", "o"), ("c", False, "d", "o"), ("d", True, "d", "o"), ("e", None, "d", "o")],
@@ -115,6 +133,8 @@ def test_refresh_mode_rules(spark, rows):
         [("a", add, other), ("b", add, add), ("c", add, add), ("d", other, None), ("f", None, add)],
         "flow string, output_operation_type string, incremental_output_operation_type string",
     )
+    fields = {r["flow"]: r["control_fields"] for r in refresh_mode(settings, outputs, "flow").collect()}
+    assert fields == {"a": "d", "b": "", "c": "", "d": "d", "e": "", "f": ""}
     got = {r["flow"]: (r["run_type"], r["n_inert"]) for r in refresh_mode(settings, outputs, "flow").collect()}
     assert got == {"a": ("incremental", 0), "b": ("full", 2), "c": ("full", 0), "d": ("full", 0), "e": ("full", 0), "f": ("full", 0)}
 
