@@ -7,10 +7,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerflow.functions.groups import hot_groups
 from layerflow.functions.names import as_list, col
 from layerflow.functions.periods import period_start
 from layerflow.operators.joins import Keys, attach, match_struct
-from layerflow.operators.windows import accumulate, hot_groups
+from layerflow.operators.windows import accumulate
 
 Aggs = Mapping[str, str | tuple[str, str | Column]]
 

@@ -16,6 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from layerflow.functions.groups import hot_groups, hot_keys
 from layerflow.functions.names import as_list, as_pairs, col, require_columns, require_distinct
 
 Keys = str | Sequence[str | tuple[str, str]]
@@ -24,13 +25,64 @@ Keys = str | Sequence[str | tuple[str, str]]
 MATCHED_BY_KEY, MATCHED_BY_NAME = "luid", "name"
 
 
-def join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", suffix: str = "-1") -> DataFrame:
-    """Equi-join with a left and a right role.
+# Join kinds by any of their names.
+_KINDS = {
+    "inner": "inner",
+    "left": "left", "leftouter": "left", "left_outer": "left",
+    "right": "right", "rightouter": "right", "right_outer": "right",
+    "full": "full", "outer": "full", "fullouter": "full", "full_outer": "full",
+}
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str, right_unique: bool = False
+) -> DataFrame:
+    """Equi-join of tables without common column names, whatever keys are hot.
+
+    The adaptive skew join splits hot keys of both sides of an inner join, but not of the side
+    an outer join fills with nulls. That side is measured; when it has hot keys, their rows
+    are joined by an inner join, with the rows that have no partner added, and all other rows
+    by the outer join.
+    """
+    same = reduce(Column.__and__, [col(l) == col(r) for l, r in pairs])
+    names_left, names_right = [l for l, _ in pairs], [r for _, r in pairs]
+    filled = []
+    if how in ("left", "full") and not right_unique:
+        filled.append((right.where(_present(names_right)), names_right))
+    if how in ("right", "full"):
+        filled.append((left.where(_present(names_left)), names_left))
+    marks = [f"__hot_{i}" for i in range(len(pairs))]
+    found = [hot_keys(side, keys).toDF(*marks) for side, keys in filled if hot_groups(side, keys)[0]]
+    if not found:
+        return left.join(right, same, how)
+    hot = reduce(DataFrame.unionByName, found).distinct()
+    on_left, on_right = list(zip(names_left, marks, strict=True)), list(zip(names_right, marks, strict=True))
+    cold = match_struct(left, hot, on_left, "left_anti").join(match_struct(right, hot, on_right, "left_anti"), same, how)
+    hot_left = match_struct(left, hot, on_left, "left_semi")
+    hot_right = match_struct(right, hot, on_right, "left_semi")
+    parts = [cold, hot_left.join(hot_right, same, "inner")]
+    if how in ("left", "full"):
+        alone = missing_from(hot_left, hot_right, pairs)
+        parts.append(alone.join(right.where(F.lit(False)), same, "left"))
+    if how in ("right", "full"):
+        alone = missing_from(hot_right, hot_left, [(r, l) for l, r in pairs])
+        parts.append(left.where(F.lit(False)).join(alone, same, "right"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def join(
+    left: DataFrame, right: DataFrame, on: Keys, how: str = "left", suffix: str = "-1", right_unique: bool = False
+) -> DataFrame:
+    """Equi-join with a left and a right role: inner, left, right or full.
 
     Keys of one name come out once (from whichever side has the row); other columns of the
-    right side that clash with the left get ``suffix``.
+    right side that clash with the left get ``suffix``. Outer joins first measure the keys of
+    the side they fill with nulls; ``right_unique=True`` says that the right side has one row
+    per key, as a dimension does, and spares the measuring.
     """
-    pairs = as_pairs(on)
+    if how not in _KINDS:
+        raise ValueError(f"join: how must be one of {sorted(set(_KINDS.values()))}; for presence see exists_in, missing_from")
+    kind, pairs = _KINDS[how], as_pairs(on)
     require_columns(left, [l for l, _ in pairs], "join, left side")
     require_columns(right, [r for _, r in pairs], "join, right side")
     shared = {r for l, r in pairs if l == r}
@@ -40,13 +92,10 @@ def join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", suffix:
     }
     require_distinct([*left.columns, *renamed.values()], "join")
     right = right.select(*[col(c).alias(n) for c, n in renamed.items()])
-    same = reduce(Column.__and__, [col(l) == col(renamed[r]) for l, r in pairs])
-    joined = left.join(right, same, how)
-    if how in ("left_semi", "left_anti"):
-        return joined
+    joined = spread_join(left, right, [(l, renamed[r]) for l, r in pairs], kind, right_unique)
 
     def kept(name: str) -> Column:
-        if name in shared and how not in ("inner", "left", "left_outer"):
+        if name in shared and kind in ("right", "full"):
             return F.coalesce(col(name), col(f"__right_{name}")).alias(name)
         return col(name)
 
@@ -218,22 +267,14 @@ def match_with_fallback(
     asked = left.withColumn("__how", F.when(col(key).isNotNull(), by_key).otherwise(by_name)).withColumn(
         "__value", F.coalesce(col(key).cast("string"), col(name).cast("string"))
     )
-    columns = [col(c).alias(prefix + c) for c in right.columns]
-    offered = right.select(
-        F.explode(
-            F.array(
-                F.struct(by_key.alias("how"), col(key).cast("string").alias("value")),
-                F.struct(by_name.alias("how"), col(name).cast("string").alias("value")),
-            )
-        ).alias("__offer"),
-        *columns,
-    ).where(F.col("__offer.value").isNotNull())
-    met = (F.col("__how") == F.col("__offer.how")) & (F.col("__value") == F.col("__offer.value"))
-    return (
-        asked.join(offered, met, "left")
-        .withColumn("matched_by", F.when(F.col("__offer").isNotNull(), F.col("__how")))
-        .drop("__how", "__value", "__offer")
+    ways = F.array(
+        F.struct(by_key.alias("__by"), col(key).cast("string").alias("__offer")),
+        F.struct(by_name.alias("__by"), col(name).cast("string").alias("__offer")),
     )
+    columns = [col(c).alias(prefix + c) for c in right.columns]
+    offered = right.select(F.explode(ways).alias("__way"), *columns).select("__way.*", *[col(prefix + c) for c in right.columns])
+    met = spread_join(asked, offered.where(F.col("__offer").isNotNull()), [("__how", "__by"), ("__value", "__offer")], "left")
+    return met.withColumn("matched_by", F.col("__by")).drop("__how", "__value", "__by", "__offer")
 
 
 def resolve_names(names: DataFrame, catalog: DataFrame, name: str = "name", strict: bool = False):

@@ -14,6 +14,7 @@ from math import ceil
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from layerflow.functions.groups import hot_groups, hot_keys
 from layerflow.functions.names import as_list, col, require_columns
 from layerflow.operators.joins import match_struct
 from layerflow.session import cut, max_group_rows
@@ -43,15 +44,6 @@ def fixed(df: DataFrame, by: str | Sequence[str], agg: str, column: str, name: s
     return match_struct(df, per_group, [(k, k) for k in keys], "left")
 
 
-def hot_groups(df: DataFrame, by: Sequence[str]) -> tuple[int, int]:
-    """Measure how many groups exceed what one task should hold, and the rows they have.
-    Reads the keys only and combines counts before the shuffle."""
-    counts = df.groupBy(*[col(k) for k in by]).count()
-    hot = counts.where(F.col("count") > max_group_rows(df.sparkSession))
-    n_hot, n_rows = hot.agg(F.count(F.lit(1)), F.coalesce(F.sum("count"), F.lit(0))).first()
-    return n_hot, n_rows
-
-
 def _accumulate(df: DataFrame, by: list[str], sorting: list[Column], value: str | None, name: str) -> DataFrame:
     window = Window.partitionBy(*[col(k) for k in by]).orderBy(*sorting)
     if value is None:
@@ -100,8 +92,7 @@ def accumulate(df: DataFrame, by: Sequence[str], order: Order, name: str, value:
     n_hot, n_rows = hot_groups(df, keys)
     if not n_hot:
         return _accumulate(df, keys, sorting, value, name)
-    counts = df.groupBy(*[col(k) for k in keys]).count()
-    hot = cut(counts.where(F.col("count") > max_group_rows(df.sparkSession)).drop("count"))
+    hot = hot_keys(df, keys)
     pairs = [(k, k) for k in keys]
     cold_rows = match_struct(df, hot, pairs, "left_anti")
     hot_rows = match_struct(df, hot, pairs, "left_semi")

@@ -79,7 +79,7 @@ def sales_of(enriched: DataFrame) -> DataFrame:
 
 def with_customer(sales: DataFrame, customers: DataFrame) -> DataFrame:
     """One wide table: the fact with its dimension joined in."""
-    return join(sales, customers, [("o_custkey", "c_custkey")], "left").drop("c_custkey")
+    return join(sales, customers, [("o_custkey", "c_custkey")], "left", right_unique=True).drop("c_custkey")
 
 
 def monthly_by_segment(report: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def fct_sales(spark: SparkSession, root: str) -> DataFrame:
 
 def dim_customers(spark: SparkSession, root: str) -> DataFrame:
     customers, nations = stg_shop__customer(spark, root), stg_shop__nation(spark, root)
-    named = join(customers, nations, [("c_nationkey", "n_nationkey")], "left")
+    named = join(customers, nations, [("c_nationkey", "n_nationkey")], "left", right_unique=True)
     return scan(named, ["c_custkey", "c_mktsegment", "c_acctbal", "n_name"])
 
 

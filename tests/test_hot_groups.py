@@ -11,6 +11,7 @@ from layerflow import (
     fill_dates,
     fixed,
     join,
+    match_with_fallback,
     missing_from,
     renumber,
     row_number,
@@ -134,6 +135,35 @@ def test_plain_joins_handle_skew(spark, hot, skew_conf):
     assert out.count() == N
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full", "inner"])
+def test_outer_joins_split_the_filled_side(spark, hot, conf, rows, how):
+    """A third of the right rows under one key: an outer join cannot split it by itself."""
+    left = spark.range(0, 70).select(F.when(F.col("id") != 9, F.col("id")).alias("k"), (F.col("id") + 1).alias("w"))
+    right = hot.where("k IS NULL OR k <> 20")
+    plain = rows(join(left, right, "k", how))
+    swapped = rows(join(right, left, "k", how))
+    conf(spark__layerflow__maxGroupRows=100)
+    assert rows(join(left, right, "k", how)) == plain
+    assert rows(join(right, left, "k", how)) == swapped
+
+
+def test_hot_filled_side_is_split_by_the_inner_join(spark, hot, conf, skew_conf):
+    conf(spark__layerflow__maxGroupRows=500)
+    left = spark.range(0, 50).select(F.col("id").alias("k"), (F.col("id") + 1).alias("w"))
+    out = join(left, hot, "k", "left")
+    assert "SortMergeJoin(skew=true)" in _final_plan(out)
+    assert out.count() == left.toPandas().merge(hot.toPandas().dropna(), on="k", how="left").shape[0]
+
+
+def test_name_matches_survive_hot_names(spark, conf, rows):
+    mine = spark.range(0, 30).select("id", F.lit(None).cast("string").alias("luid"), F.concat(F.lit("n"), F.col("id") % 3).alias("name"))
+    theirs = spark.range(0, 300).select(F.concat(F.lit("L"), "id").alias("luid"), F.when(F.col("id") % 3 == 0, "n0").otherwise(F.concat(F.lit("m"), "id")).alias("name"))
+    plain = rows(match_with_fallback(mine, theirs, "luid", "name"))
+    conf(spark__layerflow__maxGroupRows=50)
+    assert rows(match_with_fallback(mine, theirs, "luid", "name")) == plain
+    assert len(plain) == 10 * 100 + 20
+
+
 def test_copies_collapse_before_the_shuffle(spark):
     same = spark.range(0, 5000, 1, 4).select(F.lit("a").alias("x"), F.lit(1).alias("y"))
     out = value_diff(same, same.limit(4990))
