@@ -49,7 +49,14 @@ from layerflow.operators.joins import (
     resolve_names,
     self_join,
 )
-from layerflow.operators.ledger import failed_runs, map_status, pending, run_summary, upsert_latest
+from layerflow.operators.ledger import (
+    failed_runs,
+    map_status,
+    pending,
+    record_runs,
+    run_summary,
+    upsert_latest,
+)
 from layerflow.operators.lineage import (
     bfs_levels,
     bridge,

@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerflow.functions.names import as_list, col
+from layerflow.operators.joins import attach
 
 # Finish codes and states.
 SUCCESS_CODE = 0
 SUCCESS, FAILED, TIMEOUT, PUBLISHED = "success", "failed", "timeout", "published"
+LIVE = "pds_augment"
 
 
 def upsert_latest(state: DataFrame, updates: DataFrame, key: str | Sequence[str], ts: str) -> DataFrame:
@@ -39,6 +41,30 @@ def map_status(df: DataFrame, code: str, name: str = "run_status") -> DataFrame:
     return df.withColumn(name, status)
 
 
+def record_runs(ledger: DataFrame, runs: DataFrame, key: str, code: str = "finish_code", ts: str = "run_at") -> DataFrame:
+    """The ledger with the latest finished run of each table: ``run_status``, code and time.
+
+    Runs without a code timed out and are not stored. Live tables (kind ``pds_augment``) have
+    no run phase and stay as they are, and so does an entry whose stored run is later than all
+    new ones. Of runs at the same time the largest code stands, so a replay changes nothing.
+    """
+    finished = runs.where(col(code).isNotNull() & col(ts).isNotNull())
+    latest = finished.groupBy(col(key)).agg(F.max(F.struct(col(ts).alias("at"), col(code).alias("code"))).alias("__run"))
+    met = attach(ledger, latest, key, unique=True)
+    newer = (
+        F.col("__run").isNotNull()
+        & ~col("kind").eqNullSafe(F.lit(LIVE))
+        & (col(ts).isNull() | (F.col("__run.at") >= col(ts)))
+    )
+    status = map_status(met.withColumn("__code", F.col("__run.code")), "__code", "__status")
+    updated = {
+        "run_status": F.when(newer, F.col("__status")).otherwise(col("run_status")),
+        code: F.when(newer, F.col("__code")).otherwise(col(code)),
+        ts: F.when(newer, F.col("__run.at")).otherwise(col(ts)),
+    }
+    return status.select(*[updated[c].alias(c) if c in updated else col(c) for c in ledger.columns])
+
+
 def pending(ledger: DataFrame, layer: str) -> DataFrame:
     """Work left in a layer: published, with a flow id, and not yet run successfully."""
     return ledger.where(

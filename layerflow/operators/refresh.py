@@ -74,9 +74,9 @@ def write_extract(df: DataFrame, path: str) -> DataFrame:
     return _read_back(df, path)
 
 
-def _stored(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None) -> DataFrame | None:
+def stored_table(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None) -> DataFrame | None:
     """The table at ``path``, or None when nothing has been written there yet. Partition
-    columns are read with the types of ``df``, as paths do not tell types."""
+    columns come with the types they have in ``df``, as paths do not tell types."""
     try:
         stored = df.sparkSession.read.parquet(path)
     except AnalysisException as error:
@@ -98,7 +98,7 @@ def _require_fit(df: DataFrame, stored: DataFrame) -> None:
 
 def append(df: DataFrame, path: str, partition_by: str | Sequence[str] | None = None) -> None:
     """Append all rows. Appending a whole snapshot to a filled output stores it twice."""
-    stored = _stored(df, path, partition_by)
+    stored = stored_table(df, path, partition_by)
     if stored is not None:
         _require_fit(df, stored)
     _write(df, path, "append", partition_by)
@@ -137,7 +137,7 @@ def incremental_append(
     """
     if mode not in ("incremental", "full"):
         raise ValueError("mode must be 'incremental' or 'full'")
-    stored = _stored(src, out, partition_by)
+    stored = stored_table(src, out, partition_by)
     if stored is not None:
         _require_fit(src, stored)
     fresh = src if mode == "full" else newer_rows(src, stored, control, output_field or control)

@@ -274,10 +274,15 @@ def l16(spark, root):
 
 @query(
     "l16_document_tokens",
-    "SELECT doc_id, unnest(regexp_extract_all(text, '\\[([^\\[\\]]+)\\]', 1)) AS token FROM documents",
+    """SELECT doc_id, token, count(*) AS n FROM (
+           SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '([A-Za-z]+)\\.', '[\\1].', 'g'), '\\[([^\\[\\]]+)\\]', 1)) AS token FROM documents)
+       GROUP BY doc_id, token""",
 )
 def l16_documents(spark, root):
-    return ex.extract_tokens(table(spark, root, "documents").select("doc_id", "text"), "text")
+    """The last word of every sentence as a field reference, over whole texts."""
+    marked = F.regexp_replace("text", r"([A-Za-z]+)\.", "[$1].")
+    tokens = ex.extract_tokens(table(spark, root, "documents").select("doc_id", marked.alias("text")), "text")
+    return tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

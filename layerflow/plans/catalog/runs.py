@@ -24,13 +24,36 @@ def n1(spark, root):
     return lg.upsert_latest(lg.upsert_latest(state, updates, "user_id", "ts"), updates, "user_id", "ts")
 
 
-_CODE = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 7 END"
+_RUNS = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 7 END"
+
+
+@query(
+    "n1_record_runs",
+    f"""WITH r AS (SELECT user_id, ts, {_RUNS} AS code FROM events WHERE event_type <> 'view'),
+            m AS (SELECT user_id, ts, max(code) AS code FROM r GROUP BY user_id, ts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1)
+       SELECT c_custkey AS name, CASE WHEN c_nationkey % 4 = 0 THEN 'pds_augment' ELSE 'tfl' END AS kind,
+              CASE WHEN c_nationkey % 4 = 0 THEN 'n/a' WHEN m.user_id IS NULL THEN 'pending' WHEN code = 0 THEN 'success' ELSE 'failed' END AS run_status,
+              CASE WHEN c_nationkey % 4 <> 0 THEN code END AS finish_code, CASE WHEN c_nationkey % 4 <> 0 THEN ts END AS run_at
+       FROM customer LEFT JOIN m ON c_custkey = user_id""",
+)
+def n1_runs(spark, root):
+    ledger = table(spark, root, "customer").selectExpr(
+        "c_custkey AS name",
+        "CASE WHEN c_nationkey % 4 = 0 THEN 'pds_augment' ELSE 'tfl' END AS kind",
+        "CASE WHEN c_nationkey % 4 = 0 THEN 'n/a' ELSE 'pending' END AS run_status",
+        "CAST(NULL AS INT) AS finish_code",
+        "CAST(NULL AS TIMESTAMP_NTZ) AS run_at",
+    )
+    runs = table(spark, root, "events").selectExpr("user_id AS name", "ts AS run_at", f"{_RUNS} AS finish_code")
+    return lg.record_runs(lg.record_runs(ledger, runs, "name"), runs, "name")
+
+
 _STATUS = "CASE event_type WHEN 'click' THEN 'success' WHEN 'view' THEN 'timeout' ELSE 'failed' END"
 
 
-@query("n2_map_status", f"SELECT event_id, {_CODE} AS code, {_STATUS} AS run_status FROM events")
+@query("n2_map_status", f"SELECT event_id, {_RUNS} AS code, {_STATUS} AS run_status FROM events")
 def n2(spark, root):
-    return lg.map_status(table(spark, root, "events").selectExpr("event_id", f"{_CODE} AS code"), "code")
+    return lg.map_status(table(spark, root, "events").selectExpr("event_id", f"{_RUNS} AS code"), "code")
 
 
 _LEDGER = [
@@ -58,13 +81,13 @@ def n3(spark, root):
         FROM (SELECT *, {_STATUS} AS s FROM events) GROUP BY user_id""",
 )
 def n4(spark, root):
-    runs = table(spark, root, "events").selectExpr("user_id", "value", f"{_CODE} AS code")
+    runs = table(spark, root, "events").selectExpr("user_id", "value", f"{_RUNS} AS code")
     return lg.run_summary(lg.map_status(runs, "code"), "user_id", "value")
 
 
 @query("n4_failed_runs", f"SELECT user_id, event_id, {_STATUS} AS run_status FROM events WHERE event_type <> 'click'")
 def n4_failed(spark, root):
-    runs = table(spark, root, "events").selectExpr("user_id", "event_id", f"{_CODE} AS code")
+    runs = table(spark, root, "events").selectExpr("user_id", "event_id", f"{_RUNS} AS code")
     return lg.failed_runs(lg.map_status(runs, "code"), "user_id", "event_id")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from layerflow.operators.refresh import incremental_append
+from layerflow.operators.refresh import incremental_append, stored_table
 
 
 def incremental_stream(
@@ -17,6 +19,7 @@ def incremental_stream(
     schema: T.StructType | str,
     output_field: str | None = None,
     files_per_batch: int | None = None,
+    partition_by: str | Sequence[str] | None = None,
 ) -> DataFrame:
     """Append every file that has arrived in ``src_dir`` since the last call, batch by batch,
     and give back the stored table.
@@ -31,7 +34,7 @@ def incremental_stream(
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
     def take(batch: DataFrame, _batch_id: int) -> None:
-        incremental_append(batch, out, control, output_field)
+        incremental_append(batch, out, control, output_field, partition_by=partition_by)
 
     query = (
         reader.parquet(src_dir)
@@ -41,4 +44,5 @@ def incremental_stream(
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(out)
+    stored = stored_table(spark.createDataFrame([], schema), out, partition_by)
+    return spark.createDataFrame([], schema) if stored is None else stored

@@ -84,7 +84,9 @@ def test_mark_reaches_the_reader(spark, data, tmp_path):
 
 def test_stream_equals_batch_and_survives_replay(src, spark, tmp_path, rows):
     arriving, out, marks = (str(tmp_path / p) for p in ("in", "out", "marks"))
-    src.where("t <= 2").coalesce(1).write.parquet(arriving)
+    (tmp_path / "in").mkdir()
+    assert incremental_stream(spark, arriving, out, "t", marks, src.schema).count() == 0
+    src.where("t <= 2").coalesce(1).write.mode("append").parquet(arriving)
     assert incremental_stream(spark, arriving, out, "t", marks, src.schema).count() == 3
     src.where("t > 2").coalesce(1).write.mode("append").parquet(arriving)
     assert rows(incremental_stream(spark, arriving, out, "t", marks, src.schema)) == rows(src)

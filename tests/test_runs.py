@@ -9,6 +9,7 @@ from layerflow import (
     json_collect,
     map_status,
     pending,
+    record_runs,
     referenced_fields,
     run_summary,
     upsert_latest,
@@ -44,6 +45,22 @@ def test_pending_and_summary(ledger, rows):
     assert rows(failed_runs(ledger, "layer", "name")) == [("marts", "f2", "failed"), ("staging", "f6", "timeout")]
 
 
+def test_runs_are_recorded_once_and_live_tables_never(spark, rows):
+    schema = "name string, kind string, run_status string, finish_code int, run_at int"
+    ledger = spark.createDataFrame(
+        [("a", "tfl", "pending", None, None), ("b", "tfl", "failed", 1, 9), ("c", "pds_augment", "n/a", None, None), ("d", "tfl", "success", 0, 1)],
+        schema,
+    )
+    runs = spark.createDataFrame(
+        [("a", 2, 5), ("a", 0, 6), ("b", 0, 8), ("c", 0, 7), ("d", None, 9), ("new", 0, 1)], "name string, finish_code int, run_at int"
+    )
+    once = record_runs(ledger, runs, "name")
+    assert rows(once) == sorted(
+        [("a", "tfl", "success", 0, 6), ("b", "tfl", "failed", 1, 9), ("c", "pds_augment", "n/a", None, None), ("d", "tfl", "success", 0, 1)], key=repr
+    )
+    assert rows(record_runs(once, runs, "name")) == rows(once)
+
+
 def test_status_codes(spark):
     df = spark.createDataFrame([(0,), (1,), (2,), (9,), (None,)], "code int")
     assert [r[1] for r in map_status(df, "code").collect()] == ["success", "failed", "failed", "failed", "timeout"]
