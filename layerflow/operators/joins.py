@@ -46,6 +46,26 @@ def spread_join(
     """
     same = reduce(Column.__and__, [col(l) == col(r) for l, r in pairs])
     names_left, names_right = [l for l, _ in pairs], [r for _, r in pairs]
+
+    def without_right(rows: DataFrame) -> DataFrame:
+        return rows.join(right.where(F.lit(False)), same, "left")
+
+    def without_left(rows: DataFrame) -> DataFrame:
+        return left.where(F.lit(False)).join(rows, same, "right")
+
+    if how == "full":
+        # Rows with a null key have no partner, and would all meet in one task.
+        set_left, set_right = _present(names_left), _present(names_right)
+        met = _spread(left.where(set_left), right.where(set_right), pairs, how, right_unique)
+        return met.unionByName(without_right(left.where(~set_left))).unionByName(without_left(right.where(~set_right)))
+    return _spread(left, right, pairs, how, right_unique)
+
+
+def _spread(
+    left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str, right_unique: bool
+) -> DataFrame:
+    same = reduce(Column.__and__, [col(l) == col(r) for l, r in pairs])
+    names_left, names_right = [l for l, _ in pairs], [r for _, r in pairs]
     filled = []
     if how in ("left", "full") and not right_unique:
         filled.append((right.where(_present(names_right)), names_right))
@@ -114,9 +134,11 @@ def match_struct(
     left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]], how: str
 ) -> DataFrame:
     """Join on keys packed into one struct; nulls equal nulls. Right keys are dropped."""
-    packed_left = left.withColumn("__left_key", F.struct(*[col(l) for l, _ in pairs]))
+    keys_left = [col(l).alias(f"k{i}") for i, (l, _) in enumerate(pairs)]
+    keys_right = [col(r).alias(f"k{i}") for i, (_, r) in enumerate(pairs)]
+    packed_left = left.withColumn("__left_key", F.struct(*keys_left))
     rest = [col(c) for c in right.columns if c not in {r for _, r in pairs}]
-    packed_right = right.select(F.struct(*[col(r) for _, r in pairs]).alias("__right_key"), *rest)
+    packed_right = right.select(F.struct(*keys_right).alias("__right_key"), *rest)
     joined = packed_left.join(packed_right, F.col("__left_key") == F.col("__right_key"), how)
     return joined.drop("__left_key", "__right_key")
 

@@ -53,6 +53,17 @@ def test_presence_and_nulls(left, right, rows):
     assert missing_from(left, right.where("false"), "k").count() == 4
 
 
+def test_keys_of_different_width_meet(spark, left, rows):
+    wide = spark.createDataFrame([(1, 2.5), (7, 1.0)], "key bigint, x double")
+    assert rows(exists_in(left, wide, [("k", "key")])) == [(1, "a"), (1, "b")]
+    assert rows(missing_from(wide, left, [("key", "k")])) == [(7, 1.0)]
+    grouped = wide.groupBy("key").agg(F.sum("x").alias("x"))
+    assert rows(attach(left, grouped, [("k", "key")], how="inner", unique=True)) == [(1, "a", 2.5), (1, "b", 2.5)]
+    assert rows(attach(left, wide, [("k", "key")], how="inner")) == [(1, "a", 2.5), (1, "b", 2.5)]
+    as_double = wide.select(F.col("key").cast("double").alias("key"))
+    assert rows(exists_in(left, as_double, [("k", "key")])) == [(1, "a"), (1, "b")]
+
+
 def test_attach_checks_and_keeps_rows(spark, left, right, rows):
     lookup = right.select("k", F.col("v").alias("w"))
     assert rows(attach(left, lookup, "k", found="hit")) == sorted(
