@@ -237,11 +237,12 @@ def unknown_tokens(
         unknown.withColumn("__rank", F.row_number().over(first))
         .where(F.col("__rank") <= show)
         .groupBy(col(group))
-        .agg(F.array_sort(F.collect_list(F.concat(F.lit("["), col(token), F.lit("]")))).alias("__shown"))
+        .agg(F.array_sort(F.collect_list(col(token))).alias("__shown"))
     )
     tail = F.when(
         F.col("n_unknown") > show, F.concat(F.lit(" (+"), (F.col("n_unknown") - show).cast("string"), F.lit(")"))
     ).otherwise(F.lit(""))
+    bracketed = F.transform("__shown", lambda t: F.concat(F.lit("["), t, F.lit("]")))
     return counts.join(top, group).select(
-        col(group), "n_unknown", F.concat(F.array_join("__shown", ", "), tail).alias("shown")
+        col(group), "n_unknown", F.concat(F.array_join(bracketed, ", "), tail).alias("shown")
     )

@@ -129,13 +129,13 @@ def m5_tree(spark, root):
     return ln.bridge(tree.unionByName(last), keep)
 
 
-_MOVED = "CASE WHEN c_acctbal < 0 THEN (c_nationkey + 1) % 25 ELSE c_nationkey END"
+_MOVED = "CASE WHEN c_acctbal < 0 THEN 24 - c_nationkey ELSE c_nationkey END"
 
 
 @query(
     "m6_lineage_closure",
-    """SELECT concat('c', c_custkey) AS node FROM customer WHERE c_acctbal < 0
-       UNION SELECT concat('o', o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0""",
+    """SELECT concat('c', c_custkey) AS node FROM customer WHERE c_acctbal < 0 AND c_nationkey <> 12
+       UNION SELECT concat('o', o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 AND c_nationkey <> 12""",
 )
 def m6(spark, root):
     tree = _edges(spark, root, {k: _PARTS[k] for k in ("customer", "orders")})
@@ -167,14 +167,14 @@ def m7(spark, root):
 @query(
     "m8_derive_edges",
     """SELECT concat('stg', n_nationkey) AS src, concat('int', c_custkey) AS dst, n_name AS name
-       FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0 OR n_regionkey = c_custkey % 5""",
+       FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 9000""",
 )
 def m8(spark, root):
     nations = table(spark, root, "nation")
     outputs = nations.selectExpr("concat('stg', n_nationkey) AS flow", "n_name AS name", "CAST(n_regionkey AS BIGINT) AS scope")
     inputs = (
         table(spark, root, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"))
-        .selectExpr("concat('int', c_custkey) AS flow", "n_name AS name", "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_custkey % 5 END AS scope")
+        .selectExpr("concat('int', c_custkey) AS flow", "n_name AS name", "CASE WHEN c_acctbal < 0 THEN NULL WHEN c_acctbal < 9000 THEN CAST(n_regionkey AS BIGINT) ELSE -1L END AS scope")
     )
     return ln.derive_edges(outputs, inputs, "scope")
 

@@ -86,16 +86,16 @@ def l3(spark, root):
 @query(
     "l3_value_diff_keyed",
     """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'only_a' ELSE 'differs' END AS status,
-              CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderpriority = '5-LOW' AND o_custkey % 3 = 0 THEN 'o_orderpriority,o_totalprice'
+              CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderpriority = '5-LOW' AND o_totalprice > 250000 THEN 'o_orderpriority,o_totalprice'
                    WHEN o_orderpriority = '5-LOW' THEN 'o_orderpriority' ELSE 'o_totalprice' END AS columns
-       FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW' OR o_custkey % 3 = 0""",
+       FROM orders WHERE o_orderstatus = 'P' OR o_orderpriority = '5-LOW' OR o_totalprice > 250000""",
 )
 def l3_keyed(spark, root):
     orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority", "o_orderstatus")
     changed = (
         orders.where("o_orderstatus <> 'P'")
         .withColumn("o_orderpriority", F.expr("CASE WHEN o_orderpriority = '5-LOW' THEN 'low' ELSE o_orderpriority END"))
-        .withColumn("o_totalprice", F.expr("CASE WHEN o_custkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice + 0.001D END"))
+        .withColumn("o_totalprice", F.expr("CASE WHEN o_totalprice > 250000 THEN o_totalprice + 1 ELSE o_totalprice + 0.001D END"))
     )
     return value_diff(orders, changed, key="o_orderkey", tol=0.01).withColumn("columns", F.array_join("columns", ","))
 
@@ -122,14 +122,14 @@ def l3_layers(spark, root):
 
 @query(
     "l4_resolve_pairs",
-    """WITH o AS (SELECT n_name AS name FROM nation), s AS (SELECT CASE WHEN s_acctbal < 0 THEN NULL WHEN s_nationkey % 5 = 0 THEN 'unknown' ELSE 'x' END AS kind, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    """WITH o AS (SELECT n_name AS name FROM nation), s AS (SELECT CASE WHEN s_acctbal < 0 THEN NULL WHEN n_regionkey = 0 THEN 'unknown' ELSE 'x' END AS kind, s_name, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
             claims AS (SELECT CASE WHEN kind = 'unknown' THEN 'gone' ELSE n_name END AS original, s_name AS successor FROM s WHERE kind IS NOT NULL)
        SELECT c.original, c.successor, CASE WHEN o.name IS NULL THEN 'unknown_original' ELSE 'paired' END AS status FROM claims c LEFT JOIN o ON c.original = o.name
        UNION ALL SELECT name, NULL, 'no_successor' FROM o WHERE name NOT IN (SELECT original FROM claims)""",
 )
 def l4(spark, root):
     nations = table(spark, root, "nation")
-    declared = F.expr("CASE WHEN s_acctbal < 0 THEN NULL WHEN s_nationkey % 5 = 0 THEN 'gone' ELSE n_name END")
+    declared = F.expr("CASE WHEN s_acctbal < 0 THEN NULL WHEN n_regionkey = 0 THEN 'gone' ELSE n_name END")
     successors = (
         table(spark, root, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_name", declared.alias("declared"))
     )
@@ -184,8 +184,8 @@ def l12(spark, root):
     return ex.expect_count(table(spark, root, "supplier"), 25)
 
 
-_NAMES = """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'stg_shop__' || replace(p_name, ' ', '_') WHEN 1 THEN 'stg_' || replace(p_name, ' ', '_')
-            WHEN 2 THEN 'int_' || replace(p_name, ' ', '-') WHEN 3 THEN 'FCT_' || upper(replace(p_name, ' ', '_')) ELSE 'fct_' || replace(p_name, ' ', '_') || '_v2' END AS name FROM part"""
+_NAMES = """SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'stg_shop__' || replace(p_name, ' ', '_') WHEN p_size <= 20 THEN 'stg_' || replace(p_name, ' ', '_')
+            WHEN p_size <= 30 THEN 'int_' || replace(p_name, ' ', '-') WHEN p_size <= 40 THEN 'FCT_' || upper(replace(p_name, ' ', '_')) ELSE 'fct_' || replace(p_name, ' ', '_') || '_v2' END AS name FROM part"""
 
 
 @query(
@@ -198,8 +198,8 @@ _NAMES = """SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'stg_shop__' || replac
 )
 def l13(spark, root):
     name = F.expr(
-        """CASE p_size % 5 WHEN 0 THEN 'stg_shop__' || replace(p_name, ' ', '_') WHEN 1 THEN 'stg_' || replace(p_name, ' ', '_')
-           WHEN 2 THEN 'int_' || replace(p_name, ' ', '-') WHEN 3 THEN 'FCT_' || upper(replace(p_name, ' ', '_'))
+        """CASE WHEN p_size <= 10 THEN 'stg_shop__' || replace(p_name, ' ', '_') WHEN p_size <= 20 THEN 'stg_' || replace(p_name, ' ', '_')
+           WHEN p_size <= 30 THEN 'int_' || replace(p_name, ' ', '-') WHEN p_size <= 40 THEN 'FCT_' || upper(replace(p_name, ' ', '_'))
            ELSE 'fct_' || replace(p_name, ' ', '_') || '_v2' END"""
     )
     return ex.expect_pattern(table(spark, root, "part").select("p_partkey", name.alias("name")), "name")
@@ -260,7 +260,7 @@ def l15(spark, root):
     return ex.coverage(items, assigned, "item", "grp")
 
 
-_EXPRESSION = "concat('[', o_orderstatus, '] + IF [', o_orderpriority, '] THEN [Number of Rows] ELSE [c', CAST(o_custkey % 40 AS {text}), '] END')"
+_EXPRESSION = "concat('[', o_orderstatus, '] + IF [', o_orderpriority, '] THEN [Number of Rows] ELSE [c', CAST(o_custkey AS {text}), '] END')"
 
 
 @query(
@@ -287,24 +287,18 @@ def l16_documents(spark, root):
 
 @query(
     "l17_unknown_tokens",
-    """WITH t AS (SELECT DISTINCT o_orderpriority AS flow, unnest([o_orderstatus, 'Number of Rows', 'c' || lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0')]) AS token FROM orders),
-            allowed AS (SELECT DISTINCT o_orderpriority AS flow, o_orderstatus AS token FROM orders WHERE o_orderpriority <> '5-LOW'
-                        UNION SELECT DISTINCT o_orderpriority, 'c' || lpad(CAST(o_custkey % 40 AS VARCHAR), 2, '0') FROM orders WHERE o_custkey % 40 > 12 AND o_orderpriority = '1-URGENT' OR o_custkey % 40 > 5 AND o_orderpriority = '2-HIGH'),
+    """WITH t AS (SELECT DISTINCT p_type AS flow, unnest([p_name, 'Number of Rows', p_brand]) AS token FROM part),
+            allowed AS (SELECT p_type AS flow, p_name AS token FROM part WHERE p_size > 10 UNION SELECT p_type, p_brand FROM part WHERE p_size > 48),
             u AS (SELECT flow, token, row_number() OVER (PARTITION BY flow ORDER BY token) AS r, count(*) OVER (PARTITION BY flow) AS n
                   FROM t WHERE token <> 'Number of Rows' AND (flow, token) NOT IN (SELECT (flow, token) FROM allowed))
        SELECT flow, n AS n_unknown, string_agg('[' || token || ']', ', ' ORDER BY token) || CASE WHEN n > 8 THEN ' (+' || (n - 8) || ')' ELSE '' END AS shown
        FROM u WHERE r <= 8 GROUP BY flow, n""",
 )
 def l17(spark, root):
-    orders = table(spark, root, "orders")
-    code = F.expr("concat('c', lpad(CAST(o_custkey % 40 AS STRING), 2, '0'))")
-    texts = orders.select(
-        F.col("o_orderpriority").alias("flow"),
-        F.concat(F.lit("["), "o_orderstatus", F.lit("] * [Number of Rows] / ["), code, F.lit("]")).alias("expression"),
-    )
-    allowed = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("flow"), F.col("o_orderstatus").alias("token")).union(
-        orders.where(
-            "o_custkey % 40 > 12 AND o_orderpriority = '1-URGENT' OR o_custkey % 40 > 5 AND o_orderpriority = '2-HIGH'"
-        ).select("o_orderpriority", code)
+    parts = table(spark, root, "part")
+    text = F.concat(F.lit("["), "p_name", F.lit("] * [Number of Rows] / ["), "p_brand", F.lit("]"))
+    tokens = ex.extract_tokens(parts.select(F.col("p_type").alias("flow"), text.alias("expression")), "expression")
+    allowed = parts.where("p_size > 10").select(F.col("p_type").alias("flow"), F.col("p_name").alias("token")).union(
+        parts.where("p_size > 48").select("p_type", "p_brand")
     )
-    return ex.unknown_tokens(ex.extract_tokens(texts, "expression"), allowed, "flow")
+    return ex.unknown_tokens(tokens, allowed, "flow")

@@ -99,7 +99,7 @@ def j6(spark, root):
     "j7_refresh_mode",
     """WITH settings AS (SELECT c_nationkey AS flow, c_acctbal > 0 AS enabled,
                                CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN lower(c_mktsegment) END AS control,
-                               CASE WHEN c_custkey % 10 < 8 THEN 'out' END AS target FROM customer),
+                               CASE WHEN c_acctbal < 8000 THEN 'out' END AS target FROM customer),
             outputs AS (SELECT s_nationkey AS flow, s_acctbal > 8000 AS appends FROM supplier),
             i AS (SELECT flow, count(*) FILTER (enabled AND control IS NOT NULL AND target IS NOT NULL) AS n_effective,
                          count(*) FILTER (enabled AND (control IS NULL OR target IS NULL)) AS n_inert,
@@ -115,7 +115,7 @@ def j7(spark, root):
         "c_nationkey AS flow",
         "c_acctbal > 0 AS incremental_enabled",
         "CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN lower(c_mktsegment) END AS control_field",
-        "CASE WHEN c_custkey % 10 < 8 THEN 'out' END AS output_node_id",
+        "CASE WHEN c_acctbal < 8000 THEN 'out' END AS output_node_id",
     )
     outputs = table(spark, root, "supplier").selectExpr(
         "s_nationkey AS flow",

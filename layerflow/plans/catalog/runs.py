@@ -31,16 +31,16 @@ _RUNS = "CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase'
     "n1_record_runs",
     f"""WITH r AS (SELECT user_id, ts, {_RUNS} AS code FROM events WHERE event_type <> 'view'),
             m AS (SELECT user_id, ts, max(code) AS code FROM r GROUP BY user_id, ts QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) = 1)
-       SELECT c_custkey AS name, CASE WHEN c_nationkey % 4 = 0 THEN 'pds_augment' ELSE 'tfl' END AS kind,
-              CASE WHEN c_nationkey % 4 = 0 THEN 'n/a' WHEN m.user_id IS NULL THEN 'pending' WHEN code = 0 THEN 'success' ELSE 'failed' END AS run_status,
-              CASE WHEN c_nationkey % 4 <> 0 THEN code END AS finish_code, CASE WHEN c_nationkey % 4 <> 0 THEN ts END AS run_at
+       SELECT c_custkey AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'pds_augment' ELSE 'flow' END AS kind,
+              CASE WHEN c_mktsegment = 'BUILDING' THEN 'n/a' WHEN m.user_id IS NULL THEN 'pending' WHEN code = 0 THEN 'success' ELSE 'failed' END AS run_status,
+              CASE WHEN c_mktsegment <> 'BUILDING' THEN code END AS finish_code, CASE WHEN c_mktsegment <> 'BUILDING' THEN ts END AS run_at
        FROM customer LEFT JOIN m ON c_custkey = user_id""",
 )
 def n1_runs(spark, root):
     ledger = table(spark, root, "customer").selectExpr(
         "c_custkey AS name",
-        "CASE WHEN c_nationkey % 4 = 0 THEN 'pds_augment' ELSE 'tfl' END AS kind",
-        "CASE WHEN c_nationkey % 4 = 0 THEN 'n/a' ELSE 'pending' END AS run_status",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN 'pds_augment' ELSE 'flow' END AS kind",
+        "CASE WHEN c_mktsegment = 'BUILDING' THEN 'n/a' ELSE 'pending' END AS run_status",
         "CAST(NULL AS INT) AS finish_code",
         "CAST(NULL AS TIMESTAMP_NTZ) AS run_at",
     )
@@ -60,7 +60,7 @@ _LEDGER = [
     "o_orderkey AS name",
     "CASE o_orderstatus WHEN 'F' THEN 'staging' WHEN 'O' THEN 'intermediate' ELSE 'marts' END AS layer",
     "CASE WHEN o_orderpriority = '5-LOW' THEN 'pending' ELSE 'published' END AS publish_status",
-    "CASE WHEN o_custkey % 7 = 0 THEN NULL ELSE concat('f', o_orderkey) END AS flow_luid",
+    "CASE WHEN o_totalprice < 50000 THEN NULL ELSE concat('f', o_orderkey) END AS flow_luid",
     "CASE WHEN o_totalprice > 300000 THEN 'success' WHEN o_totalprice > 150000 THEN 'failed' END AS run_status",
 ]
 
@@ -125,12 +125,12 @@ def o3(spark, root):
 
 _DEFINITION = """concat('{"specification":{"basic_specification":{"measure":{"field":"', p_brand, '"},"time_dimension":{"field":"', p_type,
     '"},"filters":[{"field":"', p_name, '"},{"field":"size', p_size, '"}]},"viz_state_specification":{"viz_state_string":"{\\\\"vizState\\\\":{\\\\"rows\\\\":[{\\\\"fieldCaption\\\\":\\\\"v',
-    p_size % 7, '\\\\"}]}}"}},"extension_options":{"allowed_dimensions":["', p_brand, '","dim"]}}')"""
+    p_size, '\\\\"}]}}"}},"extension_options":{"allowed_dimensions":["', p_brand, '","dim"]}}')"""
 
 
 @query(
     "o4_referenced_fields",
-    """SELECT DISTINCT p_partkey, unnest([p_brand, p_type, p_name, 'size' || p_size, 'v' || (p_size % 7), 'dim']) AS field FROM part""",
+    """SELECT DISTINCT p_partkey, unnest([p_brand, p_type, p_name, 'size' || p_size, 'v' || p_size, 'dim']) AS field FROM part""",
 )
 def o4(spark, root):
     definitions = table(spark, root, "part").selectExpr("p_partkey", f"{_DEFINITION} AS definition")

@@ -83,7 +83,7 @@ def test_simple_expectations(spark, a, rows):
 
 def test_names(spark, rows):
     names = [
-        "stg_salesforce__opportunities", "int_orders_joined", "fct_sales", "agg_revenue_monthly", "_scratch_try",
+        "stg_crm__opportunities", "int_orders_joined", "fct_sales", "agg_revenue_monthly", "_scratch_try",
         "Orders", "stg_orders_v2", "FCT_SALES", "int_orders-joined",
     ]
     df = spark.createDataFrame([(n,) for n in names], "name string")
@@ -135,3 +135,6 @@ def test_tokens(spark, rows):
     assert rows(tokens) == sorted([("f", "銘柄"), ("f", "約定日"), ("f", "Table Names")], key=repr)
     allowed = spark.createDataFrame([("f", "銘柄"), ("g", "約定日")], "flow string, token string")
     assert rows(unknown_tokens(tokens, allowed, "flow")) == [("f", 1, "[約定日]")]
+    # in the order of the names, not of the bracketed names
+    numbered = spark.createDataFrame([("f", "c1"), ("f", "c10"), ("f", "c2")], "flow string, token string")
+    assert rows(unknown_tokens(numbered, allowed, "flow", show=2)) == [("f", 3, "[c1], [c10] (+1)")]

@@ -48,7 +48,7 @@ def test_pending_and_summary(ledger, rows):
 def test_runs_are_recorded_once_and_live_tables_never(spark, rows):
     schema = "name string, kind string, run_status string, finish_code int, run_at int"
     ledger = spark.createDataFrame(
-        [("a", "tfl", "pending", None, None), ("b", "tfl", "failed", 1, 9), ("c", "pds_augment", "n/a", None, None), ("d", "tfl", "success", 0, 1)],
+        [("a", "flow", "pending", None, None), ("b", "flow", "failed", 1, 9), ("c", "pds_augment", "n/a", None, None), ("d", "flow", "success", 0, 1)],
         schema,
     )
     runs = spark.createDataFrame(
@@ -56,7 +56,7 @@ def test_runs_are_recorded_once_and_live_tables_never(spark, rows):
     )
     once = record_runs(ledger, runs, "name")
     assert rows(once) == sorted(
-        [("a", "tfl", "success", 0, 6), ("b", "tfl", "failed", 1, 9), ("c", "pds_augment", "n/a", None, None), ("d", "tfl", "success", 0, 1)], key=repr
+        [("a", "flow", "success", 0, 6), ("b", "flow", "failed", 1, 9), ("c", "pds_augment", "n/a", None, None), ("d", "flow", "success", 0, 1)], key=repr
     )
     assert rows(record_runs(once, runs, "name")) == rows(once)
 
