@@ -293,6 +293,7 @@ def match_with_fallback(
         F.struct(by_key.alias("__by"), col(key).cast("string").alias("__offer")),
         F.struct(by_name.alias("__by"), col(name).cast("string").alias("__offer")),
     )
+    require_distinct([*left.columns, *[prefix + c for c in right.columns]], "match_with_fallback")
     columns = [col(c).alias(prefix + c) for c in right.columns]
     offered = right.select(F.explode(ways).alias("__way"), *columns).select("__way.*", *[col(prefix + c) for c in right.columns])
     met = spread_join(asked, offered.where(F.col("__offer").isNotNull()), [("__how", "__by"), ("__value", "__offer")], "left")

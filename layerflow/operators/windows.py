@@ -19,6 +19,9 @@ from layerflow.functions.names import as_list, col, require_columns
 from layerflow.operators.joins import match_struct
 from layerflow.session import cut, max_group_rows
 
+# Rows of an ungrouped table up to which one task may number them.
+TINY_ROWS = 100_000
+
 Order = str | tuple[str, str] | Sequence[str | tuple[str, str]]
 
 
@@ -85,10 +88,13 @@ def _accumulate_split(
 def accumulate(df: DataFrame, by: Sequence[str], order: Order, name: str, value: str | None = None) -> DataFrame:
     """Row number (``value=None``) or running sum per group, in an order that tells all rows
     of a group apart. Only the rows of hot groups are range-split; without ``by`` the whole
-    table is one group."""
+    table is one group, and is split unless it is measured to be tiny."""
     keys, sorting = list(by), _sorting(order)
     if not keys:
-        return _accumulate_split(df, keys, sorting, value, name, df.count())
+        n_rows = df.count()
+        if n_rows <= min(TINY_ROWS, max_group_rows(df.sparkSession)):
+            return _accumulate(df, keys, sorting, value, name)
+        return _accumulate_split(df, keys, sorting, value, name, n_rows)
     n_hot, n_rows = hot_groups(df, keys)
     if not n_hot:
         return _accumulate(df, keys, sorting, value, name)

@@ -18,7 +18,8 @@ def build_session(app: str = "layerflow", master: str | None = None, **conf: str
 
     Adaptive execution does the run-time sizing: it coalesces small shuffle partitions,
     turns joins with a small measured side into broadcast joins, and splits hot partitions
-    of sort-merge joins.
+    of sort-merge joins. Further settings are keywords with ``__`` for each dot:
+    ``spark__sql__shuffle__partitions="4000"``.
     """
     builder = (
         SparkSession.builder.appName(app)

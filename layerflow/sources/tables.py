@@ -15,8 +15,11 @@ from layerflow.functions.names import as_list, col
 DESIGN_ROW_LIMIT = 393216
 
 
-def read_dataset(spark: SparkSession, root: str, name: str, layer: str | None = None) -> DataFrame:
-    """A published table of a layer, or (``layer=None``) a pre-existing table in ``root``."""
+def read_dataset(spark: SparkSession, root: str | None, name: str, layer: str | None = None) -> DataFrame:
+    """A published table of a layer, or (``layer=None``) a pre-existing table in ``root``.
+    With ``root=None`` the name is looked up in the session: live and bucketed tables."""
+    if root is None:
+        return spark.table(name)
     path = f"{root}/{layer}/{name}" if layer else f"{root}/{name}.parquet"
     return spark.read.parquet(path)
 

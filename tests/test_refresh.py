@@ -34,6 +34,7 @@ def test_publish_overwrites_and_layers_are_checked(src, spark, tmp_path, rows):
 def test_view_stores_nothing(src, spark):
     assert publish_view(src, "live_src").count() == 4
     assert spark.sql("SELECT count(*) FROM live_src").first()[0] == 4
+    assert read_dataset(spark, None, "live_src").count() == 4
 
 
 def test_incremental_takes_rows_past_the_mark_only(src, tmp_path, rows):
