@@ -4,9 +4,10 @@ import pytest
 from compare import connect, differences
 from conftest import DATA
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from layerflow.plans.catalog import ORACLES, QUERIES
 
-QUERIES, SQL = queries(), oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
