@@ -1,6 +1,6 @@
 """All queries of the corpus operators, and their SQL."""
 
-from layerflow.llm import language, licences, mixing, quality, sharding  # noqa: F401
+from layerflow.llm import fingerprints, language, licences, mixing, quality, sharding  # noqa: F401
 from layerflow.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
