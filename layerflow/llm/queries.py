@@ -1,6 +1,6 @@
 """All queries of the corpus operators, and their SQL."""
 
-from layerflow.llm import extraction, fingerprints, language, licences, mixing, privacy, quality, sharding  # noqa: F401
+from layerflow.llm import decontamination, extraction, fingerprints, language, licences, mixing, privacy, quality, sharding  # noqa: F401
 from layerflow.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
