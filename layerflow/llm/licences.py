@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerflow.llm.common import query, table, text_or_empty
@@ -16,12 +16,40 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*(?:copyright\b|\(c\)|©)[^\n]*(?:[0-9]{4}|©|\(c\)
 VARIANTS = r"\b(?:" + "|".join(other for other, _ in EQUIVALENT_SPELLINGS) + r")\b"
 
 
-def with_digest(df: DataFrame, text: str, into: str = "digest") -> DataFrame:
+#: What a text must have to have a copyright line.
+COPYRIGHT_SIGNS = ("copyright", "(c)", "©")
+
+
+def _without_copyright(text: Column) -> Column:
+    low = F.lower(text)
+    signed = F.lit(False)
+    for sign in COPYRIGHT_SIGNS:
+        signed = signed | F.contains(low, F.lit(sign))
+    return F.when(signed, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+
+
+def _first_word(text: Column) -> Column:
+    return F.regexp_extract(text, r"^[^\p{L}\p{N}]*+([\p{L}\p{N}]++)", 1)
+
+
+def _first_spellings(word: str) -> set[str]:
+    """The first words that a text can have before equivalent spellings are made one, if
+    ``word`` is the first one afterwards."""
+    found = {word}
+    while more := {o.split()[0] for o, usual in EQUIVALENT_SPELLINGS if usual.split()[0] in found} - found:
+        found |= more
+    return found
+
+
+def with_digest(df: DataFrame, text: str, into: str = "digest", first: list[str] | None = None) -> DataFrame:
     """Add the digest of the canonical form of a text: lower case, copyright lines removed,
     every run of characters other than letters and digits one blank, and equivalent spellings
-    made one. The spellings are only gone through in texts that have one of them."""
-    plain = F.regexp_replace(F.lower(F.col(text)), COPYRIGHT_LINE, " ")
-    df = df.withColumn(into, F.btrim(F.regexp_replace(plain, r"[^\p{L}\p{N}]+", " ")))
+    made one. The spellings are only gone through in texts that have one of them. Given the
+    words in ``first``, texts that begin with none of them are left out before."""
+    df = df.withColumn(into, _without_copyright(F.col(text)))
+    if first is not None:
+        df = df.where(_first_word(F.col(into)).isin(*first))
+    df = df.withColumn(into, F.btrim(F.regexp_replace(into, r"[^\p{L}\p{N}]+", " ")))
     spelt = F.col(into)
     for other, usual in EQUIVALENT_SPELLINGS:
         spelt = F.regexp_replace(spelt, rf"\b{other}\b", usual)
@@ -29,10 +57,12 @@ def with_digest(df: DataFrame, text: str, into: str = "digest") -> DataFrame:
 
 
 def known_licences(spark: SparkSession, texts: dict[str, str] = LICENCES) -> DataFrame:
-    """The digests of the known licences as (licence, digest). Texts that are equal in
-    canonical form are one licence, named by the first of their names."""
+    """The digests of the known licences as (licence, digest, first): ``first`` are the words
+    that their texts begin with. Texts that are equal in canonical form are one licence, named
+    by the first of their names."""
     rows = spark.createDataFrame(sorted(texts.items()), "licence string, text string")
-    return with_digest(rows, "text").groupBy("digest").agg(F.min("licence").alias("licence"))
+    rows = with_digest(rows, "text").withColumn("first", _first_word(_without_copyright(F.col("text"))))
+    return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.collect_set("first").alias("first"))
 
 
 def scan_licences(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -43,13 +73,15 @@ def scan_licences(docs: DataFrame, known: DataFrame, key: str = "doc_id") -> Dat
     nothing but punctuation, and null texts, have no find; a text of one line can be found as
     line 0 and as line 1. Repeated rows repeat their finds.
 
-    The join is on the digest. ``known`` is left to Spark to broadcast by its measured size.
+    The join is on the digest. Texts whose first word is that of no known licence have no find
+    and are left out before the rest of their canonical form is made. ``known`` is left to
+    Spark to broadcast by its measured size.
     """
+    words = {w for r in known.select("first").collect() for f in r["first"] if f for w in _first_spellings(f)}
     text = text_or_empty()
     units = docs.select(F.col(key), F.posexplode(F.concat(F.array(text), F.split(text, "\n"))).alias("line", "unit"))
-    units = with_digest(units.where(F.length("unit") > 0), "unit").select(key, "line", "digest")
-    empty = F.sha2(F.lit(""), 256)
-    return units.join(known.where(F.col("digest") != empty), "digest").select(
+    units = with_digest(units, "unit", first=sorted(words)).select(key, "line", "digest")
+    return units.join(known, "digest").select(
         key, F.col("line").cast("long").alias("line"), "licence", "digest"
     )
 
