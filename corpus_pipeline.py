@@ -3,12 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from layerflow.llm.decontamination import drop_leaked
+from layerflow.llm.jaccard import drop_near_copies
+from layerflow.llm.language import UNKNOWN, label_documents, learnt
 from layerflow.llm.mixing import mix_sources
 from layerflow.llm.sharding import shard_documents
 from layerflow.session import cut
 from layerflow.sources import read_dataset
 
+#: A document goes if no language has half of its letters' score.
+LEAST_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents with a language: those without letters go, and those of which no
+    language has enough. Null texts go as well."""
+    found = label_documents(docs, learnt(docs), spans=False)
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near copies, that with the smallest id."""
+    return drop_near_copies(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without benchmark items."""
+    return drop_leaked(docs, read_dataset(spark, sf_dir, "benchmark"))
+
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each source's documents as often as the target weights ask for."""
@@ -20,9 +44,16 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shard_documents(docs)
 
 
-STAGES = [("mixing", mix), ("sharding", shard)]
+STAGES = [
+    ("language", language),
+    ("near_copies", near_copies),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+    ("sharding", shard),
+]
 
-#: The compression of language spans and the similarity joins have no SQL on whole tables.
+#: The first stage decodes spans with a learnt model, which SQL cannot express; the stages are
+#: tested against brute-force versions instead.
 ORACLE_SQL = None
 
 
