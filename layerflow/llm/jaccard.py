@@ -43,6 +43,7 @@ _SEPARATES = np.zeros(256, dtype=bool)
 _SEPARATES[[0x20, *range(0x09, 0x0E)]] = True
 _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * _A)
 _BYTES[0x41:0x5B] = _BYTES[0x61:0x7B]  # A-Z count as a-z
+_SEEDS = np.arange(1, ORDERS + 1, dtype=np.uint64) * _A
 _FACTORS = _mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * _C) | np.uint64(1)
 
 
@@ -314,7 +315,7 @@ def links_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     for order in range(ORDERS):
         first = []
         for s in sets:
-            rank = _mix(s.view(np.uint64) ^ (np.uint64(order + 1) * _A))
+            rank = _mix(s.view(np.uint64) ^ _SEEDS[order])
             p = int(prefix_size(len(s)))
             first.append(s[np.argpartition(rank, p - 1)[:p]] if p < len(s) else s)
         if some:
