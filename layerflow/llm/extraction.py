@@ -135,7 +135,7 @@ def extract_main_text(pages: DataFrame, model: Field, keep: list[str], html: str
         for batch in batches:
             yield pd.Series([model.main_text(page) for page in batch], dtype=object)
 
-    run = F.pandas_udf(extract, "string", F.PandasUDFType.SCALAR_ITER)
+    run = F.pandas_udf(extract, "string")
     found = pages.select(*[F.col(k) for k in keep], run(F.coalesce(html, F.lit(""))).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
 

@@ -161,7 +161,7 @@ def shingle_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             rows = [(len(s), _key(s) if len(s) else None) for s in shingle_sets(list(batch))]
             yield pd.DataFrame(rows, columns=["n", "set"])
 
-    run = F.pandas_udf(keys, "n long, set binary", F.PandasUDFType.SCALAR_ITER)
+    run = F.pandas_udf(keys, "n long, set binary")
     rows = docs.select(F.col(key), run(text_or_empty()).alias("found"))
     return rows.select(key, F.col("found.n").alias("n_shingles"), F.col("found.set").alias("set"))
 

@@ -149,8 +149,8 @@ class Model:
 
     def word_scores(self, words: Words) -> np.ndarray:
         """A row for each word: how far each language lies behind the best one."""
-        if not len(words.first):
-            return np.zeros((0, len(self.languages)), np.float32)
+        if not len(words.first) or not self.languages:
+            return np.zeros((len(words.first), len(self.languages)), np.float32)
         out = np.add.reduceat(self.scores[words.counters], words.first, axis=0)
         candidates = self.written[words.script]
         some = candidates.any(axis=1, keepdims=True)
@@ -278,7 +278,7 @@ def label_documents(docs: DataFrame, model: Model, spans: bool = True) -> DataFr
             rows = [(lang, score, [{"lang": s[0], "start": s[1], "end": s[2]} for s in own] if spans else []) for lang, score, own in found]
             yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
 
-    run = F.pandas_udf(label, LABELS, F.PandasUDFType.SCALAR_ITER)
+    run = F.pandas_udf(label, LABELS)
     return packed(docs, found=run(text_or_empty())).select("row", "found.*")
 
 

@@ -133,7 +133,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
         share = (ones + 1) / (ids.count() + 2)
         return Model(None, 0.0, float(np.log(share / (1 - share))))
     model = Model((_dictionary(by_class[0]), _dictionary(by_class[1])), 1.0, 0.0)
-    difference = F.pandas_udf(lambda texts: map(pd.Series, model.differences(texts)), "double", F.PandasUDFType.SCALAR_ITER)
+
+    def differ(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from map(pd.Series, model.differences(texts))
+
+    difference = F.pandas_udf(differ, "double")
     rows = sampled.where("role = 1").select("y", "text").select("y", difference("text").alias("x")).collect()
     x, y = np.array([r.x for r in rows]), np.array([float(r.y) for r in rows])
     if len(set(y)) < 2:
@@ -153,7 +157,7 @@ def score_quality(docs: DataFrame, model: Model, keep: list[str], into: str = "s
         for difference in model.differences(texts):
             yield pd.Series(model.curve(difference))
 
-    run = F.pandas_udf(score, "double", F.PandasUDFType.SCALAR_ITER)
+    run = F.pandas_udf(score, "double")
     return docs.select(*[F.col(k) for k in keep], run(text_or_empty()).alias(into))
 
 
