@@ -34,6 +34,7 @@ from layerflow.operators.expectations import (
     expect_when,
     extract_tokens,
     run_expectations,
+    shown_tokens,
     unknown_tokens,
 )
 from layerflow.operators.joins import (

@@ -42,7 +42,7 @@ def _strings_under(document: str | None, keys: frozenset[str]) -> list[str] | No
         return None
     try:
         todo = [json.loads(document)]
-    except ValueError:
+    except (ValueError, RecursionError):
         return None
     found = set()
     while todo:
@@ -62,7 +62,8 @@ def json_collect(df: DataFrame, column: str, keys: Sequence[str], name: str = "v
     """One row per distinct string a document holds under ``keys``, at whatever depth.
 
     Depth is unknown, so no fixed schema fits: the documents go through one Arrow-batched
-    function that sees the JSON column only. Malformed documents give no rows.
+    function that sees the JSON column only. Malformed documents give no rows here;
+    ``malformed_documents`` finds them.
     """
     wanted = frozenset(keys)
 
@@ -74,6 +75,11 @@ def json_collect(df: DataFrame, column: str, keys: Sequence[str], name: str = "v
     return df.select(*others, F.explode(strings(col(column))).alias(name))
 
 
+def malformed_documents(df: DataFrame, column: str) -> DataFrame:
+    """The rows whose document does not parse; null is no document."""
+    return df.where(col(column).isNotNull() & F.try_parse_json(col(column)).isNull())
+
+
 def referenced_fields(definitions: DataFrame, key: str, column: str, name: str = "field") -> DataFrame:
     """Distinct field names each metric definition refers to: measure, time dimension,
     filters, allowed dimensions, and the shelves of an embedded view state (itself JSON in

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping, Sequence
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -13,8 +14,18 @@ from layerflow.functions.names import as_list, col, require_columns
 from layerflow.functions.text import split_literal, title_case
 from layerflow.operators.joins import attach
 
-# A mapping up to this size travels inside the expression; a larger one is joined.
-INLINE_MAPPING = 200
+def _typed(value: Any, kind: str) -> Any:
+    """A Python value as one that a column of this type holds."""
+    if value is None:
+        return None
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return int(value)
+    if kind in ("float", "double"):
+        return float(value)
+    return str(value) if kind == "string" else Decimal(str(value)) if kind.startswith("decimal") else value
+
+
+WHITE_SPACE = " \t\n\x0b\f\r"
 
 
 def value_filter(
@@ -57,22 +68,18 @@ def add_row_unit(df: DataFrame) -> DataFrame:
 
 def group_values(df: DataFrame, column: str, mapping: Mapping[Any, Any] | DataFrame) -> DataFrame:
     """Bring many spellings to one. ``mapping`` is a dict, or a DataFrame (spelling, value)
-    with one row per spelling for mappings of any size. Unmapped values stay."""
+    with one row per spelling. Spellings and values take the column's type; a null spelling
+    and a spelling mapped to null change nothing. Unmapped values stay. A mapping of any size
+    is looked up by one join, which Spark broadcasts by the mapping's measured size."""
     require_columns(df, [column], "group_values")
-    if isinstance(mapping, Mapping) and len(mapping) <= INLINE_MAPPING:
-        if not mapping:
-            return df
-        pairs = [F.lit(x) for pair in mapping.items() for x in pair]
-        return df.withColumn(
-            column, F.coalesce(F.try_element_at(F.create_map(*pairs), col(column)), col(column))
-        )
+    kind = df.schema[column].dataType.simpleString()
     if isinstance(mapping, Mapping):
-        kind = df.schema[column].dataType.simpleString()
-        mapping = df.sparkSession.createDataFrame(
-            list(mapping.items()), f"`spelling` {kind}, `value` {kind}"
-        )
+        rows = [(_typed(k, kind), _typed(v, kind)) for k, v in mapping.items()]
+        mapping = df.sparkSession.createDataFrame(rows, f"`spelling` {kind}, `value` {kind}")
     spelling, value = mapping.columns
-    looked_up = mapping.select(col(spelling).alias("__spelling"), col(value).alias("__value"))
+    looked_up = mapping.select(
+        col(spelling).cast(kind).alias("__spelling"), col(value).cast(kind).alias("__value")
+    ).where(F.col("__spelling").isNotNull())
     joined = attach(df, looked_up, [(column, "__spelling")])
     return joined.withColumn(column, F.coalesce(col("__value"), col(column))).drop("__value")
 
@@ -86,7 +93,7 @@ def split_column(df: DataFrame, column: str, sep: str, n: int, prefix: str | Non
 
 def trim_whitespace(df: DataFrame, columns: str | Iterable[str]) -> DataFrame:
     """Cut white space (blanks, tabs, line ends) off both ends."""
-    return df.withColumns({c: F.regexp_replace(col(c), r"^\s+|\s+$", "") for c in as_list(columns)})
+    return df.withColumns({c: F.btrim(col(c), F.lit(WHITE_SPACE)) for c in as_list(columns)})
 
 
 def fix_case(df: DataFrame, columns: str | Iterable[str], mode: str) -> DataFrame:

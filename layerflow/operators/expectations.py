@@ -57,9 +57,15 @@ def expect_required(df: DataFrame, columns: str | Sequence[str]) -> DataFrame:
     return df.where(_any(_empty(df, c) for c in as_list(columns)))
 
 
+def _not_in(column: str, values: Iterable[Any]) -> Column:
+    """A value that is not among the accepted ones. A null in the list stands for nothing: with
+    it, ``NOT IN`` would be unknown for every other value."""
+    return ~col(column).isin([v for v in values if v is not None])
+
+
 def expect_in(df: DataFrame, column: str, values: Iterable[Any]) -> DataFrame:
     """Rows whose value is not accepted. Null passes; require it separately."""
-    return df.where(~col(column).isin(list(values)))
+    return df.where(_not_in(column, values))
 
 
 def expect_unique(df: DataFrame, keys: str | Sequence[str]) -> DataFrame:
@@ -115,7 +121,7 @@ def expect_padded_steps(df: DataFrame, column: str) -> DataFrame:
     step = F.regexp_extract(col(column), STEP_NAME, 2)
     steps = df.withColumns({"__chain": F.regexp_extract(col(column), STEP_NAME, 1), "__step": step})
     steps = steps.where(F.col("__step") != "")
-    long = steps.groupBy("__chain").agg(F.max(F.col("__step").cast("int")).alias("last")).where("last >= 10")
+    long = steps.groupBy("__chain").agg(F.max(F.length(F.ltrim(F.col("__step"), F.lit("0")))).alias("digits")).where("digits > 1")
     short = steps.where(F.length("__step") == 1)
     return exists_in(short, long, "__chain").drop("__chain", "__step")
 
@@ -128,7 +134,7 @@ def required(name: str, df: DataFrame, columns: str | Sequence[str]) -> RowRule:
 
 
 def accepted(name: str, column: str, values: Sequence[Any]) -> RowRule:
-    return RowRule(name, ~col(column).isin(list(values)), f"{column} is not an accepted value")
+    return RowRule(name, _not_in(column, values), f"{column} is not an accepted value")
 
 
 def within(name: str, column: str, lo: Any, hi: Any) -> RowRule:
@@ -173,6 +179,38 @@ def counted(name: str, n: int) -> TableRule:
     return TableRule(name, find)
 
 
+def disjoint(name: str, other: DataFrame, keys: Keys) -> TableRule:
+    mine = [l for l, _ in as_pairs(keys)]
+
+    def find(df: DataFrame) -> DataFrame:
+        text = F.concat_ws(", ", *[col(k).cast("string") for k in mine])
+        return expect_disjoint(df, other, keys).select(
+            text.alias("key"), F.lit("occurs on both sides").alias("message")
+        )
+
+    return TableRule(name, find)
+
+
+def patterned(name: str, key: str, column: str, rules: Mapping[str, str] = NAME_RULES) -> TableRule:
+    def find(df: DataFrame) -> DataFrame:
+        return expect_pattern(df, column, rules).select(
+            col(key).cast("string").alias("key"),
+            F.concat(F.lit(f"{column} breaks "), F.col("rule"), F.lit(": "), col(column)).alias("message"),
+        )
+
+    return TableRule(name, find)
+
+
+def padded(name: str, key: str, column: str) -> TableRule:
+    def find(df: DataFrame) -> DataFrame:
+        return expect_padded_steps(df, column).select(
+            col(key).cast("string").alias("key"),
+            F.concat(F.lit("step needs a leading zero: "), col(column)).alias("message"),
+        )
+
+    return TableRule(name, find)
+
+
 def run_expectations(df: DataFrame, key: str, rules: Sequence[RowRule | TableRule]) -> DataFrame:
     """Every violation of every rule as (rule, key, message). All row rules share one pass
     over the table; each table rule adds its own aggregate or join."""
@@ -220,17 +258,18 @@ def extract_tokens(df: DataFrame, column: str, name: str = "token") -> DataFrame
     return df.select(*others, F.explode(field_tokens(col(column))).alias(name))
 
 
-def unknown_tokens(
-    tokens: DataFrame, allowed: DataFrame, group: str, token: str = "token", show: int = 8
-) -> DataFrame:
-    """Per group, the tokens nothing exposes or creates: their number, and the first ``show``
-    of them in order with a ``(+N)`` tail. Built-in columns are always known. ``allowed``
-    (group, token) holds what each group may refer to.
-
-    Ranking stops at ``show`` rows per group before the shuffle, so no group is gathered.
-    """
+def unknown_tokens(tokens: DataFrame, allowed: DataFrame, group: str, token: str = "token") -> DataFrame:
+    """The tokens of each group that nothing exposes or creates, one row (group, token) each.
+    Built-in columns are always known. ``allowed`` (group, token) holds what each group may
+    refer to."""
     asked = tokens.select(col(group), col(token)).where(~col(token).isin(list(BUILTIN_COLUMNS))).distinct()
-    unknown = missing_from(asked, allowed, [group, token])
+    return missing_from(asked, allowed, [group, token])
+
+
+def shown_tokens(unknown: DataFrame, group: str, token: str = "token", show: int = 8) -> DataFrame:
+    """Unknown tokens as a message per group: their number, and the first ``show`` of them in
+    order with a ``(+N)`` tail. Ranking stops at ``show`` rows per group before the shuffle, so
+    no group is gathered."""
     counts = unknown.groupBy(col(group)).agg(F.count(F.lit(1)).alias("n_unknown"))
     first = Window.partitionBy(col(group)).orderBy(col(token))
     top = (

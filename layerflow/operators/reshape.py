@@ -20,8 +20,6 @@ from layerflow.operators.joins import match_struct
 
 # Steps per window group while looking for gaps; a longer series is handled in chunks.
 CHUNK_STEPS = 100_000
-# Values up to this number travel inside the expression when key combinations are completed.
-INLINE_VALUES = 10_000
 
 
 def pivot(df: DataFrame, by: str | Sequence[str], column: str, values: Sequence[Any], aggs: Aggs) -> DataFrame:
@@ -129,34 +127,20 @@ def fill_sequence(
     return filled.unionByName(outer.select(*made))
 
 
-def add_missing_rows(
-    df: DataFrame, by: str | Sequence[str], key: str, values: Sequence[Any] | None = None
-) -> DataFrame:
-    """A row, null elsewhere, for every value of ``key`` a ``by`` group lacks.
+def add_missing_rows(df: DataFrame, by: str | Sequence[str], key: str, values: Sequence[Any]) -> DataFrame:
+    """A row, null elsewhere, for every value of ``key`` in the declared domain ``values`` that
+    a ``by`` group lacks. Null is not a member of the domain and repeated members count once.
 
-    ``values`` is the domain; left out, it is every value the table holds. The groups are
-    reduced to one row each, with the values they have counted per group; a domain of up to
-    INLINE_VALUES is a literal exploded per group. A larger one is split into blocks by hash
-    and paired block by block, so the pairs are spread evenly over tasks.
+    Groups are reduced to one row each, the domain is exploded where the group stands, and
+    what the group has is taken away; the rows of ``df`` pass through untouched.
     """
     keys = as_list(by)
     require_columns(df, [*keys, key], "add_missing_rows")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     have = df.where(col(key).isNotNull()).select(*[col(k) for k in keys], col(key)).distinct()
     groups = df.select(*[col(k) for k in keys]).distinct()
-    domain = None
-    if values is None:
-        domain = df.where(col(key).isNotNull()).select(col(key)).distinct()
-        found = domain.limit(INLINE_VALUES + 1).collect()
-        values = [r[0] for r in found] if len(found) <= INLINE_VALUES else None
-    if values is not None:
-        listed = F.array(*[F.lit(v).cast(kinds[key]) for v in values])
-        wanted = groups.withColumn(key, F.explode(listed))
-    else:
-        blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        blocked = domain.withColumn("__block", F.pmod(F.hash(col(key)), F.lit(blocks)))
-        spread = groups.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        wanted = spread.join(blocked, "__block").drop("__block")
+    listed = F.array(*[F.lit(v).cast(kinds[key]) for v in dict.fromkeys(values) if v is not None])
+    wanted = groups.withColumn(key, F.explode(listed.cast(f"array<{kinds[key].simpleString()}>")))
     missing = match_struct(wanted, have, [(k, k) for k in [*keys, key]], "left_anti")
     return df.unionByName(
         missing.select(

@@ -80,9 +80,10 @@ def _accumulate_split(
     ).where(F.col("__offset").isNotNull())
     local = _accumulate(placed, [*by, "__piece"], sorting, value, name)
     keys = [(k, k) for k in [*by, "__piece"]]
-    moved = match_struct(local, F.broadcast(offsets), keys, "left")
-    zero = F.lit(0)
-    return moved.withColumn(name, col(name) + F.coalesce(F.col("__offset"), zero)).drop("__piece", "__offset")
+    moved = match_struct(local, offsets, keys, "left")
+    # A piece that begins with nulls has no sum yet; what the pieces before hold stands there.
+    total = F.coalesce(col(name) + F.col("__offset"), col(name), F.col("__offset"))
+    return moved.withColumn(name, total).drop("__piece", "__offset")
 
 
 def accumulate(df: DataFrame, by: Sequence[str], order: Order, name: str, value: str | None = None) -> DataFrame:

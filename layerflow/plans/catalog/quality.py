@@ -102,10 +102,12 @@ def l3_keyed(spark, root):
 
 @query(
     "l3_layers_equal_flat",
-    "SELECT c_mktsegment, CAST(NULL AS DATE) AS period, '' AS status, '' AS columns FROM customer WHERE false",
+    """SELECT DISTINCT c_mktsegment, CAST(date_trunc('month', o_orderdate) AS DATE) AS period, 'differs' AS status, 'n_lines' AS columns
+       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE month(o_orderdate) = 3""",
 )
 def l3_layers(spark, root):
-    """The layered model against one flat query: parity is an empty result."""
+    """The layered model against one flat query that counts one line more in every March: the
+    other months are equal."""
     layered = models.revenue_by_segment_monthly(spark, root)
     lines, orders, customers = (table(spark, root, t) for t in ("lineitem", "orders", "customer"))
     flat = (
@@ -116,6 +118,7 @@ def l3_layers(spark, root):
             F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double").alias("revenue"),
             F.count(F.lit(1)).alias("n_lines"),
         )
+        .withColumn("n_lines", F.col("n_lines") + (F.month("period") == 3).cast("bigint"))
     )
     return value_diff(layered, flat, key=["c_mktsegment", "period"]).withColumn("columns", F.array_join("columns", ","))
 
@@ -228,12 +231,17 @@ def l13_steps(spark, root):
        UNION ALL SELECT 'filled_is_cheap', CAST(o_orderkey AS VARCHAR), 'when status = ''F'', must hold: o_totalprice < 400000' FROM o WHERE status = 'F' AND NOT (o_totalprice < 400000)
        UNION ALL SELECT 'one_per_customer', CAST(o_custkey AS VARCHAR), 'rows: ' || count(*) FROM o GROUP BY o_custkey HAVING count(*) > 1
        UNION ALL SELECT 'customer_known', CAST(o_orderkey AS VARCHAR), 'o_custkey not found: ' || o_custkey FROM o WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > -500)
-       UNION ALL SELECT 'row_count', NULL, 'rows: ' || count(*) FROM o HAVING count(*) <> 1""",
+       UNION ALL SELECT 'row_count', NULL, 'rows: ' || count(*) FROM o HAVING count(*) <> 1
+       UNION ALL SELECT DISTINCT 'not_a_supplier', CAST(o_custkey AS VARCHAR), 'occurs on both sides' FROM o WHERE o_custkey IN (SELECT s_suppkey FROM supplier)
+       UNION ALL SELECT 'priority_name', CAST(o_orderkey AS VARCHAR), 'o_orderpriority breaks digit_first: ' || o_orderpriority FROM o WHERE NOT regexp_matches(o_orderpriority, '^[0-3]-')
+       UNION ALL SELECT 'padded_steps', CAST(o_orderkey AS VARCHAR), 'step needs a leading zero: c' || (o_orderkey % 5) || '_step' || (o_orderkey % 12) FROM o WHERE o_orderkey % 12 < 10""",
 )
 def l14(spark, root):
     orders = table(spark, root, "orders").select(
-        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_orderpriority", "o_totalprice", "o_custkey"
+        "o_orderkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"), "o_orderpriority", "o_totalprice", "o_custkey",
+        F.expr("concat('c', o_orderkey % 5, '_step', o_orderkey % 12)").alias("step"),
     )
+    suppliers = table(spark, root, "supplier").select("s_suppkey")
     customers = table(spark, root, "customer").where("c_acctbal > -500")
     rules = [
         ex.required("status_set", orders, "status"),
@@ -243,6 +251,9 @@ def l14(spark, root):
         ex.unique("one_per_customer", "o_custkey"),
         ex.refers("customer_known", "o_orderkey", "o_custkey", customers, "c_custkey"),
         ex.counted("row_count", 1),
+        ex.disjoint("not_a_supplier", suppliers, [("o_custkey", "s_suppkey")]),
+        ex.patterned("priority_name", "o_orderkey", "o_orderpriority", {"digit_first": "^[0-3]-"}),
+        ex.padded("padded_steps", "o_orderkey", "step"),
     ]
     return ex.run_expectations(orders, "o_orderkey", rules)
 
@@ -301,4 +312,24 @@ def l17(spark, root):
     allowed = parts.where("p_size > 10").select(F.col("p_type").alias("flow"), F.col("p_name").alias("token")).union(
         parts.where("p_size > 48").select("p_type", "p_brand")
     )
+    return ex.shown_tokens(ex.unknown_tokens(tokens, allowed, "flow"), "flow")
+
+
+@query(
+    "l17_unknown_token_rows",
+    """WITH t AS (SELECT DISTINCT p_type AS flow, unnest([p_name, 'Number of Rows', p_brand]) AS token FROM part),
+            allowed AS (SELECT p_type AS flow, p_name AS token FROM part WHERE p_size > 10)
+       SELECT flow, token FROM t WHERE token <> 'Number of Rows' AND (flow, token) NOT IN (SELECT (flow, token) FROM allowed)""",
+)
+def l17_rows(spark, root):
+    parts = table(spark, root, "part")
+    text = F.concat(F.lit("["), "p_name", F.lit("] * [Number of Rows] / ["), "p_brand", F.lit("]"))
+    tokens = ex.extract_tokens(parts.select(F.col("p_type").alias("flow"), text.alias("expression")), "expression")
+    allowed = parts.where("p_size > 10").select(F.col("p_type").alias("flow"), F.col("p_name").alias("token"))
     return ex.unknown_tokens(tokens, allowed, "flow")
+
+
+@query("l6_expect_in_null", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('click', 'view')")
+def l6_null(spark, root):
+    events = table(spark, root, "events").select("event_id", "event_type")
+    return ex.expect_in(events, "event_type", ["click", None, "view"])

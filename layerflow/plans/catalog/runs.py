@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from layerflow.functions.documents import explode_object, json_collect, referenced_fields
+from layerflow.functions.documents import explode_object, json_collect, malformed_documents, referenced_fields
 from layerflow.operators import ledger as lg
 from layerflow.operators.metrics import consumer_impact, metric
 from layerflow.plans.catalog.registry import as_double, exact, query, table
@@ -171,3 +171,11 @@ def p2(spark, root):
         """concat('{"name":"', p_brand, '","size":', p_size, ',"actions":[{"columnNames":["', p_type, '",5,"', p_name, '"],"note":"x"},{"rename":null}]}') AS document""",
     )
     return json_collect(documents, "document", ["name", "columnNames", "rename"])
+
+
+@query("p2_json_collect_malformed", "SELECT p_partkey FROM part WHERE p_size % 10 = 3")
+def p2_malformed(spark, root):
+    documents = table(spark, root, "part").selectExpr(
+        "p_partkey", """concat('{"name":"', p_brand, '"', CASE WHEN p_size % 10 = 3 THEN '' ELSE '}' END) AS document"""
+    )
+    return malformed_documents(documents, "document").select("p_partkey")

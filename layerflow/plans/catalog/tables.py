@@ -22,7 +22,7 @@ from layerflow.operators.joins import (
 from layerflow.operators.reshape import add_missing_rows, fill_dates, fill_sequence, pivot, unpivot
 from layerflow.operators.script import script, script_by
 from layerflow.operators.unions import self_union, union_mapped
-from layerflow.operators.windows import fixed, renumber, row_number
+from layerflow.operators.windows import accumulate, fixed, renumber, row_number
 from layerflow.plans.catalog.registry import as_double, exact, query, table
 
 
@@ -402,7 +402,9 @@ _COUNTS = "SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY
 )
 def h5(spark, root):
     counts = aggregate(table(spark, root, "orders"), ["o_custkey", "o_orderpriority"], {"n": ("count", F.lit(1))})
-    return add_missing_rows(counts, "o_custkey", "o_orderpriority")
+    return add_missing_rows(
+        counts, "o_custkey", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    )
 
 
 def _net(rows):
@@ -420,14 +422,39 @@ def i1(spark, root):
 
 
 def _extent(rows):
-    return rows.groupby("user_id", as_index=False).agg(n=("event_id", "size"), least=("value", "min"), most=("value", "max"))
+    return rows.groupby("user_id", as_index=False, dropna=False).agg(n=("event_id", "size"), least=("value", "min"), most=("value", "max"))
 
 
 def _merge_extents(rows):
-    return rows.groupby("user_id", as_index=False).agg(n=("n", "sum"), least=("least", "min"), most=("most", "max"))
+    return rows.groupby("user_id", as_index=False, dropna=False).agg(n=("n", "sum"), least=("least", "min"), most=("most", "max"))
 
 
 @query("i2_script_by", "SELECT user_id, count(*) AS n, min(value) AS least, max(value) AS most FROM events GROUP BY user_id")
 def i2(spark, root):
     events = table(spark, root, "events").select("user_id", "event_id", "value")
     return script_by(events, "user_id", _extent, _merge_extents, "user_id BIGINT, n BIGINT, least DOUBLE, most DOUBLE")
+
+
+@query(
+    "i2_script_by_null_group",
+    """SELECT CASE WHEN event_type = 'error' THEN NULL ELSE user_id END AS user_id, count(*) AS n, min(value) AS least, max(value) AS most
+       FROM events GROUP BY 1""",
+)
+def i2_null_group(spark, root):
+    user = F.expr("CASE WHEN event_type = 'error' THEN NULL ELSE user_id END").alias("user_id")
+    events = table(spark, root, "events").select(user, "event_id", "value")
+    return script_by(events, "user_id", _extent, _merge_extents, "user_id BIGINT, n BIGINT, least DOUBLE, most DOUBLE")
+
+
+@query(
+    "f2_running_sum_nulls",
+    """SELECT event_id, sum(CASE WHEN event_type = 'view' THEN NULL ELSE CAST(value AS DECIMAL(18,4)) END)
+         OVER (PARTITION BY event_type, user_id % 7 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::DOUBLE AS running FROM events""",
+)
+def f2_running_sum(spark, root):
+    events = table(spark, root, "events").selectExpr(
+        "event_id", "ts", "event_type", "user_id % 7 AS part",
+        "CASE WHEN event_type = 'view' THEN NULL ELSE CAST(value AS DECIMAL(18,4)) END AS amount",
+    )
+    summed = accumulate(events, ["event_type", "part"], ["ts", "event_id"], "running", "amount")
+    return summed.select("event_id", F.col("running").cast("double").alias("running"))

@@ -55,8 +55,8 @@ def scan(
     return rows if columns is None else rows.select(*[col(c) for c in columns])
 
 
-def limit_rows(df: DataFrame, n: int = DESIGN_ROW_LIMIT, order_by: str | Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows. With an order that names every row apart the choice is
+def limit_rows(df: DataFrame, n: int, order_by: str | Sequence[str] = ()) -> DataFrame:
+    """The first ``n`` rows; at design time inputs show DESIGN_ROW_LIMIT. With an order that names every row apart the choice is
     repeatable, and each task keeps its own ``n`` best rows before anything is shuffled."""
     order = [col(c) for c in as_list(order_by)]
     return (df.orderBy(*order) if order else df).limit(n)

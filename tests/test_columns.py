@@ -49,11 +49,11 @@ def test_rename_refuses_doubles_and_unknown_names(small):
 
 
 def test_rename_back_keeps_suffixes(spark):
-    df = spark.createDataFrame([(1, 2, 3, 4)], "settlement_date int, `settlement_date_買付` int, ticker int, settlement int")
-    got = rename_back(df, [("ticker", "銘柄"), ("settlement_date", "約定日"), ("settlement", "s")])
-    assert got.columns == ["約定日", "約定日_買付", "銘柄", "s"]
+    df = spark.createDataFrame([(1, 2, 3, 4)], "harvest_week int, `harvest_week_北` int, orchard int, harvest int")
+    got = rename_back(df, [("orchard", "果樹園"), ("harvest_week", "収穫週"), ("harvest", "h")])
+    assert got.columns == ["収穫週", "収穫週_北", "果樹園", "h"]
     with pytest.raises(ValueError, match="several columns"):
-        rename_back(df, [("ticker", "settlement")])
+        rename_back(df, [("orchard", "harvest")])
 
 
 def test_cast_gives_null_or_fails(spark):
@@ -110,6 +110,10 @@ def test_group_values_by_small_and_large_mapping(spark, small, rows):
     assert {r[1] for r in rows(group_values(small, "b", {"x": "z"}))} == {"z", None, "y"}
     large = {f"k{i}": "v" for i in range(500)} | {"x": "z"}
     assert rows(group_values(small, "b", large)) == rows(group_values(small, "b", {"x": "z"}))
+    numbers = spark.createDataFrame([(1, 5), (2, None), (3, 7)], "id int, n bigint")
+    few, many = {5.0: 6, None: 1}, {5.0: 6, None: 1} | {float(i): i for i in range(1000, 1300)}
+    assert rows(group_values(numbers, "n", few)) == rows(group_values(numbers, "n", many)) == [(1, 6), (2, None), (3, 7)]
+    assert rows(group_values(numbers, "n", {})) == rows(numbers)
     double = spark.createDataFrame([("x", "1"), ("x", "2")], "s string, v string")
     with pytest.raises(Exception, match="several rows for one key"):
         group_values(small, "b", double).collect()

@@ -16,6 +16,7 @@ from layerflow import (
     renumber,
     row_number,
     script_by,
+    shown_tokens,
     unknown_tokens,
     upsert_latest,
     value_diff,
@@ -182,7 +183,9 @@ def test_token_ranking_is_limited_before_the_shuffle(spark):
     tokens = spark.range(0, 3003, 1, 4).select(
         F.when(F.col("id") < 3000, "flow").otherwise("other").alias("flow"), F.format_string("t%05d", "id").alias("token")
     )
-    out = unknown_tokens(tokens, tokens.where("false"), "flow")
+    unknown = unknown_tokens(tokens, tokens.where("false"), "flow")
+    assert unknown.count() == 3003
+    out = shown_tokens(unknown, "flow")
     assert "WindowGroupLimit" in _final_plan(out)
     row = out.where("flow = 'flow'").first()
     assert row["n_unknown"] == 3000

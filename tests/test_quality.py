@@ -18,6 +18,7 @@ from layerflow import (
     extract_tokens,
     resolve_pairs,
     run_expectations,
+    shown_tokens,
     unknown_tokens,
     value_diff,
 )
@@ -134,7 +135,21 @@ def test_tokens(spark, rows):
     tokens = extract_tokens(df, "expression")
     assert rows(tokens) == sorted([("f", "銘柄"), ("f", "約定日"), ("f", "Table Names")], key=repr)
     allowed = spark.createDataFrame([("f", "銘柄"), ("g", "約定日")], "flow string, token string")
-    assert rows(unknown_tokens(tokens, allowed, "flow")) == [("f", 1, "[約定日]")]
+    assert rows(unknown_tokens(tokens, allowed, "flow")) == [("f", "約定日")]
+    assert rows(shown_tokens(unknown_tokens(tokens, allowed, "flow"), "flow")) == [("f", 1, "[約定日]")]
     # in the order of the names, not of the bracketed names
     numbered = spark.createDataFrame([("f", "c1"), ("f", "c10"), ("f", "c2")], "flow string, token string")
-    assert rows(unknown_tokens(numbered, allowed, "flow", show=2)) == [("f", 3, "[c1], [c10] (+1)")]
+    assert rows(shown_tokens(unknown_tokens(numbered, allowed, "flow"), "flow", show=2)) == [("f", 3, "[c1], [c10] (+1)")]
+
+
+def test_null_in_the_accepted_list_hides_nothing(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (2, "z"), (3, None)], "id int, c string")
+    assert rows(expect_in(df, "c", ["a", None])) == rows(expect_in(df, "c", ["a"])) == [(2, "z")]
+    got = run_expectations(df, "id", [ex.accepted("known", "c", ["a", None])])
+    assert rows(got.select("rule", "key")) == [("known", "2")]
+
+
+def test_long_step_numbers(spark, rows):
+    names = ["a_step1", "a_step20240101123456789012345678901234567890", "b_step1", "b_step0009", "c_step3", "c_step10_x"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert rows(expect_padded_steps(df, "name")) == [("a_step1",), ("c_step3",)]
