@@ -1,10 +1,11 @@
 """Lineage over edge tables ``(src, dst[, ns])``.
 
-Walks go round by round. Each round joins a frontier with the edges, groups once to drop what
-is known, and writes the new frontier to the shared folder, so a lost executor repeats one
-read and plans stay short. Spark knows the size of a written frontier: a small one is
-broadcast and the edges stay where they are; a large one is shuffled, and the adaptive skew
-join spreads nodes with very many edges. Nothing seen on the way returns to the driver.
+Walks go round by round, and each round moves only what the round before has changed. The rows
+a frontier reaches are written to the shared folder, looked up among the known ones, and what
+is new becomes the next frontier; so a lost executor repeats one read and plans stay short.
+Spark knows the size of a written table: a small one is broadcast, and edges and known rows
+stay where they are; a large one is shuffled, and the adaptive skew join spreads nodes with
+very many edges. Nothing seen on the way returns to the driver.
 """
 
 from __future__ import annotations
@@ -45,10 +46,9 @@ def _walk(links: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
     while not frontier.isEmpty():
         level += 1
         met = links.join(frontier.drop("level"), F.col("src") == F.col("node"))
-        reached = met.select(*keys, F.col("dst").alias("node"), F.lit(level).alias("level"))
-        # Known rows have a smaller level, so grouping both tells the new ones apart.
-        first = seen.unionByName(reached).groupBy(*keys, "node").agg(F.min("level").alias("level"))
-        frontier = cut(first.where(F.col("level") == level))
+        reached = cut(met.select(*keys, F.col("dst").alias("node")).distinct())
+        known = seen.select(*keys, "node").join(reached, [*keys, "node"], "left_semi")
+        frontier = cut(reached.join(known, [*keys, "node"], "left_anti").withColumn("level", F.lit(level)))
         seen = seen.unionByName(frontier)
         if level % REWRITE_EVERY == 0:
             seen = cut(seen)
@@ -75,8 +75,8 @@ def waves(edges: DataFrame) -> DataFrame:
     """(node, wave): length of the longest path that ends in the node, so all nodes of one
     wave can be built at the same time. Raises when the edges contain a cycle.
 
-    Each round takes the nodes without open parents and lowers the number of open parents of
-    their children; every edge is used in one round only.
+    Each round takes the nodes whose parents are all done and notes that for their children;
+    only children noted in a round are looked at for the next, and every edge is used once.
     """
     links = _links(edges)
     zero = F.lit(0).cast("bigint")
@@ -84,24 +84,26 @@ def waves(edges: DataFrame) -> DataFrame:
         F.struct(F.col("src").alias("node"), zero.alias("n")),
         F.struct(F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n")),
     )
-    state = cut(links.select(F.inline(ends)).groupBy("node").agg(F.sum("n").alias("n_open")))
-    done, wave = None, 0
-    while True:
-        ready, waiting = state.where("n_open = 0").select("node"), state.where("n_open > 0")
-        if ready.isEmpty():
-            break
+    parents = cut(links.select(F.inline(ends)).groupBy("node").agg(F.sum("n").alias("n_parents")))
+    ready = parents.where("n_parents = 0").select("node")
+    done, noted, wave = None, None, 0
+    while not ready.isEmpty():
         peeled = ready.withColumn("wave", F.lit(wave))
         done = peeled if done is None else done.unionByName(peeled)
+        freed = cut(
+            links.join(ready, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+        )
+        noted = freed if noted is None else noted.unionByName(freed)
+        sums = noted.join(freed.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
+        ready = cut(parents.join(sums, "node").where("n = n_parents").select("node"))
         wave += 1
         if wave % REWRITE_EVERY == 0:
-            done = cut(done)
-        freed = links.join(ready, F.col("src") == F.col("node")).select(
-            F.col("dst").alias("node"), F.lit(-1).cast("bigint").alias("n_open")
-        )
-        state = cut(waiting.unionByName(freed).groupBy("node").agg(F.sum("n_open").alias("n_open")))
-    if not waiting.isEmpty():
+            done, noted = cut(done), cut(noted.groupBy("node").agg(F.sum("n").alias("n")))
+    if done is None:
+        done = parents.select("node", F.lit(0).alias("wave")).where("false")
+    if done.count() < parents.count():
         raise ValueError("waves: the edges contain a cycle")
-    return done if done is not None else state.select("node", F.lit(0).alias("wave"))
+    return done
 
 
 def node_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -243,12 +245,19 @@ def bridge(edges: DataFrame, keep: DataFrame, outputs: DataFrame | None = None)
         F.struct(F.col("to").alias("target"), F.col("ns")).alias("high"),
         "merge",
     )
-    values = nothing
-    while not forks.isEmpty():
-        better = cut(_summarise(forks, values, kept, ["node"]))
-        if better.exceptAll(values).isEmpty():
+    values, active, rounds = nothing, forks, 0
+    while True:
+        # Forks are looked at again only when something they lead to has changed.
+        better = _summarise(active, values, kept, ["node"])
+        changed = cut(missing_from(better, values, ["node", "low", "high", "merge"]))
+        if changed.isEmpty():
             break
-        values = better
+        rounds += 1
+        values = missing_from(values, changed, "node").unionByName(changed)
+        if rounds % REWRITE_EVERY == 0:
+            values = cut(values)
+        above = exists_in(forks, changed, [("to", "node")]).select("node").distinct()
+        active = exists_in(forks, above, "node")
 
     starts = origins.select(
         "src", "dst", F.col("ns").alias("ns_in"), F.col("dst").alias("to"), "ns", F.lit(False).alias("merge")
@@ -290,14 +299,15 @@ def lineage_closure(
     original graph does not know, are not judged. ``nodes`` adds new nodes without edges.
     """
     entry = inputs.select("input").distinct()
-    inward = missing_from(new_edges, entry, [("dst", "input")])
-    fed = reachable(inward, entry).withColumnsRenamed({"seed": "input"})
-    descends = reachable(source_edges, inputs.select("source").where("source IS NOT NULL"))
-    grounded = fed.join(inputs.select("input", "source").distinct(), "input").select("source", "node")
-    closed = exists_in(grounded, descends.withColumnRenamed("seed", "source"), ["source", "node"])
     ends = [e.select(F.explode(F.array("src", "dst")).alias("node")).distinct() for e in (new_edges, source_edges)]
     mine = ends[0] if nodes is None else ends[0].union(nodes.select(nodes.columns[0])).distinct()
-    judged = missing_from(exists_in(mine, ends[1], "node"), entry, [("node", "input")])
+    judged = cut(missing_from(exists_in(mine, ends[1], "node"), entry, [("node", "input")]))
+    inward = missing_from(new_edges, entry, [("dst", "input")])
+    fed = exists_in(reachable(inward, entry), judged, "node").withColumnsRenamed({"seed": "input"})
+    grounded = cut(fed.join(inputs.select("input", "source").distinct(), "input").select("source", "node").distinct())
+    # Only originals of inputs that feed a judged node need to be followed.
+    descends = reachable(source_edges, grounded.select("source").where("source IS NOT NULL").distinct())
+    closed = exists_in(grounded, descends.withColumnRenamed("seed", "source"), ["source", "node"])
     return missing_from(judged, closed, "node")
 
 
@@ -335,10 +345,12 @@ def derive_edges(outputs: DataFrame, inputs: DataFrame, scope: str | None = None
     only. Gives distinct (src, dst, name)."""
     theirs = outputs.select(F.col("flow").alias("src"), "name", *[F.col(s).alias("__scope") for s in as_list(scope)])
     mine = inputs.select(F.col("flow").alias("dst"), "name", *[F.col(s).alias("__asked") for s in as_list(scope)])
-    met = theirs.distinct().join(mine.distinct(), "name")
-    if scope:
-        met = met.where(F.col("__asked").isNull() | (F.col("__asked") == F.col("__scope")))
-    return met.select("src", "dst", "name").distinct()
+    theirs, mine = theirs.distinct(), mine.distinct()
+    if not scope:
+        return theirs.join(mine, "name").select("src", "dst", "name").distinct()
+    scoped = theirs.join(mine.withColumnRenamed("__asked", "__scope"), ["name", "__scope"])
+    free = theirs.select("src", "name").distinct().join(mine.where("__asked IS NULL"), "name")
+    return scoped.select("src", "dst", "name").union(free.select("src", "dst", "name")).distinct()
 
 
 def inherit_ns(new_edges: DataFrame, source_edges: DataFrame, replaces: DataFrame) -> DataFrame:
