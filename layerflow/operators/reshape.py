@@ -20,6 +20,9 @@ from layerflow.operators.joins import match_struct
 
 # Steps per window group while looking for gaps; a longer series is handled in chunks.
 CHUNK_STEPS = 100_000
+# Steps that one row is exploded into at a time; longer gaps become several rows first, which
+# are spread over tasks.
+EXPLODE_STEPS = 10_000
 
 
 def pivot(df: DataFrame, by: str | Sequence[str], column: str, values: Sequence[Any], aggs: Aggs) -> DataFrame:
@@ -38,6 +41,15 @@ def unpivot(
     return df.unpivot([col(c) for c in as_list(ids)], [col(c) for c in columns], name, value)
 
 
+def _explode_steps(df: DataFrame, name: str, first: Column, last: Column, step: int) -> DataFrame:
+    """A row for each of ``first``, ``first + step``, … up to ``last``, for a run of any length."""
+    span = F.lit(step * EXPLODE_STEPS).cast("bigint")
+    runs = df.withColumns({"__from": first.cast("bigint"), "__upto": last.cast("bigint")}).where("__from <= __upto")
+    runs = runs.withColumn("__from", F.explode(F.sequence("__from", "__upto", span))).hint("rebalance")
+    upto = F.least(F.col("__from") + span - step, F.col("__upto"))
+    return runs.withColumn(name, F.explode(F.sequence("__from", upto, F.lit(step).cast("bigint")))).drop("__from", "__upto")
+
+
 def _gaps(present: DataFrame, by: list[str], step: int) -> DataFrame:
     """Missing ``__step`` values between neighbours of a table with one row per group and
     step. Other columns are those of the row before the gap."""
@@ -50,15 +62,9 @@ def _gaps(present: DataFrame, by: list[str], step: int) -> DataFrame:
     stepped = chunked.withColumn("__next", F.lead("__step").over(inside))
     linked = match_struct(stepped, onward, [(k, k) for k in [*by, "__chunk"]], "left")
     following = F.coalesce(F.col("__next"), F.col("__onward"))
-    return (
-        linked.withColumn("__next", following)
-        .where(F.col("__next") > F.col("__step") + step)
-        .withColumn(
-            "__step",
-            F.explode(F.sequence(F.col("__step") + step, F.col("__next") - 1, F.lit(step).cast("bigint"))),
-        )
-        .drop("__chunk", "__next", "__onward")
-    )
+    open_ = linked.withColumn("__next", following).where(F.col("__next") > F.col("__step") + step)
+    filled = _explode_steps(open_, "__step", F.col("__step") + step, F.col("__next") - 1, step)
+    return filled.drop("__chunk", "__next", "__onward")
 
 
 def _fill(df: DataFrame, by: list[str], column: str, index: Column, back: Column, step: int, fill: str) -> DataFrame:
@@ -111,15 +117,13 @@ def fill_sequence(
     if lo is None and hi is None:
         return filled
     ends = df.groupBy(*[col(k) for k in keys]).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    empty = F.array().cast("array<bigint>")
-    stride = F.lit(step).cast("bigint")
-
-    def run(first: Column, last: Column) -> Column:
-        return F.when(first <= last, F.sequence(first, last, stride)).otherwise(empty)
-
-    head = run(F.lit(lo).cast("bigint"), F.col("__lo") - step) if lo is not None else empty
-    tail = run(F.col("__hi") + step, F.lit(hi).cast("bigint")) if hi is not None else empty
-    outer = ends.select(*[col(k) for k in keys], F.explode(F.concat(head, tail)).alias(column))
+    made_of = []
+    if lo is not None:
+        made_of.append(F.struct(F.lit(lo).cast("bigint").alias("__first"), (F.col("__lo") - step).alias("__last")))
+    if hi is not None:
+        made_of.append(F.struct((F.col("__hi") + step).alias("__first"), F.lit(hi).cast("bigint").alias("__last")))
+    sides = ends.select(*[col(k) for k in keys], F.inline(F.array(*made_of)))
+    outer = _explode_steps(sides, column, F.col("__first"), F.col("__last"), step)
     kinds = {f.name: f.dataType for f in df.schema.fields}
     made = [
         (col(c) if c in keys or c == column else F.lit(None)).cast(kinds[c]).alias(c) for c in df.columns

@@ -458,3 +458,19 @@ def f2_running_sum(spark, root):
     )
     summed = accumulate(events, ["event_type", "part"], ["ts", "event_id"], "running", "amount")
     return summed.select("event_id", F.col("running").cast("double").alias("running"))
+
+
+@query(
+    "h3_fill_seconds",
+    """WITH e AS (SELECT DISTINCT CASE WHEN event_type IN ('click', 'view') THEN 'seen' ELSE 'other' END AS kind,
+              date_trunc('second', ts) + CASE WHEN event_type = 'click' THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END AS moment FROM events),
+            r AS (SELECT kind, unnest(generate_series(min(moment), max(moment), INTERVAL 1 SECOND)) AS moment FROM e GROUP BY kind)
+       SELECT kind, count(*) AS n, min(moment) AS first, max(moment) AS last FROM r GROUP BY kind""",
+)
+def h3_seconds(spark, root):
+    """Every second between the first and the last event of two kinds."""
+    kind = F.expr("CASE WHEN event_type IN ('click', 'view') THEN 'seen' ELSE 'other' END").alias("kind")
+    moment = F.expr("date_trunc('second', ts) + CASE WHEN event_type = 'click' THEN INTERVAL 2 DAY ELSE INTERVAL 0 DAY END")
+    events = table(spark, root, "events").select(kind, moment.cast("timestamp_ntz").alias("moment")).distinct()
+    filled = fill_dates(events, "kind", "moment", "second")
+    return aggregate(filled, "kind", {"n": ("count", "moment"), "first": ("min", "moment"), "last": ("max", "moment")})

@@ -9,6 +9,7 @@ from layerflow import (
     attach,
     exists_in,
     fill_dates,
+    fill_sequence,
     fixed,
     join,
     match_with_fallback,
@@ -21,6 +22,7 @@ from layerflow import (
     upsert_latest,
     value_diff,
 )
+from layerflow.operators.windows import accumulate
 
 N = 6000
 
@@ -217,3 +219,23 @@ def test_gap_search_in_chunks(spark, conf, rows, monkeypatch):
     assert len(whole) == 39 * 39 + 1
     monkeypatch.setattr(reshape, "CHUNK_STEPS", 7)
     assert rows(fill_dates(days, "k", "d", "day", fill="carry")) == whole
+
+
+@pytest.mark.parametrize("most", [3, 10**9])
+def test_running_sum_over_nulls_is_the_same_split_or_not(spark, conf, rows, most):
+    values = [0, None, None, 0, None, None, 6, None, 1, None, None, None, 2]
+    data = [("hot", i, v) for i, v in enumerate(values)] + [("late", 0, None), ("late", 1, None), ("late", 2, 5), ("late", 3, None)]
+    df = spark.createDataFrame(data, "k string, id int, v int")
+    conf(spark__layerflow__maxGroupRows=most)
+    want, held = [], {}
+    for k, i, v in data:
+        held[k] = held.get(k) if v is None else (held.get(k) or 0) + v
+        want.append((k, i, held[k]))
+    assert rows(accumulate(df, ["k"], "id", "s", "v").select("k", "id", "s")) == sorted(want, key=repr)
+
+
+def test_long_gaps_are_filled_in_bounded_runs(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 250_000), ("b", 5)], "k string, n bigint")
+    got = fill_sequence(df, "k", "n", lo=-30_000, hi=300_000)
+    counts = {r["k"]: (r["rows"], r["apart"]) for r in got.groupBy("k").agg(F.count("*").alias("rows"), F.countDistinct("n").alias("apart")).collect()}
+    assert counts == {"a": (330_001, 330_001), "b": (330_001, 330_001)}
