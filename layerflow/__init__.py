@@ -64,6 +64,7 @@ from layerflow.operators.lineage import (
     derive_edges,
     edge_diff,
     inherit_ns,
+    input_sources,
     lineage_closure,
     node_roles,
     reachable,
@@ -78,6 +79,7 @@ from layerflow.operators.refresh import (
     publish,
     publish_view,
     refresh_mode,
+    refresh_settings,
     write_extract,
 )
 from layerflow.operators.reshape import add_missing_rows, fill_dates, fill_sequence, pivot, unpivot

@@ -311,6 +311,20 @@ def lineage_closure(
     return missing_from(judged, closed, "node")
 
 
+def input_sources(inputs: DataFrame, originals: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
+    """What the inputs of a new graph stand for in the original one, as distinct (input,
+    source): an original of the same id or of the same data set name, and whatever ``supplied``
+    (input, source) lists besides. ``inputs`` is (input, name), ``originals`` (node, name); a
+    null name is no name."""
+    theirs = originals.select(F.col("node").alias("source"), "name")
+    by_id = inputs.select("input").join(theirs.select("source"), F.col("input") == F.col("source"))
+    by_name = inputs.join(theirs, "name").select("input", "source")
+    found = by_id.select("input", "source").union(by_name)
+    if supplied is not None:
+        found = found.union(supplied.select("input", "source"))
+    return found.where("input IS NOT NULL AND source IS NOT NULL").distinct()
+
+
 def edge_diff(
     new_edges: DataFrame,
     source_edges: DataFrame,

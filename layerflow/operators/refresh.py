@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerflow.functions.names import as_list, col
+from layerflow.operators.joins import attach
 
 # Fixed values.
 LAYERS = ("staging", "intermediate", "marts")
@@ -145,6 +146,24 @@ def incremental_append(
     return _read_back(src, out)
 
 
+def refresh_settings(settings: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Each refresh setting with its output: all columns of ``settings``, then ``status`` and
+    ``is_incremental_default``.
+
+    A setting is ``effective`` when it is enabled and names control field and output, ``inert``
+    when it is enabled and lacks one of them, ``off`` otherwise. ``outputs`` has one row per
+    output_node_id; a setting whose output is unknown has a null default.
+    """
+    def given(name: str):
+        return F.coalesce(col(name), F.lit("")) != ""
+
+    enabled = F.coalesce(col("incremental_enabled"), F.lit(False))
+    complete = given("control_field") & given("output_node_id")
+    status = F.when(~enabled, F.lit("off")).when(complete, F.lit("effective")).otherwise(F.lit("inert"))
+    defaults = outputs.select(col("output_node_id").alias("__output"), "is_incremental_default")
+    return attach(settings.withColumn("status", status), defaults, [("output_node_id", "__output")], unique=True)
+
+
 def refresh_mode(settings: DataFrame, outputs: DataFrame, by: str) -> DataFrame:
     """Full or incremental, per table (column ``by``), and the control fields in use.
 

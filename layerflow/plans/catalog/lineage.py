@@ -192,3 +192,21 @@ def m9(spark, root):
     )
     replaces = customers.selectExpr("concat('pds', c_custkey) AS node", "concat('c', c_custkey) AS predecessor")
     return ln.inherit_ns(new, source, replaces)
+
+
+@query(
+    "m6_closure_by_name",
+    """SELECT concat('c', c_custkey) AS node FROM customer WHERE c_acctbal < 0 AND c_nationkey <> 12
+       UNION SELECT concat('o', o_orderkey) FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < 0 AND c_nationkey <> 12""",
+)
+def m6_by_name(spark, root):
+    """The same closure; what an input stands for is found by the name of its data set."""
+    tree = _edges(spark, root, {k: _PARTS[k] for k in ("customer", "orders")})
+    customers, orders = table(spark, root, "customer"), table(spark, root, "orders")
+    wired = customers.selectExpr(f"concat('in', {_MOVED}) AS src", "concat('c', c_custkey) AS dst").union(
+        orders.selectExpr("concat('c', o_custkey)", "concat('o', o_orderkey)")
+    )
+    nations = table(spark, root, "nation")
+    inputs = nations.selectExpr("concat('in', n_nationkey) AS input", "n_name AS name")
+    originals = nations.selectExpr("concat('n', n_nationkey) AS node", "n_name AS name")
+    return ln.lineage_closure(wired, tree, ln.input_sources(inputs, originals))

@@ -11,6 +11,7 @@ from layerflow.operators.refresh import (
     publish,
     publish_view,
     refresh_mode,
+    refresh_settings,
     write_extract,
 )
 from layerflow.plans import models
@@ -210,3 +211,32 @@ def k7(spark, root):
 def k8(spark, root):
     published = models.publish_layers(spark, root, scratch_path(spark, "k8"))
     return models.monthly_by_segment(published["rpt_sales_with_customer"])
+
+
+@query("j6_incremental_stream_ties", _ALL_ORDERS)
+def j6_ties(spark, root):
+    """Files that hold the same control values, and older ones: all rows are kept, each once."""
+    arriving, out, marks = (scratch_path(spark, f"j6-{part}") for part in ("arriving", "out", "marks"))
+    orders, stored = _orders(spark, root), None
+    for part in ("o_orderkey % 3 = 2", "o_orderkey % 3 = 0", "o_orderkey % 3 = 1"):
+        orders.where(part).write.mode("append").parquet(arriving)
+        stored = incremental_stream(spark, arriving, out, "o_orderdate", marks, orders.schema, late="keep")
+    return stored
+
+
+@query(
+    "j7_refresh_settings",
+    """SELECT c_custkey AS input_node_id, CASE WHEN NOT c_acctbal > 0 THEN 'off'
+              WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') AND c_acctbal < 8000 THEN 'effective' ELSE 'inert' END AS status,
+              CASE WHEN c_acctbal < 8000 THEN n_regionkey = 1 END AS is_incremental_default
+       FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey""",
+)
+def j7_settings(spark, root):
+    settings = table(spark, root, "customer").selectExpr(
+        "c_custkey AS input_node_id",
+        "c_acctbal > 0 AS incremental_enabled",
+        "CASE WHEN c_mktsegment IN ('BUILDING', 'FURNITURE') THEN lower(c_mktsegment) END AS control_field",
+        "CASE WHEN c_acctbal < 8000 THEN concat('out', c_nationkey) END AS output_node_id",
+    )
+    outputs = table(spark, root, "nation").selectExpr("concat('out', n_nationkey) AS output_node_id", "n_regionkey = 1 AS is_incremental_default")
+    return refresh_settings(settings, outputs).select("input_node_id", "status", "is_incremental_default")
