@@ -20,7 +20,7 @@ from layerflow.operators.clean import (
 from layerflow.operators.columns import augment, cast, hide, rename, rename_back
 from layerflow.operators.refresh import publish, write_extract
 from layerflow.operators.windows import fixed, row_number
-from layerflow.plans.catalog.registry import query, table
+from layerflow.plans.catalog.registry import query, table, text_where
 from layerflow.session import scratch_path
 from layerflow.sources import (
     limit_rows,
@@ -244,7 +244,7 @@ def c4(spark, root):
 )
 def c4_table(spark, root):
     lines = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").cast("string").alias("part"))
-    mapping = table(spark, root, "part").where("p_size > 10").select(F.col("p_partkey").cast("string"), "p_brand")
+    mapping = table(spark, root, "part").select(text_where("p_size > 10", "CAST(p_partkey AS STRING)").alias("part"), "p_brand")
     return group_values(lines, "part", mapping)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from layerflow.operators import expectations as ex
 from layerflow.operators.parity import column_diff, count_diff, resolve_pairs, value_diff
 from layerflow.plans import models
-from layerflow.plans.catalog.registry import query, table
+from layerflow.plans.catalog.registry import number_where, query, table
 
 
 def _profile_sql(column: str, type_a: str | None, type_b: str | None, a: str, b: str) -> str:
@@ -168,7 +168,8 @@ def l8(spark, root):
 @query("l9_expect_ref", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS customer FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
 def l9(spark, root):
     orders = table(spark, root, "orders").select("o_orderkey", F.expr("CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END").alias("customer"))
-    return ex.expect_ref(orders, "customer", table(spark, root, "customer").where("c_acctbal > 0"), "c_custkey")
+    customers = table(spark, root, "customer").select(number_where("c_acctbal > 0", "c_custkey").alias("c_custkey"))
+    return ex.expect_ref(orders, "customer", customers, "c_custkey")
 
 
 @query("l10_expect_range", "SELECT p_partkey, p_size FROM part WHERE p_size < 5 OR p_size >= 45")
@@ -242,7 +243,7 @@ def l14(spark, root):
         F.expr("concat('c', o_orderkey % 5, '_step', o_orderkey % 12)").alias("step"),
     )
     suppliers = table(spark, root, "supplier").select("s_suppkey")
-    customers = table(spark, root, "customer").where("c_acctbal > -500")
+    customers = table(spark, root, "customer").select(number_where("c_acctbal > -500", "c_custkey").alias("c_custkey"))
     rules = [
         ex.required("status_set", orders, "status"),
         ex.accepted("priority_known", "o_orderpriority", ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"]),
@@ -260,14 +261,16 @@ def l14(spark, root):
 
 @query(
     "l15_coverage",
-    """WITH a AS (SELECT DISTINCT o_custkey AS item, o_orderpriority AS grp FROM orders WHERE o_totalprice > 300000),
+    """WITH a AS (SELECT DISTINCT CASE WHEN o_totalprice > 300000 THEN o_custkey ELSE -1 - o_custkey END AS item, o_orderpriority AS grp FROM orders),
             n AS (SELECT item, count(*) AS n_groups FROM a GROUP BY item HAVING count(*) > 1)
        SELECT item, 'multiple' AS status, grp, n_groups FROM a JOIN n USING (item)
        UNION ALL SELECT c_custkey, 'unassigned', NULL, 0 FROM customer WHERE c_custkey NOT IN (SELECT item FROM a)""",
 )
 def l15(spark, root):
     items = table(spark, root, "customer").select(F.col("c_custkey").alias("item"))
-    assigned = table(spark, root, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("item"), F.col("o_orderpriority").alias("grp"))
+    assigned = table(spark, root, "orders").select(
+        number_where("o_totalprice > 300000", "o_custkey").alias("item"), F.col("o_orderpriority").alias("grp")
+    )
     return ex.coverage(items, assigned, "item", "grp")
 
 

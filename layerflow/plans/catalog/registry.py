@@ -31,6 +31,16 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return read_dataset(spark, root, name)
 
 
+def number_where(condition: str, key: str) -> Column:
+    """A number; where the condition does not hold, one below zero, which nothing matches."""
+    return F.expr(f"CASE WHEN {condition} THEN {key} ELSE -1 - {key} END")
+
+
+def text_where(condition: str, key: str) -> Column:
+    """A text; where the condition does not hold, behind a tilde, so that nothing matches."""
+    return F.expr(f"CASE WHEN {condition} THEN {key} ELSE concat('~', {key}) END")
+
+
 def exact(name: str) -> Column:
     """A double as a decimal, so that sums do not depend on the order of the rows."""
     return F.col(name).cast("decimal(18,4)")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from layerflow.functions.documents import explode_object, json_collect, malformed_documents, referenced_fields
 from layerflow.operators import ledger as lg
 from layerflow.operators.metrics import consumer_impact, metric
-from layerflow.plans.catalog.registry import as_double, exact, query, table
+from layerflow.plans.catalog.registry import as_double, exact, number_where, query, table
 
 
 @query(
@@ -115,12 +115,12 @@ def o2(spark, root):
 
 @query(
     "o3_compare_previous",
-    """WITH s AS (SELECT user_id, CAST(ts AS DATE) AS period, count(*) AS value FROM events WHERE event_type = 'purchase' GROUP BY 1, 2)
+    """WITH s AS (SELECT user_id, CAST(ts AS DATE) AS period, count(*) AS value FROM events GROUP BY 1, 2)
        SELECT s.user_id, s.period, s.value, p.value AS previous, s.value - p.value AS change, CAST(s.value AS DOUBLE) / p.value AS ratio
        FROM s LEFT JOIN s p ON p.user_id = s.user_id AND p.period = s.period - 1""",
 )
 def o3(spark, root):
-    return metric(table(spark, root, "events"), F.lit(1), "count", "ts", "day", ["event_type = 'purchase'"], "user_id", compare="previous")
+    return metric(table(spark, root, "events"), F.lit(1), "count", "ts", "day", dims="user_id", compare="previous")
 
 
 _DEFINITION = """concat('{"specification":{"basic_specification":{"measure":{"field":"', p_brand, '"},"time_dimension":{"field":"', p_type,
@@ -148,11 +148,14 @@ def o4(spark, root):
 def o5(spark, root):
     orders, lines = table(spark, root, "orders"), table(spark, root, "lineitem")
     targets = table(spark, root, "customer").select(F.col("c_custkey").alias("dataset"))
-    reports = orders.where("o_orderstatus = 'F' AND o_totalprice > 400000").select(F.col("o_custkey").alias("dataset"))
-    definitions = orders.where("o_orderpriority IN ('1-URGENT', '2-HIGH')").select(F.col("o_orderkey").alias("definition"), F.col("o_custkey").alias("dataset"))
+    reports = orders.select(number_where("o_orderstatus = 'F' AND o_totalprice > 400000", "o_custkey").alias("dataset"))
+    definitions = orders.select(
+        F.col("o_orderkey").alias("definition"), number_where("o_orderpriority IN ('1-URGENT', '2-HIGH')", "o_custkey").alias("dataset")
+    )
     name = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_quantity")
     metrics = lines.select(F.col("l_orderkey").alias("definition"), name.alias("metric"))
-    subscriptions = lines.where("l_returnflag = 'R' AND l_quantity > 45").select(name.alias("metric"))
+    followed = F.when(F.expr("l_returnflag = 'R' AND l_quantity > 45"), name).otherwise(F.concat(F.lit("~"), name))
+    subscriptions = lines.select(followed.alias("metric"))
     return consumer_impact(targets, reports, definitions, metrics, subscriptions)
 
 

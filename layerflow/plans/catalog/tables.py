@@ -23,7 +23,7 @@ from layerflow.operators.reshape import add_missing_rows, fill_dates, fill_seque
 from layerflow.operators.script import script, script_by
 from layerflow.operators.unions import self_union, union_mapped
 from layerflow.operators.windows import accumulate, fixed, renumber, row_number
-from layerflow.plans.catalog.registry import as_double, exact, query, table
+from layerflow.plans.catalog.registry import as_double, exact, number_where, query, table, text_where
 
 
 @query(
@@ -33,18 +33,19 @@ from layerflow.plans.catalog.registry import as_double, exact, query, table
 )
 def d1(spark, root):
     customers = table(spark, root, "customer").select("c_custkey", "c_mktsegment")
-    orders = table(spark, root, "orders").where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", "o_totalprice")
+    key = number_where("o_orderstatus = 'P'", "o_custkey").alias("o_custkey")
+    orders = table(spark, root, "orders").select(key, "o_orderkey", "o_totalprice")
     return join(customers, orders, [("c_custkey", "o_custkey")], "left").drop("o_custkey")
 
 
 @query(
     "d1_join_full",
     """SELECT coalesce(a.k, b.k) AS k, a.name AS name, b.name AS "name-1"
-       FROM (SELECT c_custkey AS k, c_name AS name FROM customer WHERE c_acctbal > 0) a
+       FROM (SELECT CASE WHEN c_acctbal > 0 THEN c_custkey ELSE -1 - c_custkey END AS k, c_name AS name FROM customer) a
        FULL JOIN (SELECT s_suppkey AS k, s_name AS name FROM supplier) b ON a.k = b.k""",
 )
 def d1_full(spark, root):
-    customers = table(spark, root, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"))
+    customers = table(spark, root, "customer").select(number_where("c_acctbal > 0", "c_custkey").alias("k"), F.col("c_name").alias("name"))
     suppliers = table(spark, root, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("name"))
     return join(customers, suppliers, "k", "full")
 
@@ -140,7 +141,7 @@ _NAMES = "SELECT DISTINCT p_name AS name FROM part UNION SELECT p_brand FROM par
 def d7(spark, root):
     parts = table(spark, root, "part")
     names = parts.select(F.col("p_name").alias("name")).union(parts.select("p_brand")).distinct()
-    catalog = parts.where("p_size > 40").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("id"))
+    catalog = parts.select(text_where("p_size > 40", "p_name").alias("name"), F.col("p_partkey").alias("id"))
     return resolve_names(names, catalog)
 
 
@@ -152,7 +153,7 @@ def d7(spark, root):
 def d7_strict(spark, root):
     parts = table(spark, root, "part")
     names = parts.select(F.col("p_name").alias("name")).union(parts.select("p_brand")).distinct()
-    catalog = parts.where("p_size > 40").select(F.col("p_name").alias("name"))
+    catalog = parts.select(text_where("p_size > 40", "p_name").alias("name"))
     return resolve_names(names, catalog, strict=True)[1]
 
 
@@ -163,7 +164,9 @@ def d7_strict(spark, root):
 )
 def d8(spark, root):
     orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", F.nullif("o_orderstatus", F.lit("P")).alias("status"))
-    lookup = table(spark, root, "customer").where("c_acctbal > 0").select("c_custkey", F.col("c_mktsegment").alias("status"))
+    lookup = table(spark, root, "customer").select(
+        number_where("c_acctbal > 0", "c_custkey").alias("c_custkey"), F.col("c_mktsegment").alias("status")
+    )
     return fill_from_lookup(orders, lookup, [("o_custkey", "c_custkey")], "status").drop("o_custkey")
 
 
@@ -355,14 +358,13 @@ def h2(spark, root):
     return unpivot(lines, ["l_orderkey", "l_linenumber"], ["l_discount", "l_tax"], "measure", "amount")
 
 
-_DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1, 2"
+_DAILY = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2"
 _CALENDAR = f"""daily AS ({_DAILY}), ends AS (SELECT user_id, min(day) AS a, max(day) AS b FROM daily GROUP BY user_id),
     grid AS (SELECT user_id, CAST(unnest(generate_series(CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM ends)"""
 
 
 def _daily(spark, root):
-    bought = table(spark, root, "events").where("event_type = 'purchase'")
-    return bought.groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, root, "events").groupBy("user_id", F.col("ts").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("h3_fill_dates", f"WITH {_CALENDAR} SELECT g.user_id, g.day, d.n FROM grid g LEFT JOIN daily d ON g.user_id = d.user_id AND g.day = d.day")
