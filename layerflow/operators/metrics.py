@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from layerflow.functions.names import as_list, col
 from layerflow.functions.periods import index_start, period_index
 from layerflow.operators.aggregates import aggregate
-from layerflow.operators.joins import attach, exists_in
+from layerflow.operators.joins import attach, exists_in, match_struct
+from layerflow.operators.windows import accumulate
 
 
 def metric(
@@ -28,8 +29,9 @@ def metric(
 
     ``running_total`` adds the sum so far (sums and counts only); ``compare="previous"`` adds
     the value of the calendar period before, the change, and the ratio (null on a zero or
-    missing base). Windows run on the aggregated series, so a window group has one row per period
-    of the calendar and no more.
+    missing base). A running total over dimensions is a window on the aggregated series, which
+    has one row per period of the calendar; the total of everything, whose series at a fine
+    grain has no bound, is summed piece by piece. The period before is looked up by a join.
     """
     keys = as_list(dims)
     if running_total and agg not in ("sum", "count"):
@@ -41,16 +43,16 @@ def metric(
         rows = rows.where(test)
     rows = rows.withColumn("__index", period_index(col(ts), grain))
     series = aggregate(rows, [*keys, "__index"], {"value": (agg, measure)})
-    split = Window.partitionBy(*[col(k) for k in keys]).orderBy("__index")
-    columns = {"period": index_start(F.col("__index"), grain)}
-    if running_total:
+    out = series.withColumn("period", index_start(F.col("__index"), grain))
+    if running_total and keys:
+        split = Window.partitionBy(*[col(k) for k in keys]).orderBy("__index")
         so_far = split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        columns["running_total"] = F.sum("value").over(so_far)
-    if compare:
-        adjacent = F.lag("__index").over(split) == F.col("__index") - 1
-        columns["previous"] = F.when(adjacent, F.lag("value").over(split))
-    out = series.withColumns(columns)
+        out = out.withColumn("running_total", F.sum("value").over(so_far))
+    elif running_total:
+        out = accumulate(out, [], "__index", "running_total", "value")
     if compare:
+        before = series.select(*[col(k) for k in keys], (F.col("__index") + 1).alias("__index"), F.col("value").alias("previous"))
+        out = match_struct(out, before, [(k, k) for k in [*keys, "__index"]], "left")
         out = out.withColumns(
             {
                 "change": F.col("value") - F.col("previous"),

@@ -123,6 +123,18 @@ def o3(spark, root):
     return metric(table(spark, root, "events"), F.lit(1), "count", "ts", "day", dims="user_id", compare="previous")
 
 
+@query(
+    "o2_running_total_all",
+    """WITH s AS (SELECT date_trunc('minute', ts) AS period, count(*) AS value FROM events GROUP BY 1)
+       SELECT s.period, s.value, CAST(sum(s.value) OVER (ORDER BY s.period) AS BIGINT) AS running_total, p.value AS previous, s.value - p.value AS change,
+              CAST(s.value AS DOUBLE) / p.value AS ratio
+       FROM s LEFT JOIN s p ON p.period = s.period - INTERVAL 1 MINUTE""",
+)
+def o2_all(spark, root):
+    """All events by the minute, without dimensions."""
+    return metric(table(spark, root, "events"), F.lit(1), "count", "ts", "minute", running_total=True, compare="previous")
+
+
 _DEFINITION = """concat('{"specification":{"basic_specification":{"measure":{"field":"', p_brand, '"},"time_dimension":{"field":"', p_type,
     '"},"filters":[{"field":"', p_name, '"},{"field":"size', p_size, '"}]},"viz_state_specification":{"viz_state_string":"{\\\\"vizState\\\\":{\\\\"rows\\\\":[{\\\\"fieldCaption\\\\":\\\\"v',
     p_size, '\\\\"}]}}"}},"extension_options":{"allowed_dimensions":["', p_brand, '","dim"]}}')"""
