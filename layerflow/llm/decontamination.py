@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from layerflow.llm.common import query, table, text_or_empty
+from layerflow.llm.common import query, small, table, text_or_empty
 from layerflow.session import cut
 
 SHINGLE = 5
@@ -21,14 +21,6 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 #: shingles.
 PACKED, FIELD = 3, 21
 
-#: A side with at most so many short rows is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its rows are counted to be few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
 
 def words_of(text: Column) -> Column:
     """Runs of letters and digits, in lower case."""

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from layerflow.llm.common import components, query, table, text_or_empty
+from layerflow.llm.common import components, query, small, table, text_or_empty
 from layerflow.session import cut
 
 SHINGLE = 5
@@ -26,8 +26,13 @@ TILE_TEXTS, TILE_SHINGLES = 256, 1 << 18
 MOST = 1 << 20
 #: Bytes of text that are hashed at a time.
 BATCH = 1 << 17
-#: Keys of texts that a scan remembers, so as to send copies once, and that may be broadcast.
-REMEMBERED, BROADCAST_KEYS = 1 << 18, 1 << 21
+#: Keys of texts that a scan remembers, so as to send copies once.
+REMEMBERED = 1 << 18
+#: Shingles below this hash come first in the order by rarity: three eighths of all.
+FIRST = -(1 << 63) + 3 * (1 << 61)
+#: Bits of the filter by which a scan leaves out texts without a block: 16 MB, whatever the
+#: number of texts. Each text sets three, at these shifts of its hash.
+FILTER_BITS, FILTER_SHIFTS = 27, (0, 18, 37)
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -154,24 +159,29 @@ def prefix_size(n: int | np.ndarray) -> int | np.ndarray:
 
 
 def shingle_keys(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_shingles, set): ``set`` stands for the set of shingles, null if it is empty."""
+    """(key, n_shingles, set, text, n_first): ``set`` stands for the set of shingles, ``text`` is
+    its first half as a number, and ``n_first`` is how many of the shingles are below FIRST. An
+    empty set has no names."""
 
     def keys(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(len(s), _key(s) if len(s) else None) for s in shingle_sets(list(batch))]
-            yield pd.DataFrame(rows, columns=["n", "set"])
+            rows = [(len(s), _key(s) if len(s) else None, int(np.searchsorted(s, FIRST))) for s in shingle_sets(list(batch))]
+            yield pd.DataFrame(rows, columns=["n", "set", "n_first"])
 
-    run = F.pandas_udf(keys, "n long, set binary")
+    run = F.pandas_udf(keys, "n long, set binary, n_first long")
     rows = docs.select(F.col(key), run(text_or_empty()).alias("found"))
-    return rows.select(key, F.col("found.n").alias("n_shingles"), F.col("found.set").alias("set"))
+    whole = F.conv(F.hex(F.substr("found.set", F.lit(1), F.lit(8))), 16, -10).cast("long")
+    return rows.select(
+        key, F.col("found.n").alias("n_shingles"), F.col("found.set").alias("set"), whole.alias("text"), F.col("found.n_first").alias("n_first")
+    )
 
 
 def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, text, sizes) for the first shingles of each text by hash: half of all, or as
-    many as a prefix has. Copies within a task are sent once."""
+    """(shingle, text) for the shingles of each text below FIRST, or as many of the lowest as a
+    prefix has. Copies within a task are sent once."""
     seen: set[int] = set()
     for batch in batches:
-        shingles, texts, sizes, held = [], [], [], 0
+        shingles, texts, held = [], [], 0
         for s in shingle_sets(batch.column(0).to_pylist()):
             if not len(s):
                 continue
@@ -181,17 +191,15 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(seen) >= REMEMBERED:
                 seen.clear()
             seen.add(text)
-            half = int(np.searchsorted(s, 0))
-            sent = max(half, prefix_size(len(s)))
+            sent = max(int(np.searchsorted(s, FIRST)), prefix_size(len(s)))
             shingles.append(s[:sent])
             texts.append(np.full(sent, text))
-            sizes.append(np.full(sent, (len(s) << 32) | half))
             held += sent
             if held > MOST:
-                yield _batch(shingle=np.concatenate(shingles), text=np.concatenate(texts), sizes=np.concatenate(sizes))
-                shingles, texts, sizes, held = [], [], [], 0
+                yield _batch(shingle=np.concatenate(shingles), text=np.concatenate(texts))
+                shingles, texts, held = [], [], 0
         if held:
-            yield _batch(shingle=np.concatenate(shingles), text=np.concatenate(texts), sizes=np.concatenate(sizes))
+            yield _batch(shingle=np.concatenate(shingles), text=np.concatenate(texts))
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
@@ -205,12 +213,12 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[np.ndarray] | None = None
     full: int | None = None
 
-    def count(shingle: np.ndarray, text: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def count(shingle: np.ndarray, text: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not len(shingle):
             return
         new = np.ones(len(shingle), dtype=bool)
         new[1:] = (shingle[1:] != shingle[:-1]) | (text[1:] != text[:-1])
-        shingle, text, sizes = shingle[new], text[new], sizes[new]
+        shingle, text = shingle[new], text[new]
         starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         runs = np.diff(np.append(starts, len(shingle)))
         texts = np.repeat(np.minimum(runs, MOST), runs)
@@ -218,7 +226,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts[shingle == full] = MOST
         keep = texts > 1
         if keep.any():
-            yield _batch(shingle=shingle[keep], text=text[keep], sizes=sizes[keep], texts=texts[keep])
+            yield _batch(shingle=shingle[keep], text=text[keep], texts=texts[keep])
 
     for batch in batches:
         columns = [np.asarray(c) for c in batch.columns]
@@ -237,28 +245,29 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from count(*held)
 
 
-def prefixes(docs: DataFrame) -> DataFrame:
+def prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """(shingle, text, n): the first shingles of each text by rarity that another one has.
+    ``rows`` are the texts' sizes as ``shingle_keys`` gives them.
 
-    The order puts half of all shingles first, chosen by hash: those by the number of texts
-    that have them and then by hash; the other half follows by hash alone. So shingles of
+    The order puts three eighths of all shingles first, chosen by hash: those by the number of
+    texts that have them and then by hash; the others follow by hash alone. So shingles of
     passages that many texts share come late. The numbers are counted over all texts. Sets
     with a similarity of 3/4 share one of their first n - ceil(3 n / 4) + 1 shingles.
     """
-    sent = docs.select(text_or_empty().alias("text")).mapInArrow(_spread, "shingle long, text long, sizes long")
+    sent = docs.select(text_or_empty().alias("text")).mapInArrow(_spread, "shingle long, text long")
     dealt = sent.repartition("shingle").sortWithinPartitions("shingle", "text")
-    shared = dealt.mapInArrow(_shared, "shingle long, text long, sizes long, texts long")
-    n, half = F.call_function("shiftright", F.col("sizes"), F.lit(32)), F.col("sizes").bitwiseAND(0xFFFFFFFF)
-    own = Window.partitionBy("text")
-    ranked = shared.select(
+    shared = dealt.mapInArrow(_shared, "shingle long, text long, texts long")
+    sizes = rows.where("text is not null").groupBy("text").agg(F.max("n_shingles").alias("n"), F.max("n_first").alias("n_first"))
+    early, own = F.col("shingle") < FIRST, Window.partitionBy("text")
+    ranked = shared.join(sizes, "text").select(
         "shingle",
         "text",
-        n.alias("n"),
-        (half - F.count(F.when(F.col("shingle") < 0, 1)).over(own)).alias("alone"),
-        F.row_number().over(own.orderBy(F.col("shingle") >= 0, "texts", "shingle")).alias("place"),
+        "n",
+        (F.col("n_first") - F.count(F.when(early, 1)).over(own)).alias("alone"),
+        F.row_number().over(own.orderBy(~early, "texts", "shingle")).alias("place"),
     )
     size = F.col("n") - F.floor((F.col("n") * SIMILAR[0] + SIMILAR[1] - 1) / SIMILAR[1]) + 1
-    return ranked.where((F.col("shingle") >= 0) | (F.col("place") + F.col("alone") <= size)).select("shingle", "text", "n")
+    return ranked.where(~early | (F.col("place") + F.col("alone") <= size)).select("shingle", "text", "n")
 
 
 class _Forest:
@@ -339,68 +348,67 @@ def links_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links of each tile; the rows of a tile come together."""
-    now, keys, sets, left, right = None, [], [], [], []
+    now, keys, bodies, left, right = None, [], [], [], []
 
     def done() -> Iterator[pd.DataFrame]:
         if len(keys) > 1:
-            found = links_in_tile(sets, np.array(left), np.array(right))
+            found = links_in_tile(list(shingle_sets(bodies)), np.array(left), np.array(right))
             if found:
                 yield pd.DataFrame({"a": [keys[a] for a, _ in found], "b": [keys[b] for _, b in found]})
 
     for batch in batches:
-        for block, one, two, chunk, key, shingles in batch.itertuples(index=False):
+        for block, one, two, chunk, key, body in batch.itertuples(index=False):
             if (block, one, two) != now:
                 yield from done()
-                now, keys, sets, left, right = (block, one, two), [], [], [], []
+                now, keys, bodies, left, right = (block, one, two), [], [], [], []
             if keys and keys[-1] == key:
                 continue
             keys.append(key)
-            sets.append(np.frombuffer(shingles, dtype=np.int64))
+            bodies.append(body)
             left.append(chunk == one)
             right.append(chunk == two)
     yield from done()
 
 
+def _filter(members: DataFrame) -> np.ndarray:
+    """A Bloom filter of the column ``text``: words of 64 bits."""
+    bits = [F.call_function("shiftrightunsigned", F.col("text"), F.lit(by)).bitwiseAND((1 << FILTER_BITS) - 1) for by in FILTER_SHIFTS]
+    spots = members.select(F.explode(F.array(*bits)).alias("bit"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(63).cast("int"))
+    found = spots.groupBy(F.call_function("shiftright", F.col("bit"), F.lit(6)).alias("word")).agg(F.bit_or(one).alias("bits")).toPandas()
+    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
+    out[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    return out
+
+
 def _members(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """(text, set, shingles) of the texts that ``members`` names. If these are few enough, the
-    scan leaves out others at once; the join behind it would drop them in any case."""
-    spark = docs.sparkSession
-    wanted = None
-    if members.count() <= BROADCAST_KEYS:
-        wanted = spark.sparkContext.broadcast(np.sort(members.select("text").toPandas()["text"].to_numpy(dtype=np.int64)))
+    """(text, set, body) of the texts in ``members``, and of few others: the scan leaves out
+    what a filter of fixed size tells apart. Each task sends copies once."""
+    wanted = docs.sparkSession.sparkContext.broadcast(_filter(members))
+
+    def has(text: int) -> bool:
+        bits = [((text & 0xFFFFFFFFFFFFFFFF) >> by) & ((1 << FILTER_BITS) - 1) for by in FILTER_SHIFTS]
+        return all((int(wanted.value[b >> 6]) >> (b & 63)) & 1 for b in bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        names = ["text", "set", "shingles"]
+        schema = pa.schema([("text", pa.int64()), ("set", pa.binary()), ("body", pa.string())])
         for batch in batches:
-            rows: list[tuple[int, bytes, bytes]] = []
-            held = 0
-            for s in shingle_sets(batch.column(0).to_pylist()):
-                if not len(s):
-                    continue
-                key = _key(s)
-                text = _short(key)
-                if wanted is not None:
-                    at = np.searchsorted(wanted.value, text)
-                    if at == len(wanted.value) or wanted.value[at] != text:
-                        continue
-                if key in seen:
+            rows: tuple[list, list, list] = ([], [], [])
+            bodies = batch.column(0).to_pylist()
+            for body, s in zip(bodies, shingle_sets(bodies)):
+                key = _key(s) if len(s) else b""
+                if not key or key in seen or not has(_short(key)):
                     continue
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(key)
-                rows.append((text, key, s.tobytes()))
-                held += len(s)
-                if held > MOST:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=SETS)
-                    rows, held = [], 0
-            if rows:
-                yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*rows)))), schema=SETS)
-
-    return docs.select(text_or_empty().alias("text")).mapInArrow(pick, "text long, set binary, shingles binary")
+                for column, value in zip(rows, (_short(key), key, body)):
+                    column.append(value)
+            if rows[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(rows, schema)], schema=schema)
 
-
-SETS = pa.schema([("text", pa.int64()), ("set", pa.binary()), ("shingles", pa.binary())])
+    return docs.select(text_or_empty().alias("text")).mapInArrow(pick, "text long, set binary, body string")
 
 
 def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -409,8 +417,9 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
     1. Texts with equal sets are one from the start; copies are sent once by each task.
     2. Shingles are counted over all texts, and each text's prefix by rarity is taken. Texts
-       that share a prefix shingle come into one block, as connected components; no pair is
-       written for that, and every link lies within a block.
+       that share a prefix shingle come into one block, as connected components; each shingle
+       connects its texts to the first of them, no pairs are written, and every link lies
+       within a block.
     3. Blocks are compared in tiles of bounded size, each pair of chunks of a block in a task of
        its own. In a tile, pairs must share prefixes under further orders, and are compared
        exactly unless they are connected already; only links that connect are written.
@@ -419,9 +428,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     can link others; a component's name is null only if all its keys are. Repeated rows get
     equal values. No step gathers a block, a shingle's texts or the links anywhere.
     """
-    spark = docs.sparkSession
     rows = cut(shingle_keys(docs, key))
-    prefix = cut(prefixes(docs))
+    prefix = cut(prefixes(docs, rows))
     lead = prefix.groupBy("shingle").agg(F.min("text").alias("lead"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
     meet = prefix.join(lead, "shingle").select(F.col("text").alias("a"), F.col("lead").alias("b")).distinct()
     blocks = components(meet).select(F.col("node").alias("text"), F.col("root").alias("block"))
@@ -435,7 +443,7 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     )
     sets = _members(docs, placed).join(placed, "text")
     tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "block", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "set", "shingles"
+        "block", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "set", "body"
     )
     tiles = tiles.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two", "set")
     joined = components(tiles.mapInPandas(_compare, "a binary, b binary"))
@@ -453,19 +461,33 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 def drop_near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """One row of each component of near copies: the one with the smallest key, null keys last.
     Rows without words stay, and all rows keep all columns. Of repeated rows with that key and
-    set, the one with the smallest text by hash stays."""
+    set, the one with the smallest text by hash stays.
+
+    The names of the rows that go are joined to the rows; if they are counted to be few they
+    are broadcast and no text is shuffled.
+    """
     found = near_copies(docs, key).where("set is not null")
-    first = F.min(F.struct(F.col(key).isNull().alias("late"), F.col(key).alias("id"), F.col("set"))).alias("first")
-    whole = F.struct(F.coalesce(F.col("component_id").cast("string"), F.hex("set")))
-    kept = cut(found.groupBy(whole.alias("component")).agg(first).select("first.id", "first.set"))
+    whole = F.coalesce(F.col("component_id").cast("string"), F.hex("set"))
+    copies = cut(
+        found.groupBy(F.col(key).alias("id"), "set").agg(F.count(F.lit(1)).alias("rows"), F.min(whole).alias("component"))
+    )
+    first = copies.groupBy("component").agg(F.min(F.struct(F.col("id").isNull().alias("late"), "id", "set")).alias("first"))
+    judged = copies.join(first, "component").select(
+        "id", "set", ((F.col("id").eqNullSafe(F.col("first.id"))) & (F.col("set") == F.col("first.set"))).alias("stays"), "rows"
+    )
+    named = cut(
+        judged.where("not stays or rows > 1").select(F.col("id").alias("named_id"), F.col("set").alias("named_set"), "stays")
+    )
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    keyed = shingle_keys(rows.select("row", F.col(f"row.{key}").alias("id"), F.col("row.text").alias("text")), "row")
-    same = (F.col("row")[key].eqNullSafe(F.col("kept_id"))) & (F.col("set") == F.col("kept_set"))
-    kept = kept.select(F.col("id").alias("kept_id"), F.col("set").alias("kept_set"))
-    left = keyed.join(kept, same, "left_semi").select("row", "set")
-    one = Window.partitionBy(F.col("row")[key], "set").orderBy(F.xxhash64(F.col("row.text")))
-    left = left.withColumn("at", F.row_number().over(one)).where("at = 1").select("row.*")
-    return left.unionByName(keyed.where("set is null").select("row.*"))
+    keyed = shingle_keys(rows.select("row", F.col("row.text").alias("text")), "row").select("row", "set")
+    same = F.col("row")[key].eqNullSafe(F.col("named_id")) & F.col("set").eqNullSafe(F.col("named_set"))
+    met = keyed.join(small(named), same, "left")
+    out = met.where(F.col("stays").isNull()).select("row.*")
+    if named.where("stays").isEmpty():
+        return out
+    one = Window.partitionBy("named_id", "named_set").orderBy(F.xxhash64(F.col("row.text")))
+    repeated = met.where("stays").withColumn("at", F.row_number().over(one)).where("at = 1").select("row.*")
+    return out.unionByName(repeated)
 
 
 @query("op8_jaccard")
