@@ -86,7 +86,7 @@ from layerflow.operators.reshape import add_missing_rows, fill_dates, fill_seque
 from layerflow.operators.script import script, script_by
 from layerflow.operators.unions import self_union, union_mapped
 from layerflow.operators.windows import fixed, renumber, row_number
-from layerflow.session import build_session
+from layerflow.session import build_session, scratch_scope
 from layerflow.sources import (
     limit_rows,
     read_csv,

@@ -22,7 +22,6 @@ def _profile(df: DataFrame, distinct: bool) -> DataFrame:
     for i, name in enumerate(df.columns):
         measures += [
             F.count_if(col(name).isNull()).alias(f"n{i}"),
-            (F.countDistinct(col(name)) if distinct else F.lit(None).cast("bigint")).alias(f"d{i}"),
             F.min(col(name)).cast("string").alias(f"a{i}"),
             F.max(col(name)).cast("string").alias(f"z{i}"),
         ]
@@ -31,20 +30,25 @@ def _profile(df: DataFrame, distinct: bool) -> DataFrame:
             F.lit(f.name).alias("column"),
             F.lit(f.dataType.simpleString()).alias("type"),
             F.col(f"n{i}").alias("nulls"),
-            F.col(f"d{i}").alias("distinct"),
             F.col(f"a{i}").alias("min"),
             F.col(f"z{i}").alias("max"),
         )
         for i, f in enumerate(df.schema.fields)
     ]
-    return df.agg(*measures).select(F.inline(F.array(*rows)))
+    profile = df.agg(*measures).select(F.inline(F.array(*rows)))
+    if not distinct:
+        return profile.withColumn("distinct", F.lit(None).cast("bigint"))
+    # Values as text, by column: one hash aggregate removes repeats before anything is shuffled.
+    cells = [F.struct(F.lit(n).alias("column"), col(n).cast("string").alias("cell")) for n in df.columns]
+    apart = df.select(F.inline(F.array(*cells))).where(F.col("cell").isNotNull()).distinct()
+    counts = apart.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    return profile.join(counts, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
 
 
 def column_diff(a: DataFrame, b: DataFrame, distinct: bool = True) -> DataFrame:
     """One row per column of either table: where it exists, its type and profile on each
-    side, and ``same``. Names must match exactly. Columns must be orderable. Counting
-    distinct values widens the pass by the number of columns; ``distinct=False`` leaves it
-    out."""
+    side, and ``same``. Names must match exactly. Columns must be orderable. Distinct values
+    are told apart by their text, in a pass of their own; ``distinct=False`` leaves it out."""
     parts = ("type", "nulls", "distinct", "min", "max")
     sides = [
         _profile(df, distinct).select(

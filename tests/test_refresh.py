@@ -161,3 +161,29 @@ def test_shared_folder_comes_from_the_session(spark):
 
     named = spark.conf.get("spark.checkpoint.dir")
     assert scratch_path(spark, "x").startswith(named)
+
+
+def test_scratch_is_removed_at_the_end_of_its_scope(spark, data):
+    from pathlib import Path
+
+    from layerflow import scratch_scope
+    from layerflow.plans.catalog import QUERIES
+    from layerflow.session import shared_folder
+
+    folder = Path(shared_folder(spark))
+    before = set(folder.iterdir())
+    with scratch_scope(spark):
+        assert QUERIES["m1_reachable"](spark, data).count() > 0
+        assert set(folder.iterdir()) > before
+    assert set(folder.iterdir()) == before
+
+
+def test_stream_that_keeps_ties_and_late_rows(src, spark, tmp_path, rows):
+    arriving, out, marks = (str(tmp_path / p) for p in ("arriving", "out", "marks"))
+    for part in ("v = 'd'", "v = 'b'", "v in ('a', 'c')"):
+        src.where(part).coalesce(1).write.mode("append").parquet(arriving)
+        stored = incremental_stream(spark, arriving, out, "t", marks, src.schema, late="keep")
+    assert rows(stored) == rows(src)
+    assert rows(incremental_stream(spark, arriving, out, "t", marks, src.schema, late="keep")) == rows(src)
+    with pytest.raises(ValueError, match="late must be"):
+        incremental_stream(spark, arriving, out, "t", marks, src.schema, late="maybe")
