@@ -15,7 +15,7 @@ from layerflow.llm.blocks import leaf_blocks, own_features, text_features
 from layerflow.llm.common import query, table
 from layerflow.llm.labelled_pages import MARK, labelled_pages
 
-STEPS, RATE, PENALTY = 160, 0.15, 0.1
+STEPS, RATE, PENALTY = 160, 0.15, 0.03
 
 
 @dataclass

@@ -10,7 +10,7 @@ import random
 from collections.abc import Iterator
 
 MARK = ""
-PAGES = 360
+PAGES = 800
 SEED = 20240501
 
 #: Names that sites give to the parts of a page.
