@@ -71,7 +71,8 @@ def _blocks(names: np.ndarray, first: np.ndarray) -> np.ndarray:
         before[first] = labels[first] ^ 1
         labels = _NEXT[(before << 7) | labels]
     high = first.copy()
-    high[1:-1] |= (labels[1:-1] > labels[:-2]) & (labels[1:-1] > labels[2:])
+    last = np.append(first[1:], True)  # what follows it belongs to another text
+    high[1:-1] |= (labels[1:-1] > labels[:-2]) & (labels[1:-1] > labels[2:]) & ~last[1:-1]
     return high
 
 
