@@ -191,6 +191,8 @@ def test_fingerprint_edges(odd, clashing, empty):
     shifted = fingerprint_texts([body, "prefix of any length " + body, body[500:], body[::-1]])
     assert likeness_of(shifted[0], shifted[1]) > 0.9 and likeness_of(shifted[0], shifted[2]) > 0.8
     assert likeness_of(shifted[0], shifted[3]) < 0.1
+    texts = [body[: rng.randint(1, 400)] for _ in range(200)]
+    assert fingerprint_texts(texts) == [fingerprint_texts([t])[0] for t in texts]
 
 
 @pytest.mark.parametrize("ranges", [1, 3, 50])
