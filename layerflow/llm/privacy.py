@@ -202,7 +202,53 @@ def sanitise_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.select(key, redacted(F.col("text"), F.col("spans"), F.col("terms")).alias("sanitised"))
 
 
-@query("op2_privacy")
+OP2_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+p(kno, kind, pattern) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+m AS (SELECT rid, 0 AS kno, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS hit, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gap FROM d
+  UNION ALL SELECT rid, 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
+  UNION ALL SELECT rid, 2, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') FROM d
+  UNION ALL SELECT rid, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+x AS (SELECT rid, kno, hit, gap, unnest(range(1, len(hit) + 1)) AS i FROM m),
+s AS (SELECT rid, kno, hit[i] AS h, regexp_replace(hit[i], '[^0-9]', '', 'g') AS g,
+  (list_sum(list_transform(gap[1:i], lambda u: length(u))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda u: length(u))), 0))::BIGINT AS a FROM x),
+base AS (SELECT rid, kno, a, a + length(h) AS z FROM s WHERE CASE kno WHEN 0 THEN true
+  WHEN 1 THEN len(list_filter(string_split(h, '.'), lambda u: length(ltrim(u, '0')) > 3 OR (length(ltrim(u, '0')) = 3 AND ltrim(u, '0') > '255'))) = 0
+  WHEN 2 THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(g, length(g) - j + 1, 1)::INT
+      ELSE (2 * substr(g, length(g) - j + 1, 1)::INT) // 10 + (2 * substr(g, length(g) - j + 1, 1)::INT) % 10 END)) % 10 = 0
+  ELSE length(g) BETWEEN 9 AND 15 END),
+ll AS (SELECT rid, string_split(text, chr(10)) AS l FROM d),
+ln AS (SELECT rid, l, unnest(range(0, len(l))) AS line FROM ll),
+lo AS (SELECT rid, line, l[line + 1] AS unit, coalesce(list_sum(list_transform(l[1:line], lambda u: length(u) + 1)), 0)::BIGINT AS line_at FROM ln),
+lk AS (SELECT lo.rid, line, unit, line_at, bit_or(1 << kno) AS kinds FROM lo JOIN base b ON b.rid = lo.rid AND b.a >= line_at AND b.a < line_at + length(unit) GROUP BY ALL),
+wl AS (SELECT *, regexp_extract_all(unit, '\p{L}+') AS hit, string_split_regex(unit, '\p{L}+') AS gap FROM lk),
+wx AS (SELECT *, unnest(range(1, len(hit) + 1)) AS i FROM wl),
+wp AS (SELECT rid, line, unit, kinds, lower(hit[i]) AS term, length(hit[i]) AS n,
+  (line_at + list_sum(list_transform(gap[1:i], lambda u: length(u))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda u: length(u))), 0))::BIGINT AS a FROM wx),
+w AS (SELECT rid, line, unit, kinds, term, a, a + n AS z FROM wp WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = wp.rid AND b.a < wp.a + wp.n AND b.z > wp.a)),
+ek AS (SELECT DISTINCT unit, kno, term FROM w JOIN p ON (kinds >> kno) & 1 = 1),
+joint_n AS (SELECT term, kno, count(*) AS n_both FROM ek GROUP BY ALL HAVING count(*) >= 5),
+raw AS (SELECT term, kno, count(*) AS n_raw FROM (SELECT DISTINCT rid, line, term, kinds FROM w) JOIN p ON (kinds >> kno) & 1 = 1 GROUP BY ALL),
+tn AS (SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct(list_filter(string_split_regex(lower(unit), '[^\p{L}]+'), lambda u: u <> ''))) AS term FROM lo) GROUP BY term),
+kn AS (SELECT kno, count(*) AS n_kind FROM (SELECT DISTINCT unit, kno FROM ek) GROUP BY kno),
+nl AS (SELECT count(*)::DOUBLE AS n_lines FROM lo),
+t AS (SELECT j.term, j.kno, n_both / (n_both + greatest(n_term - n_raw, 0)) AS within_t, n_kind / greatest(n_lines, n_kind) AS of_all
+  FROM joint_n j JOIN raw USING (term, kno) JOIN tn USING (term) JOIN kn USING (kno), nl),
+telling AS (SELECT term, kno FROM t WHERE of_all < 1 AND ln(within_t / of_all) / -ln(of_all) >= 0.8),
+hits AS (SELECT DISTINCT rid, a, z FROM w JOIN telling USING (term) WHERE (kinds >> kno) & 1 = 1),
+sp AS (SELECT rid, a, kno, z FROM base UNION ALL SELECT rid, a, 4, z FROM hits),
+o AS (SELECT rid, count(*) FILTER (kno = 0) AS n_email, count(*) FILTER (kno = 1) AS n_ip, count(*) FILTER (kno = 2) AS n_card, count(*) FILTER (kno = 3) AS n_phone,
+  string_agg((['email', 'ip', 'card', 'phone'])[kno + 1] || ':' || a || ':' || z, ',' ORDER BY a, kno, z) FILTER (kno < 4) AS own,
+  string_agg((['email', 'ip', 'card', 'phone', 'term'])[kno + 1] || ':' || a || ':' || z, ',' ORDER BY a, kno, z) AS every, count(*) FILTER (kno = 4) AS n_term
+  FROM sp GROUP BY rid)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(n_term, 0) AS n_term
+FROM d LEFT JOIN o USING (rid)
+"""
+
+
+@query("op2_privacy", OP2_SQL)
 def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of all documents."""
     found = find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
