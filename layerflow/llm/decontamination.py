@@ -75,6 +75,34 @@ def _masks() -> list[int]:
     return [sum(1 << b for b in bits) for k in range(NEAR + 1) for bits in combinations(range(WIDTH), k)]
 
 
+def _windows(hits: DataFrame, similar: float) -> DataFrame:
+    """The windows (text_md5, m, g, start) in which so many shingles are those of items of m
+    words that one of them can be similar.
+
+    If a window has similarity s to an item, they share s / (1 + s) of both their weights. A
+    window spans at most two blocks of places as long as itself; the places with such shingles
+    are gathered by block, and no array is longer than two windows. The windows whose first
+    such place is the i-th one begin behind the place before it, and must reach the place
+    that fills the number needed.
+    """
+    g, m, size = F.col("g"), F.col("m"), F.col("size")
+    span = F.least(m, size) - g + 1
+    need = F.greatest(F.ceil((span + m - g + 1) * similar / (1 + similar) - 1e-6), F.lit(1)).cast("int")
+    key = ["text_md5", "m", "g", "size"]
+    blocks = hits.withColumn("block", F.floor(F.col("p") / span)).groupBy(*key, "block").agg(F.collect_set("p").alias("ps"))
+    begun = blocks.select(*key, "ps", F.explode(F.array(F.col("block"), F.col("block") - 1)).alias("block")).where("block >= 0")
+    begun = begun.groupBy(*key, "block").agg(F.array_sort(F.flatten(F.collect_list("ps"))).alias("ps"))
+    begun = begun.select(*key, (F.col("block") * span).cast("int").alias("low"), "ps", need.alias("need")).where(F.size("ps") >= F.col("need"))
+    fills = F.slice("ps", F.col("need"), F.size("ps"))
+    before = F.concat(F.array(F.col("low") - 1), F.col("ps"))
+    runs = F.slice(F.arrays_zip(F.col("ps").alias("p"), fills.alias("fill"), before.alias("before")), F.lit(1), F.size("ps") - F.col("need") + 1)
+    begun = begun.select(*key, "low", F.explode(runs).alias("run"))
+    first = F.greatest(F.col("run.fill") - span + 1, F.col("run.before") + 1, F.col("low"))
+    last = F.least(F.col("run.p"), F.col("low") + span - 1, F.greatest(size - m, F.lit(0)))
+    begun = begun.select("text_md5", "m", "g", first.alias("first"), last.alias("last")).where("first <= last")
+    return begun.select("text_md5", "m", "g", F.explode(F.sequence("first", "last")).alias("start"))
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """Benchmark items in texts: (text_md5, item_id, similarity, first_word), one row for each
     text and item.
@@ -82,9 +110,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> D
     A text is compared with an item in windows of as many words as the item has. The
     similarity is that of the sets of 5-word shingles weighted by how often they occur:
     the sum of the smaller over the sum of the larger weights; shorter items and texts are one
-    shingle. Only windows that share a shingle with an item, in the place where the item has
-    it, can be similar and get a fingerprint; of texts shorter than the item the whole is the
-    window. Fingerprints are compared within RADIUS bits by block lookup, so that none within
+    shingle. Windows begin at every word; those with too few shingles of items to be similar
+    to any get no fingerprint. Of texts shorter than the item the whole is the window. Fingerprints are compared within RADIUS bits by block lookup, so that none within
     it is missed: at similarity 0.75 shingle vectors are at 31 degrees and fingerprints differ
     in 11 bits of 64 on average, with a deviation of 3. Candidates are then compared exactly.
 
@@ -104,7 +131,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> D
         own = own.select("item_id", "m", F.lit(g).alias("g"), F.posexplode(_hashes("words", g)).alias("q", "h"))
         item_grams = own if item_grams is None else item_grams.unionByName(own)
     item_grams = cut(item_grams)
-    places = small(cut(item_grams.select("g", "h", "m", "q").distinct()))
+    places = small(cut(item_grams.select("g", "h", "m").distinct()))
 
     texts = docs.select(F.md5(text_or_empty()).alias("text_md5"), words_of(F.col("text")).alias("words"))
     hits = None
@@ -112,8 +139,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> D
         rows = texts.select("text_md5", F.size("words").alias("size"), F.posexplode(_runs("words", g)).alias("p", "run"))
         rows = rows.where(F.col("p") <= F.col("size") - g).select("text_md5", "size", "p", F.lit(g).alias("g"), _run_hash(F.col("run"), g).alias("h"))
         hits = rows if hits is None else hits.unionByName(rows)
-    start = F.greatest(F.least(F.col("p") - F.col("q"), F.col("size") - F.col("m")), F.lit(0))
-    windows = cut(hits.join(places, ["g", "h"]).select("text_md5", "m", "g", start.alias("start")).distinct())
+    windows = cut(_windows(hits.join(places, ["g", "h"]), similar))
 
     # The shingles of those windows, from the texts that have any.
     hit_texts = small(cut(windows.select("text_md5").distinct()))

@@ -181,6 +181,42 @@ def test_decontamination_edges(spark, odd, clashing, empty):
     assert leaked_documents(empty, items).count() == 0
 
 
+def test_leaks_are_found_at_every_start(spark):
+    """Swapped sentences, edits at both ends and beside a gap, repeats and short texts, against
+    all windows in plain Python."""
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+    swapped, gapped, wide, refrain = words(35), words(60), words(90), words(6)
+    items = {1: swapped, 2: gapped, 3: wide, 4: refrain * 5 + words(10), 5: words(4), 6: swapped[1:] + words(1)}
+    texts = {
+        1: words(70) + swapped[17:] + swapped[:17] + words(70),
+        2: words(31) + words(2) + gapped[2:30] + words(1) + gapped[30:58] + words(40),
+        3: words(5) + wide[45:] + wide[:45],
+        4: words(9) + refrain * 40 + words(9),
+        5: wide[:80],
+        6: items[5] + words(50) + items[5],
+        7: words(12) + items[4][6:] + items[4][:6] + swapped[3:] + swapped[:3],
+        8: swapped[20:] + words(60) + swapped[:20],
+    }
+
+    def weights(ws, g):
+        return Counter(tuple(ws[i : i + g]) for i in range(len(ws) - g + 1))
+
+    want = {}
+    for t, text in texts.items():
+        for i, item in items.items():
+            g, best = min(5, len(item)), (0, 0)
+            for start in range(max(len(text) - len(item), 0) + 1):
+                a, b = weights(text[start : start + len(item)], g), weights(item, g)
+                best = max(best, ((a & b).total() / (a | b).total(), -start))
+            if best[0] >= 0.75:
+                want[t, i] = (best[0], -best[1])
+    assert {(1, 1), (3, 3), (5, 3), (6, 5)} <= set(want) and not any(t == 8 for t, _ in want)
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in rows.items()], f"{name} long, text string")
+    got = leaked_documents(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert {(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in got} == want
+
+
 def test_fingerprint_edges(odd, clashing, empty):
     prints = {r.doc_id: r.fingerprint for r in fingerprint_documents(clashing).where("doc_id is not null").collect()}
     assert prints[3] == prints[4] == "" and len(prints[5]) == len(prints[10]) == 256
