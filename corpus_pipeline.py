@@ -13,15 +13,16 @@ from layerflow.llm.sharding import shard_documents
 from layerflow.session import cut
 from layerflow.sources import read_dataset
 
-#: A document goes if no language has half of its letters' score.
-LEAST_SCORE = 0.5
+#: A document goes if less than half of its letters are evidence for the languages of its spans.
+LEAST_EVIDENCE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language: those without letters go, and those of which no
-    language has enough. Null texts go as well."""
+    """Keep documents in learnt languages, one or several: those without letters go, and those
+    whose letters are mostly of other scripts or in sequences that were never seen. Null texts
+    go as well."""
     found = label_documents(docs, learnt(docs), spans=False)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("evidence") >= LEAST_EVIDENCE)).select("row.*")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

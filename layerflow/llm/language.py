@@ -141,11 +141,13 @@ def _chunks(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
 
 @dataclass
 class Model:
-    """Languages by name, the trigrams' log probabilities, and which script has which."""
+    """Languages by name, the trigrams' log probabilities, which script has which, and which
+    trigrams were seen in which."""
 
     languages: list[str]
     scores: np.ndarray
     written: np.ndarray
+    seen: np.ndarray
 
     def word_scores(self, words: Words) -> np.ndarray:
         """A row for each word: how far each language lies behind the best one."""
@@ -159,6 +161,15 @@ class Model:
         return np.where(some, out, np.float32(0))
 
 
+    def known(self, words: Words, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each word its letters and marks, and those of them whose trigram was seen in the
+        word's language; none if that language is not written in the word's script."""
+        sizes = np.diff(np.append(words.first, len(words.counters)))
+        found = self.seen[words.counters, np.repeat(labels, sizes)]
+        found = np.add.reduceat(found.astype(np.int64), words.first) if len(sizes) else sizes
+        return sizes, np.where(self.written[words.script, labels], found, 0)
+
+
 def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """The labels of a sequence with the highest sum of scores, less ``switch`` for each change
     of label.
@@ -193,18 +204,26 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def label_texts(model: Model, texts: list[str]) -> Iterator[tuple[str, float, list[tuple[str, int, int]]]]:
     """For each text: its language, the score, and its spans as (language, start, end) in code
     points from its first to its last word of one language."""
+    for lang, score, spans, _ in _labelled(model, texts):
+        yield lang, score, spans
+
+
+def _labelled(model: Model, texts: list[str]) -> Iterator[tuple[str, float, list[tuple[str, int, int]], float]]:
+    """What label_texts gives, and the evidence."""
     names = [*model.languages]
     for _, some in _chunks(texts):
         words = words_of(some)
         scores = model.word_scores(words)
         bounds = np.searchsorted(words.doc, np.arange(len(some) + 1))
+        chosen = np.zeros(len(words.doc), np.int64)
+        decoded = []
         for i in range(len(some)):
             a, b = bounds[i], bounds[i + 1]
             letters = words.letters[a:b]
             if a == b or not letters.sum() or not names:
-                yield UNKNOWN, 0.0, []
+                decoded.append((UNKNOWN, 0.0, []))
                 continue
-            labels = viterbi(scores[a:b])
+            labels = chosen[a:b] = viterbi(scores[a:b])
             share = np.bincount(labels, weights=letters, minlength=len(names))
             best = int(share.argmax())
             sums = np.sort(scores[a:b].sum(axis=0, dtype=np.float64))
@@ -214,7 +233,14 @@ def label_texts(model: Model, texts: list[str]) -> Iterator[tuple[str, float, li
             spans = [
                 (names[labels[x]], int(words.begin[a + x]), int(words.end[a + y - 1])) for x, y in zip(cuts[:-1], cuts[1:])
             ]
-            yield names[best], score, spans
+            decoded.append((names[best], score, spans))
+        if not names:
+            yield from ((*d, 0.0) for d in decoded)
+            continue
+        sizes, known = model.known(words, chosen)
+        size = np.bincount(words.doc, weights=sizes, minlength=len(some))
+        evidence = np.bincount(words.doc, weights=known, minlength=len(some)) / np.maximum(size, 1.0)
+        yield from ((*d, float(e)) for d, e in zip(decoded, evidence))
 
 
 def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -227,7 +253,7 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     known = docs.select("doc_id", "lang", text_or_empty().alias("text")).where("lang is not null and doc_id is not null")
     sizes = {r.lang: r.n for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Model([], np.zeros((COUNTERS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool))
+        return Model([], np.zeros((COUNTERS, 0), np.float32), np.zeros((len(SCRIPTS) + 1, 0), bool), np.zeros((COUNTERS, 0), bool))
     names = sorted(sizes)
     shares = F.create_map(*[x for n in names for x in (F.lit(n), F.lit(sample_docs / sizes[n]))])
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
@@ -257,26 +283,32 @@ def fit_languages(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     scores = np.log((n + SMOOTHING) / (n.sum(axis=0) + SMOOTHING * max(1, seen.sum())))
     scores[~seen] = 0.0
     written = scripts >= np.maximum(1.0, SCRIPT_SHARE * scripts.sum(axis=0))
-    return Model(names, scores.astype(np.float32), written)
+    return Model(names, scores.astype(np.float32), written, n > 0)
 
 
-LABELS = "lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>"
+LABELS = "lang_pred string, score double, spans array<struct<lang: string, start: int, end: int>>, evidence double"
 
 
 def label_documents(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
-    """All rows as (row, lang_pred, score, spans): ``row`` has the columns of the input.
+    """All rows as (row, lang_pred, score, spans, evidence): ``row`` has the columns of the input.
 
     A null text, and one without letters, is ``und`` with score 0 and no spans; so is every
     text if nothing was learnt. A text whose letters belong to no known script gets the first
     language by name. The score is the part of the letters that the language's spans have,
-    lowered where its lead over the next language is small. Nothing is shuffled.
+    lowered where its lead over the next language is small; it tells languages from each other
+    and not from unknown ones. The evidence is the part of the letters and marks that were seen
+    between the same neighbours in the language of their span, in a script of that language;
+    it does not depend on how many languages a text has. Nothing is shuffled.
     """
 
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = label_texts(model, list(batch))
-            rows = [(lang, score, [{"lang": s[0], "start": s[1], "end": s[2]} for s in own] if spans else []) for lang, score, own in found]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans"])
+            found = _labelled(model, list(batch))
+            rows = [
+                (lang, score, [{"lang": s[0], "start": s[1], "end": s[2]} for s in own] if spans else [], evidence)
+                for lang, score, own, evidence in found
+            ]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score", "spans", "evidence"])
 
     run = F.pandas_udf(label, LABELS)
     return packed(docs, found=run(text_or_empty())).select("row", "found.*")

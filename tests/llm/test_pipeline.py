@@ -1,7 +1,8 @@
 """The pipeline's stages, each against plain Python on what the stage before kept."""
 
+import random
 import sys
-from collections import Counter
+from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
@@ -12,6 +13,7 @@ import corpus_pipeline  # noqa: E402
 
 
 from layerflow.llm.jaccard import shingle_sets  # noqa: E402
+from layerflow.llm.language import fit_languages, label_documents  # noqa: E402
 from layerflow.llm.sharding import jump  # noqa: E402
 from layerflow.session import cut  # noqa: E402
 
@@ -37,6 +39,41 @@ def test_clean_documents_stay(stages):
     assert len(stages["language"]) >= 0.98 * len(stages["start"])
 
 
+def test_evidence_and_not_mixture_decides(spark):
+    """Foreign scripts and unseen sequences go, mixtures stay; evidence against plain Python."""
+    rng = random.Random(7)
+    latin = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(6)) for _ in range(n))
+    rows = [(100 * k + i, lang, latin(s, 40)) for k, (lang, s) in enumerate([("xx", "abcde"), ("yy", "fghij"), ("zz", "vwxyz")]) for i in range(40)]
+    train = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    texts = {
+        1001: latin("abcde", 45) + ". " + latin("fghij", 35) + ". " + latin("vwxyz", 20),
+        1002: latin("กขคงจ", 60),
+        1003: latin("абвгд", 60),
+        1004: "這是一個測試" * 9,
+        1005: latin("klmnopqrstu", 60),
+        1006: latin("abcde", 30) + " " + latin("абвгд", 10),
+        1007: latin("abcde", 10) + " " + latin("абвгд", 30),
+        1008: latin("abcde", 60),
+        1009: "123",
+    }
+    model = fit_languages(train)
+    docs = spark.createDataFrame([(i, None, t) for i, t in texts.items()], "doc_id long, lang string, text string")
+    seen = defaultdict(set)
+    for _, lang, text in rows:
+        for w in text.split():
+            seen[lang].update(zip(" " + w, w, w[1:] + " "))
+    found = {r.row.doc_id: r for r in label_documents(docs, model).collect()}
+    want = {}
+    for i, text in texts.items():
+        span = {w: s.lang for s in found[i].spans for w in text[s.start : s.end].replace(".", "").split()}
+        letters = [(span[w], t) for w in text.replace(".", "").split() if w.isalpha() for t in zip(" " + w, w, w[1:] + " ")]
+        want[i] = sum(t in seen[lang] for lang, t in letters) / max(1, len(letters))
+        assert abs(found[i].evidence - want[i]) < 0.02
+    both = docs.unionByName(train)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, both, DATA).collect() if r.doc_id > 1000}
+    assert kept == {i for i in want if want[i] >= 0.5} == {1001, 1006, 1008}
+
+
 def test_one_of_each_group_stays(stages):
     before, after = stages["language"], set(stages["near_copies"].doc_id)
     sets = dict(zip(before.doc_id, (set(s.tolist()) for s in shingle_sets(list(before.text)))))
