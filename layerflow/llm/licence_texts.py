@@ -1,5 +1,7 @@
 """Licence texts and notices as their authors published them."""
 
+import pkgutil
+
 #: Pairs (variant, usual spelling) in canonical form, from the public matching guidelines for
 #: licence texts.
 EQUIVALENT_SPELLINGS = [
@@ -119,3 +121,45 @@ Permission is granted to anyone to use this software for any purpose, including
 
 3. This notice may not be removed or altered from any source distribution.""",
 }
+
+#: Licences whose whole texts are files beside this module, and the lines of their titles.
+WHOLE_LICENCES = {"Apache-2.0": 3, "GPL-2.0": 2, "GPL-3.0": 2, "LGPL-2.1": 2, "LGPL-3.0": 2, "MPL-2.0": 2}
+
+#: Titles, in lower case, with which copies of the licences above open.
+TITLES = [
+    "mit license",
+    "expat license",
+    "isc license",
+    "zlib license",
+    "zlib/libpng license",
+    "bsd license",
+    "bsd 2-clause license",
+    "bsd 3-clause license",
+    "2-clause bsd license",
+    "3-clause bsd license",
+    "simplified bsd license",
+    "new bsd license",
+    "modified bsd license",
+    "bsd 2-clause \"simplified\" license",
+    "bsd 3-clause \"new\" or \"revised\" license",
+    "bsd zero clause license",
+    "zero-clause bsd",
+    "the unlicense",
+]
+
+
+def untitled(text: str, lines: int) -> str:
+    """A text without its first ``lines`` lines that are not empty."""
+    rows = text.split("\n")
+    while lines:
+        lines -= bool(rows.pop(0).strip())
+    return "\n".join(rows)
+
+
+def known_texts() -> list[tuple[str, str]]:
+    """(name, text) of everything that is known; whole texts with and without their titles."""
+    out = sorted(LICENCES.items()) + [("BSL-1.0", untitled(LICENCES["BSL-1.0"], 1))]
+    for name, lines in WHOLE_LICENCES.items():
+        text = pkgutil.get_data(__package__, f"licence_files/{name}.txt").decode()
+        out += [(name, text), (name, untitled(text, lines))]
+    return out

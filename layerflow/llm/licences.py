@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from layerflow.llm.common import query, table, text_or_empty
-from layerflow.llm.licence_texts import EQUIVALENT_SPELLINGS, LICENCES
+from layerflow.llm.licence_texts import EQUIVALENT_SPELLINGS, LICENCES, TITLES, known_texts
 
 #: A line that only says who holds the copyright, in canonical spelling. It differs from copy
 #: to copy of the same licence.
@@ -20,12 +22,25 @@ VARIANTS = r"\b(?:" + "|".join(other for other, _ in EQUIVALENT_SPELLINGS) + r")
 COPYRIGHT_SIGNS = ("copyright", "(c)", "©")
 
 
+#: A line that only reserves all rights.
+RIGHTS_LINE = r"(?m)^[ \t]*all rights reserved[ \t.]*\r?$"
+
+#: Words that titles begin with, and a title on the first line that has words, before others.
+TITLE_WORDS = sorted({"the"} | {t.split()[0].split("-")[0].split("/")[0] for t in TITLES})
+_NAMES = "|".join(re.escape(t).replace("license", "licen[cs]e") for t in sorted(TITLES, key=len, reverse=True))
+TITLE_LINE = rf"\A[^\p{{L}}\p{{N}}]*+(?:the )?(?:{_NAMES})(?:[ \t]*\((?:the )?(?:mit|expat|isc|bsd|zlib|0bsd)\))?[^\p{{L}}\p{{N}}\n]*\n"
+
+
 def _without_copyright(text: Column) -> Column:
+    """In lower case, without copyright lines, a title and lines that reserve all rights."""
     low = F.lower(text)
     signed = F.lit(False)
     for sign in COPYRIGHT_SIGNS:
         signed = signed | F.contains(low, F.lit(sign))
-    return F.when(signed, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+    low = F.when(signed, F.regexp_replace(low, COPYRIGHT_LINE, " ")).otherwise(low)
+    low = F.when(F.contains(low, F.lit("all rights reserved")), F.regexp_replace(low, RIGHTS_LINE, " ")).otherwise(low)
+    titled = F.contains(low, F.lit("\n")) & _first_word(low).isin(*TITLE_WORDS)
+    return F.when(titled, F.regexp_replace(low, TITLE_LINE, " ")).otherwise(low)
 
 
 def _first_word(text: Column) -> Column:
@@ -42,8 +57,8 @@ def _first_spellings(word: str) -> set[str]:
 
 
 def with_digest(df: DataFrame, text: str, into: str = "digest", first: list[str] | None = None) -> DataFrame:
-    """Add the digest of the canonical form of a text: lower case, copyright lines removed,
-    every run of characters other than letters and digits one blank, and equivalent spellings
+    """Add the digest of the canonical form of a text: lower case, copyright lines, a title line
+    at the top and lines with only 'All rights reserved.' removed, every run of characters other than letters and digits one blank, and equivalent spellings
     made one. The spellings are only gone through in texts that have one of them. Given the
     words in ``first``, texts that begin with none of them are left out before."""
     df = df.withColumn(into, _without_copyright(F.col(text)))
@@ -56,11 +71,11 @@ def with_digest(df: DataFrame, text: str, into: str = "digest", first: list[str]
     return df.withColumn(into, F.sha2(F.when(F.col(into).rlike(VARIANTS), spelt).otherwise(F.col(into)), 256))
 
 
-def known_licences(spark: SparkSession, texts: dict[str, str] = LICENCES) -> DataFrame:
+def known_licences(spark: SparkSession, texts: dict[str, str] | None = None) -> DataFrame:
     """The digests of the known licences as (licence, digest, first): ``first`` are the words
     that their texts begin with. Texts that are equal in canonical form are one licence, named
     by the first of their names."""
-    rows = spark.createDataFrame(sorted(texts.items()), "licence string, text string")
+    rows = spark.createDataFrame(known_texts() if texts is None else sorted(texts.items()), "licence string, text string")
     rows = with_digest(rows, "text").withColumn("first", _first_word(_without_copyright(F.col("text"))))
     return rows.groupBy("digest").agg(F.min("licence").alias("licence"), F.collect_set("first").alias("first"))
 

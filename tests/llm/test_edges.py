@@ -147,6 +147,35 @@ def test_licence_edges(spark, clashing, empty):
     assert sorted((r.doc_id, r.line, r.licence) for r in got) == [(1, 0, "MIT"), (2, 2, "MIT-notice"), (2, 2, "MIT-notice")]
 
 
+def test_whole_licences_and_titles(spark):
+    from pathlib import Path
+
+    import layerflow.llm.licence_texts as known
+
+    folder = Path(known.__file__).parent / "licence_files"
+    whole = {n: (folder / f"{n}.txt").read_text() for n in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")}
+    sizes = {n: len(t.split()) for n, t in whole.items()}
+    assert min(sizes.values()) > 900 and "TERMS AND CONDITIONS" in whole["GPL-3.0"]
+    mit, bsd, isc = (known.LICENCES[n] for n in ("MIT", "BSD-3-Clause", "ISC"))
+    year = "Copyright (c) 2021, Some Body"
+    texts = [
+        *((t, n) for n, t in whole.items()),
+        (whole["GPL-3.0"].split("\n", 2)[2], "GPL-3.0"),
+        (f"MIT License\n\n{year}\n\n{mit}\n", "MIT"),
+        (f"The MIT License (MIT)\r\n\r\n{year}\r\n\r\n{mit}", "MIT"),
+        (f"# BSD 3-Clause License\n\n{year}\nAll rights reserved.\n\n{bsd}", "BSD-3-Clause"),
+        (f"{year}\n\nISC Licence\n\n{isc}", "ISC"),
+        (f"MIT License text\n{mit}", None),
+        ("MIT License", None),
+        ("All rights reserved.", None),
+        (f"{mit}\nMIT License\nmore", None),
+        (whole["GPL-3.0"][:-200], None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in scan_licences(docs, known_licences(spark)).where("line = 0").collect()}
+    assert got == {i: n for i, (_, n) in enumerate(texts) if n}
+
+
 def test_decontamination_edges(spark, odd, clashing, empty):
     rng = random.Random(2)
     words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
