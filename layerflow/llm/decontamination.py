@@ -116,19 +116,22 @@ def find_leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> D
     in 11 bits of 64 on average, with a deviation of 3. Candidates are then compared exactly.
 
     Null and empty texts and items have no words and no leak. Equal texts are found as one;
-    ``first_word`` is the place of the first of the best windows. Items with one id must have
-    one text.
+    ``first_word`` is the place of the first of the best windows. Items are told
+    apart by their words and not by their ids: ids, null as well, are joined at the end, and an
+    id with several items has the best of them.
     """
     spark = docs.sparkSession
-    known = items.select("item_id", words_of(F.col("text")).alias("words")).where("item_id is not null").distinct()
-    known = known.withColumn("m", F.size("words")).where("m > 0")
+    known = items.select("item_id", words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
+    known = known.withColumn("item", F.md5(F.array_join("words", " ")))
+    ids = known.select("item", "item_id").distinct()
+    known = known.select("item", "words", F.size("words").alias("m")).dropDuplicates(["item"])
     sizes = sorted(r[0] for r in known.select(F.least("m", F.lit(SHINGLE))).distinct().collect())  # 1 to 5
     if not sizes:
         return spark.createDataFrame([], "text_md5 string, item_id long, similarity double, first_word long")
     item_grams = None
     for g in sizes:
         own = known.where(F.col("m") == g) if g < SHINGLE else known.where(F.col("m") >= g)
-        own = own.select("item_id", "m", F.lit(g).alias("g"), F.posexplode(_hashes("words", g)).alias("q", "h"))
+        own = own.select("item", "m", F.lit(g).alias("g"), F.posexplode(_hashes("words", g)).alias("q", "h"))
         item_grams = own if item_grams is None else item_grams.unionByName(own)
     item_grams = cut(item_grams)
     places = small(cut(item_grams.select("g", "h", "m").distinct()))
@@ -152,25 +155,27 @@ def find_leaks(docs: DataFrame, items: DataFrame, similar: float = SIMILAR) -> D
         grams = one if grams is None else grams.unionByName(one)
     window = ["text_md5", "m", "start"]
     grams = cut(grams.groupBy(*window, "h").agg(F.count(F.lit(1)).alias("n")))
-    item_counts = item_grams.groupBy("item_id", "m", "h").agg(F.count(F.lit(1)).alias("n"))
+    item_counts = item_grams.groupBy("item", "m", "h").agg(F.count(F.lit(1)).alias("n"))
 
     prints = cut(_simhash(grams, window))
-    item_prints = cut(_simhash(item_counts, ["item_id", "m"]))
-    filed = _blocks(item_prints.withColumnRenamed("weight", "item_weight"), ["item_id", "m", "item_weight"], _masks())
+    item_prints = cut(_simhash(item_counts, ["item", "m"]))
+    filed = _blocks(item_prints.withColumnRenamed("weight", "item_weight"), ["item", "m", "item_weight"], _masks())
     filed = filed.withColumnRenamed("print", "item_print")
     asked = _blocks(prints, [*window, "weight"], [0])
     near = asked.join(filed, ["m", "block", "value"]).where(
         F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS
     )
-    pairs = near.select(*window, "item_id", "weight", "item_weight").distinct()
-    shared = pairs.join(grams, window).join(item_counts.withColumnRenamed("n", "item_n"), ["item_id", "m", "h"])
-    shared = shared.groupBy(*window, "item_id", "weight", "item_weight").agg(F.sum(F.least("n", "item_n")).alias("both"))
+    pairs = near.select(*window, "item", "weight", "item_weight").distinct()
+    shared = pairs.join(grams, window).join(item_counts.withColumnRenamed("n", "item_n"), ["item", "m", "h"])
+    shared = shared.groupBy(*window, "item", "weight", "item_weight").agg(F.sum(F.least("n", "item_n")).alias("both"))
     alike = F.col("both") / (F.col("weight") + F.col("item_weight") - F.col("both"))
     shared = shared.withColumn("similarity", alike).where(F.col("similarity") >= similar)
     best = F.max_by("start", F.struct("similarity", -F.col("start")))
-    return shared.groupBy("text_md5", "item_id").agg(
+    found = shared.groupBy("text_md5", "item").agg(
         F.max("similarity").alias("similarity"), best.cast("long").alias("first_word")
     )
+    found = found.join(ids, "item").groupBy("text_md5", "item_id")
+    return found.agg(F.max("similarity").alias("similarity"), F.max_by("first_word", F.struct("similarity", -F.col("first_word"))).alias("first_word"))
 
 
 def leaked_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -210,6 +210,18 @@ def test_decontamination_edges(spark, odd, clashing, empty):
     assert leaked_documents(empty, items).count() == 0
 
 
+def test_items_without_an_id_and_with_a_shared_one(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, two, three, four = words(30), words(30), words(25), words(20)
+    items = spark.createDataFrame([(None, one), (7, two), (7, three), (7, four), (8, two)], "item_id long, text string")
+    rows = [(1, one), (2, "x " + two), (3, three), (4, words(40)), (5, four + " " + three), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id or 0, r.similarity, r.first_word) for r in leaked_documents(docs, items).collect())
+    assert got == [(1, 0, 1.0, 0), (2, 7, 1.0, 1), (2, 8, 1.0, 1), (3, 7, 1.0, 0), (5, 7, 1.0, 0)]
+    assert sorted(r.doc_id for r in drop_leaked(docs, items).collect()) == [4, 6]
+
+
 def test_leaks_are_found_at_every_start(spark):
     """Swapped sentences, edits at both ends and beside a gap, repeats and short texts, against
     all windows in plain Python."""
