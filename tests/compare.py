@@ -14,6 +14,9 @@ from pathlib import Path
 
 import duckdb
 
+#: The smallest sample tables.
+DATA = "/root/testdata/sf0.001"
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"

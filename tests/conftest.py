@@ -7,9 +7,9 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from layerflow import build_session  # noqa: E402
+from compare import DATA  # noqa: E402
 
-DATA = "/root/testdata/sf0.001"
+from layerflow import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -1,8 +1,7 @@
 """Every query of the catalog against its SQL, on the smallest sample tables."""
 
 import pytest
-from compare import connect, differences
-from conftest import DATA
+from compare import DATA, connect, differences
 
 from __spark_entry__ import entry
 from layerflow.plans.catalog import ORACLES, QUERIES
