@@ -180,8 +180,8 @@ def fit_forest(rows: DataFrame, trees: int = TREES, sample_rows: int = SAMPLE_RO
             yield pd.DataFrame({"id": batch["id"], "tree": made})
 
     seeds = spark.range(0, trees, 1, min(trees, 64))
-    found = seeds.mapInPandas(grown, "id long, tree binary").orderBy("id").collect()
-    return Forest([Tree.from_bytes(r.tree) for r in found])
+    found = seeds.mapInPandas(grown, "id long, tree binary").collect()
+    return Forest([Tree.from_bytes(r.tree) for r in sorted(found, key=lambda r: r.id)])
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -259,7 +259,9 @@ def nearest_neighbours(
     # Numbered within hash parts; a block is a range of parts' own blocks, so none is larger.
     parted = asking.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
     dealt = parted.withColumn("block", F.floor((F.row_number().over(order) - 1) / max(1, block // 64)))
-    visits = cut(dealt.select("vec_id", "vector", "block").mapInPandas(searched, "vec_id long, vector binary, block long, visits binary"))
+    # the search costs far more than its few bytes tell
+    spread = dealt.select("vec_id", "vector", "block").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    visits = cut(spread.mapInPandas(searched, "vec_id long, vector binary, block long, visits binary"))
     blocks = (visits.agg(F.max("block")).first()[0] or 0) + 1 if dims else 0
     found = None
     for number_of_block in range(blocks):
