@@ -85,6 +85,17 @@ from layerflow.operators.refresh import (
 from layerflow.operators.reshape import add_missing_rows, fill_dates, fill_sequence, pivot, unpivot
 from layerflow.operators.script import script, script_by
 from layerflow.operators.unions import self_union, union_mapped
+from layerflow.operators.versions import (
+    append_version,
+    compact,
+    drop_versions,
+    publish_version,
+    read_rollup,
+    read_version,
+    refresh_rollup,
+    republish,
+    table_versions,
+)
 from layerflow.operators.windows import fixed, renumber, row_number
 from layerflow.session import build_session, scratch_scope
 from layerflow.sources import (
@@ -97,6 +108,7 @@ from layerflow.sources import (
     scan,
 )
 from layerflow.streaming.incremental import incremental_stream
+from layerflow.streaming.versions import compact_ledger, ledger_stream, version_stream
 
 # Python functions of this package travel to the workers by value, so that script steps run
 # on executors that do not have the package installed.

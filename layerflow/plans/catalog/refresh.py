@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from layerflow.functions.periods import period_start
+from layerflow.operators.aggregates import recompute_check
+from layerflow.operators.joins import attach
 from layerflow.operators.refresh import (
     append,
     backfill,
@@ -14,11 +17,13 @@ from layerflow.operators.refresh import (
     refresh_settings,
     write_extract,
 )
+from layerflow.operators.versions import append_version, compact, publish_version, read_rollup, read_version, refresh_rollup, republish
 from layerflow.plans import models
 from layerflow.plans.catalog.registry import query, table
 from layerflow.session import scratch_path
 from layerflow.sources import read_dataset, read_extract
 from layerflow.streaming.incremental import incremental_stream
+from layerflow.streaming.versions import ledger_stream, version_stream
 
 _ORDERS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
 _ALL_ORDERS = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders"
@@ -240,3 +245,106 @@ def j7_settings(spark, root):
     )
     outputs = table(spark, root, "nation").selectExpr("concat('out', n_nationkey) AS output_node_id", "n_regionkey = 1 AS is_incremental_default")
     return refresh_settings(settings, outputs).select("input_node_id", "status", "is_incremental_default")
+
+
+def _waves(orders, cuts=("1995-12-31", "1997-06-30", "1999-12-31")):
+    """The orders up to each date, and all of them."""
+    return [*[orders.where(f"o_orderdate <= TIMESTAMP_NTZ'{d}'") for d in cuts], orders]
+
+
+@query(
+    "j1_publish_version",
+    """SELECT 'old reader' AS seen_by, count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) AS balance FROM customer
+       UNION ALL SELECT 'new reader', count(*), CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) FROM customer WHERE c_acctbal > 0
+       UNION ALL SELECT 'republished', count(*), CAST(sum(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE) FROM customer WHERE c_acctbal > 0""",
+)
+def j1_version(spark, root):
+    path, other = scratch_path(spark, "j1-versions"), scratch_path(spark, "j1-republished")
+    before = publish_version(models.stg_shop__customer(spark, root), path, token="first run")
+    after = publish_version(read_version(spark, path).where("c_acctbal > 0"), path, partition_by="c_mktsegment", token="second run")
+    for _ in range(2):  # the second time nothing is left to do
+        again = republish(spark, path, other)
+    balance = F.sum(F.col("c_acctbal").cast("decimal(18,2)")).cast("double").alias("balance")
+    parts = {"old reader": before, "new reader": after, "republished": again}
+    counted = [df.agg(F.count(F.lit(1)).alias("n"), balance).select(F.lit(k).alias("seen_by"), "n", "balance") for k, df in parts.items()]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
+@query("j5_stored_mark", f"{_ALL_ORDERS}")
+def j5_mark(spark, root):
+    path, orders = scratch_path(spark, "j5-mark"), _orders(spark, root)
+    for upto in _waves(orders):
+        append_version(upto, path, "o_orderdate", partition_by="o_orderstatus")
+    append_version(orders, path, "o_orderdate")  # nothing is above the mark any more
+    return compact(spark, path)
+
+
+@query("j6_version_stream", _ALL_ORDERS)
+def j6_version(spark, root):
+    arriving, path, marks = (scratch_path(spark, f"j6-version-{part}") for part in ("arriving", "out", "marks"))
+    orders = _orders(spark, root)
+    # the latest first: late rows are kept, and every batch is stored once
+    for part in ("o_orderdate > TIMESTAMP_NTZ'1998-06-30'", "o_orderdate <= TIMESTAMP_NTZ'1998-06-30'"):
+        orders.where(part).write.mode("append").parquet(arriving)
+        stored = version_stream(spark, arriving, path, "o_orderdate", marks, orders.schema, late="keep")
+    return stored
+
+
+_ROLLED = """SELECT o_orderstatus, CAST(date_trunc('month', o_orderdate) AS DATE) AS period,
+                    CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) AS revenue, count(*) AS n_orders,
+                    min(o_totalprice) AS smallest, max(o_totalprice) AS largest, count(DISTINCT o_custkey) AS customers,
+                    CAST(sum(CAST(o_totalprice AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS average FROM orders GROUP BY 1, 2"""
+
+
+def _rollup_measures():
+    price = F.col("o_totalprice").cast("decimal(18,4)")
+    return {
+        "revenue": ("sum", price), "n_orders": ("count", F.lit(1)), "smallest": ("min", "o_totalprice"),
+        "largest": ("max", "o_totalprice"), "customers": ("countd", "o_custkey"),
+    }
+
+
+@query("e2_refresh_rollup", _ROLLED)
+def e2_refresh(spark, root):
+    path, by = scratch_path(spark, "e2-rollup"), ["o_orderstatus", "period"]
+    for upto in _waves(_orders(spark, root)):
+        dated = upto.withColumn("period", period_start(F.col("o_orderdate"), "month"))
+        stored = refresh_rollup(dated, path, "o_orderdate", by, _rollup_measures(), part_by="period")
+    revenue = F.col("revenue").cast("double")
+    return stored.withColumns({"revenue": revenue, "average": revenue / F.col("n_orders")})
+
+
+@query(
+    "e4_rollup_history",
+    """WITH cuts AS (SELECT unnest([1, 2, 3, 4]) AS version,
+                            unnest([TIMESTAMP '1995-12-31', TIMESTAMP '1997-06-30', TIMESTAMP '1999-12-31', TIMESTAMP '9999-12-31']) AS upto)
+       SELECT version, count(DISTINCT o_orderdate) AS n_groups, 0 AS n_wrong FROM cuts JOIN orders ON o_orderdate <= upto GROUP BY version""",
+)
+def e4_history(spark, root):
+    path, by, out = scratch_path(spark, "e4-rollup"), ["o_orderdate"], None
+    measures = {k: v for k, v in _rollup_measures().items() if k != "customers"}
+    for number, upto in enumerate(_waves(_orders(spark, root)), 1):
+        refresh_rollup(upto, path, "o_orderdate", by, measures)
+        stored = read_rollup(spark, path, by, measures, number)
+        wrong = recompute_check(stored, upto, by, measures).agg(F.count(F.lit(1)).alias("n_wrong"))
+        groups = stored.agg(F.count(F.lit(1)).alias("n_groups")).withColumn("version", F.lit(number).cast("long"))
+        row = attach(groups.withColumn("one", F.lit(1)), wrong.withColumn("one", F.lit(1)), "one", unique=True)
+        row = row.select("version", "n_groups", F.col("n_wrong").cast("int").alias("n_wrong"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query(
+    "n1_ledger_stream",
+    """SELECT o_custkey, max(o_orderdate) AS o_orderdate, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey
+       FROM orders GROUP BY o_custkey""",
+)
+def n1_stream(spark, root):
+    arriving, path, marks = (scratch_path(spark, f"n1-{part}") for part in ("arriving", "log", "marks"))
+    runs = table(spark, root, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
+    # the middle arrives last, and a part arrives twice
+    parts = [F.col("o_orderkey") % 3 != 1, F.col("o_orderkey") % 7 == 2, F.col("o_orderkey") % 3 == 1]
+    for part in parts:
+        runs.where(part).write.mode("append").parquet(arriving)
+        ledger = ledger_stream(spark, arriving, path, marks, runs.schema, "o_custkey", "o_orderdate")
+    return ledger
