@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerflow.functions.names import col
+from layerflow.session import cut
 
 # Where a metric definition refers to fields.
 _DEFINITION = """
@@ -36,43 +35,36 @@ def explode_object(df: DataFrame, column: str, key: str = "id", value: str = "va
     return df.select(*others, F.explode(members).alias(key, value))
 
 
-def _strings_under(document: str | None, keys: frozenset[str]) -> list[str] | None:
-    """Strings, and members of string lists, held by the given keys at any depth."""
-    if document is None:
-        return None
-    try:
-        todo = [json.loads(document)]
-    except (ValueError, RecursionError):
-        return None
-    found = set()
-    while todo:
-        item = todo.pop()
-        if isinstance(item, dict):
-            for name, value in item.items():
-                if name in keys:
-                    held = value if isinstance(value, list) else [value]
-                    found.update(v for v in held if isinstance(v, str))
-                todo.append(value)
-        elif isinstance(item, list):
-            todo.extend(item)
-    return sorted(found)
-
-
 def json_collect(df: DataFrame, column: str, keys: Sequence[str], name: str = "value") -> DataFrame:
-    """One row per distinct string a document holds under ``keys``, at whatever depth.
+    """One row per distinct string a document holds under ``keys``, at whatever depth: strings,
+    and the strings of lists, that such a key holds.
 
-    Depth is unknown, so no fixed schema fits: the documents go through one Arrow-batched
-    function that sees the JSON column only. Malformed documents give no rows here;
-    ``malformed_documents`` finds them.
+    Depth is unknown, so no fixed schema fits: documents become variants, which are unfolded
+    level by level, in the JVM, until no level is left; each level is written down. Malformed
+    documents (objects that repeat a key among them) give no rows here; ``malformed_documents``
+    finds them. A row of ``df`` that occurs several times counts once for each occurrence.
     """
-    wanted = frozenset(keys)
-
-    @F.pandas_udf("array<string>")
-    def strings(documents: pd.Series) -> pd.Series:
-        return documents.map(lambda d: _strings_under(d, wanted))
-
-    others = [col(c) for c in df.columns if c != column]
-    return df.select(*others, F.explode(strings(col(column))).alias(name))
+    spark, others = df.sparkSession, [c for c in df.columns if c != column]
+    row = F.struct(*[col(c) for c in others]) if others else F.struct(F.lit(0).alias("none"))
+    level = cut(
+        df.select(F.uuid().alias("id"), row.alias("row"), F.try_parse_json(col(column)).alias("held"), F.lit(False).alias("listed"))
+        .where("held is not null")
+    )
+    wanted, found = F.coalesce(F.col("key").isin(*keys), F.lit(False)), None
+    while not level.isEmpty():
+        members = level.lateralJoin(spark.tvf.variant_explode(F.col("held").outer())).withColumn("kind", F.schema_of_variant("value"))
+        members = cut(members.select("id", "row", "value", "kind", wanted.alias("wanted"), (F.col("listed") & F.col("key").isNull()).alias("member")))
+        texts = members.where("kind = 'STRING' and (wanted or member)")
+        texts = texts.select("id", "row", F.variant_get("value", "$", "string").alias("text"))
+        found = texts if found is None else found.unionByName(texts)
+        deeper = F.col("kind").startswith("OBJECT") | F.col("kind").startswith("ARRAY")
+        level = members.where(deeper).select(
+            "id", "row", F.col("value").alias("held"), (F.col("wanted") & F.col("kind").startswith("ARRAY")).alias("listed")
+        )
+    if found is None:
+        return df.select(*[col(c) for c in others], F.lit(None).cast("string").alias(name)).limit(0)
+    once = found.groupBy("id", "text").agg(F.first("row").alias("row"))
+    return once.select(*[F.col("row").getField(c).alias(c) for c in others], F.col("text").alias(name))
 
 
 def malformed_documents(df: DataFrame, column: str) -> DataFrame:

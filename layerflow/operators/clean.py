@@ -7,8 +7,11 @@ from decimal import Decimal
 from functools import reduce
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from layerflow.functions.names import as_list, col, require_columns
 from layerflow.functions.text import split_literal, title_case
@@ -69,13 +72,17 @@ def add_row_unit(df: DataFrame) -> DataFrame:
 def group_values(df: DataFrame, column: str, mapping: Mapping[Any, Any] | DataFrame) -> DataFrame:
     """Bring many spellings to one. ``mapping`` is a dict, or a DataFrame (spelling, value)
     with one row per spelling. Spellings and values take the column's type; a null spelling
-    and a spelling mapped to null change nothing. Unmapped values stay. A mapping of any size
-    is looked up by one join, which Spark broadcasts by the mapping's measured size."""
+    and a spelling mapped to null change nothing. Unmapped values stay. Both forms are looked up
+    by one join. A dict is unique by nature and becomes a local relation, whose size Spark knows
+    when it plans: the rows of ``df`` are not shuffled. A table is checked and measured first."""
     require_columns(df, [column], "group_values")
     kind = df.schema[column].dataType.simpleString()
     if isinstance(mapping, Mapping):
-        rows = [(_typed(k, kind), _typed(v, kind)) for k, v in mapping.items()]
-        mapping = df.sparkSession.createDataFrame(rows, f"`spelling` {kind}, `value` {kind}")
+        typed = [{"__spelling": _typed(k, kind), "__value": _typed(v, kind)} for k, v in mapping.items() if k is not None]
+        names = T.StructType([T.StructField(n, df.schema[column].dataType) for n in ("__spelling", "__value")])
+        known = df.sparkSession.createDataFrame(pa.Table.from_pylist(typed, schema=to_arrow_schema(names)))
+        joined = df.join(known, col(column) == F.col("__spelling"), "left")
+        return joined.withColumn(column, F.coalesce("__value", col(column))).drop("__spelling", "__value")
     spelling, value = mapping.columns
     looked_up = mapping.select(
         col(spelling).cast(kind).alias("__spelling"), col(value).cast(kind).alias("__value")

@@ -70,7 +70,8 @@ def augment(df: DataFrame, transforms: Sequence[Mapping[str, str]]) -> DataFrame
 
     Source order is kept; columns whose field metadata says ``isGenerated`` are left out; a
     name the source lacks is passed over; of several records for one column the later wins,
-    but a hidden column stays hidden. A cast also sets the caption.
+    but a hidden column stays hidden. A cast also sets the caption; without one the caption
+    stays.
     """
     caption, datatype, hidden = {}, {}, set()
     for record in transforms:
@@ -81,7 +82,8 @@ def augment(df: DataFrame, transforms: Sequence[Mapping[str, str]]) -> DataFrame
         if op == "hide":
             hidden.add(source)
             continue
-        caption[source] = record["to_caption"]
+        if op == "rename" or record.get("to_caption"):
+            caption[source] = record["to_caption"]
         if op == "cast":
             datatype[source] = record["to_datatype"]
 

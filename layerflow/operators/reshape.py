@@ -12,11 +12,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from layerflow.functions.names import as_list, col, require_columns
 from layerflow.functions.periods import index_start, period_index
 from layerflow.operators.aggregates import Aggs, _parts, _SIMPLE
 from layerflow.operators.joins import match_struct
+from layerflow.session import cut
 
 # Steps per window group while looking for gaps; a longer series is handled in chunks.
 CHUNK_STEPS = 100_000
@@ -131,9 +133,35 @@ def fill_sequence(
     return filled.unionByName(outer.select(*made))
 
 
-def add_missing_rows(df: DataFrame, by: str | Sequence[str], key: str, values: Sequence[Any]) -> DataFrame:
+#: Members of a domain table are numbered in parts of about this size.
+DOMAIN_PART = 100_000
+
+
+def _every_member(groups: DataFrame, key: str, domain: DataFrame, kind: T.DataType) -> DataFrame:
+    """Each group with each member of a domain table: members are numbered from 1 within hash
+    parts, the numbers are exploded where the group stands, and an equi-join on part and number
+    brings the member. Only the parts' sizes reach the driver."""
+    members = cut(domain.select(col(domain.columns[0]).cast(kind).alias("__member")).where("__member is not null").distinct())
+    parts = members.count() // DOMAIN_PART + 1
+    place = F.pmod(F.xxhash64("__member"), F.lit(parts))
+    order = Window.partitionBy("__part").orderBy("__member")
+    numbered = members.withColumn("__part", place).withColumn("__number", F.row_number().over(order).cast("bigint"))
+    sizes = [(r["__part"], r["count"]) for r in numbered.groupBy("__part").count().collect()]
+    listed = F.array(*[F.struct(F.lit(p).cast("bigint").alias("__part"), F.lit(n).cast("bigint").alias("__size")) for p, n in sizes])
+    if not sizes:
+        return groups.where(F.lit(False)).withColumn(key, F.lit(None).cast(kind))
+    spread = groups.select("*", F.inline(listed))
+    spread = _explode_steps(spread, "__number", F.lit(1), F.col("__size"), 1).drop("__size")
+    met = spread.join(numbered, ["__part", "__number"])
+    return met.withColumnRenamed("__member", key).drop("__part", "__number")
+
+
+def add_missing_rows(
+    df: DataFrame, by: str | Sequence[str], key: str, values: Sequence[Any] | DataFrame
+) -> DataFrame:
     """A row, null elsewhere, for every value of ``key`` in the declared domain ``values`` that
-    a ``by`` group lacks. Null is not a member of the domain and repeated members count once.
+    a ``by`` group lacks. The domain is a list, or a table whose first column holds it. Null is
+    not a member of the domain and repeated members count once.
 
     Groups are reduced to one row each, the domain is exploded where the group stands, and
     what the group has is taken away; the rows of ``df`` pass through untouched.
@@ -143,8 +171,11 @@ def add_missing_rows(df: DataFrame, by: str | Sequence[str], key: str, values: S
     kinds = {f.name: f.dataType for f in df.schema.fields}
     have = df.where(col(key).isNotNull()).select(*[col(k) for k in keys], col(key)).distinct()
     groups = df.select(*[col(k) for k in keys]).distinct()
-    listed = F.array(*[F.lit(v).cast(kinds[key]) for v in dict.fromkeys(values) if v is not None])
-    wanted = groups.withColumn(key, F.explode(listed.cast(f"array<{kinds[key].simpleString()}>")))
+    if isinstance(values, DataFrame):
+        wanted = _every_member(groups, key, values, kinds[key])
+    else:
+        listed = F.array(*[F.lit(v).cast(kinds[key]) for v in dict.fromkeys(values) if v is not None])
+        wanted = groups.withColumn(key, F.explode(listed.cast(f"array<{kinds[key].simpleString()}>")))
     missing = match_struct(wanted, have, [(k, k) for k in [*keys, key]], "left_anti")
     return df.unionByName(
         missing.select(

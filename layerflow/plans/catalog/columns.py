@@ -148,7 +148,7 @@ def b3(spark, root):
 
 @query(
     "b4_augment",
-    """SELECT o_orderkey AS order_id, o_custkey, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS has_price,
+    """SELECT o_orderkey AS order_id, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus AS status, CAST(o_totalprice AS VARCHAR) IS NOT NULL AS has_price,
               CAST(o_orderdate AS DATE) AS ordered_on FROM orders""",
 )
 def b4(spark, root):
@@ -160,6 +160,7 @@ def b4(spark, root):
             {"op": "rename", "column_name": "[o_orderstatus]", "to_caption": "status"},
             {"op": "cast", "column_name": "[o_totalprice]", "to_caption": "price_text", "to_datatype": "string"},
             {"op": "cast", "column_name": "[o_orderdate]", "to_caption": "ordered_on", "to_datatype": "date"},
+            {"op": "cast", "column_name": "[o_custkey]", "to_datatype": "integer"},
             {"op": "hide", "column_name": "[o_orderpriority]"},
             {"op": "rename", "column_name": "[no_such_column]", "to_caption": "ignored"},
         ],
