@@ -37,6 +37,8 @@ from layerflow.operators.expectations import (
     shown_tokens,
     unknown_tokens,
 )
+from layerflow.operators.digests import digest_diff, digest_tree, publish_digested
+from layerflow.operators.graphs import condensed, connected_components, strong_components
 from layerflow.operators.joins import (
     attach,
     checked_join,
@@ -61,6 +63,7 @@ from layerflow.operators.ledger import (
 from layerflow.operators.lineage import (
     bfs_levels,
     bridge,
+    cyclic_waves,
     derive_edges,
     edge_diff,
     inherit_ns,
@@ -84,6 +87,8 @@ from layerflow.operators.refresh import (
 )
 from layerflow.operators.reshape import add_missing_rows, fill_dates, fill_sequence, pivot, unpivot
 from layerflow.operators.script import script, script_by
+from layerflow.operators.sketches import column_profile, frequent_values, merge_profiles, profile_diff, read_profile
+from layerflow.operators.spellings import group_similar, similar_pairs, similar_values
 from layerflow.operators.unions import self_union, union_mapped
 from layerflow.operators.versions import (
     append_version,

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from layerflow.functions.names import as_list
+from layerflow.operators.graphs import condensed, strong_components
 from layerflow.operators.joins import attach, exists_in, missing_from
 from layerflow.session import cut
 
@@ -106,6 +107,19 @@ def waves(edges: DataFrame) -> DataFrame:
     return done
 
 
+def cyclic_waves(edges: DataFrame) -> DataFrame:
+    """(node, component, wave) for graphs with circles: the nodes of a circle share a component,
+    named by its smallest node, and its wave; other nodes are components of their own. Waves are
+    those of ``waves`` over the edges between components."""
+    circles = strong_components(edges, "src", "dst")
+    pairs = edges.where("src is not null and dst is not null")
+    nodes = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    named = nodes.join(circles.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    between = cut(condensed(pairs, circles, "src", "dst").select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    found = waves(between).withColumnRenamed("node", "component")
+    return named.join(found, "component", "left").select("node", "component", F.coalesce("wave", F.lit(0)).alias("wave"))
+
+
 def node_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, n_in, n_out) and what this makes the node: source, sink, merge point (several
     in), branch (several out), isolated. One grouping serves both directions."""

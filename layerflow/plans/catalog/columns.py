@@ -20,6 +20,7 @@ from layerflow.operators.clean import (
 from layerflow.operators.columns import augment, cast, hide, rename, rename_back
 from layerflow.operators.refresh import publish, write_extract
 from layerflow.operators.windows import fixed, row_number
+from layerflow.operators.spellings import group_similar, similar_values
 from layerflow.plans.catalog.registry import query, table, text_where
 from layerflow.session import scratch_path
 from layerflow.sources import (
@@ -249,6 +250,33 @@ def c4_table(spark, root):
     return group_values(lines, "part", mapping)
 
 
+_TYPED = """CASE c_custkey % 20 WHEN 1 THEN concat(substr(c_mktsegment, 1, 2), substr(c_mktsegment, 4))
+                                 WHEN 2 THEN concat(substr(c_mktsegment, 1, 4), 'X', substr(c_mktsegment, 6))
+                                 WHEN 3 THEN lower(c_mktsegment) ELSE c_mktsegment END"""
+
+
+@query(
+    "c4_similar_values",
+    f"""WITH RECURSIVE typed AS (SELECT {_TYPED} AS v, count(*) AS n FROM customer GROUP BY 1),
+            linked AS (SELECT DISTINCT a.v AS a, b.v AS b FROM typed a JOIN typed b ON levenshtein(lower(a.v), lower(b.v)) <= 1),
+            reached AS (SELECT a, b FROM linked UNION SELECT r.a, l.b FROM reached r JOIN linked l ON r.b = l.a)
+       SELECT a AS spelling, max_by(t.v, n) AS value FROM reached JOIN typed t ON t.v = b GROUP BY a HAVING count(*) > 1""",
+)
+def c4_similar(spark, root):
+    typed = table(spark, root, "customer").select(F.expr(_TYPED).alias("segment"))
+    return similar_values(typed, "segment")
+
+
+@query(
+    "c4_group_similar",
+    "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'Robert' WHEN s_suppkey % 3 = 1 THEN 'Robert' ELSE 'Ashcraft' END AS contact FROM supplier",
+)
+def c4_group(spark, root):
+    # the most frequent of each sound stands, as two thirds of each are spelled so
+    name = "CASE s_suppkey % 3 WHEN 0 THEN CASE WHEN s_suppkey % 9 = 0 THEN 'Rupert' ELSE 'Robert' END WHEN 1 THEN 'Robert' ELSE CASE WHEN s_suppkey % 9 = 2 THEN 'Ashcroft' ELSE 'Ashcraft' END END"
+    return group_similar(table(spark, root, "supplier").select("s_suppkey", F.expr(name).alias("contact")), "contact", by="pronunciation")
+
+
 @query(
     "c5_split_column",
     """SELECT o_orderkey, split_part(o_orderpriority, '-', 1) AS priority_1,

@@ -7,10 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerflow.operators import lineage as ln
+from layerflow.operators.graphs import strong_components
 from layerflow.plans.catalog.registry import query, table
 
 _PARTS = {
@@ -77,6 +78,35 @@ def m3(spark, root):
     return ln.waves(_edges(spark, root, _PARTS, _SUPPLY))
 
 
+def _rings(spark, root) -> DataFrame:
+    """Each customer's orders in a chain; of every third customer the last leads to the first."""
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, root, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(own).alias("next"))
+    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("dst"), F.max("o_orderkey").alias("src"))
+    closed = firsts.where("o_custkey % 3 = 0").select("src", "dst")
+    return orders.select(F.col("o_orderkey").alias("src"), F.col("next").alias("dst")).where("dst is not null").unionByName(closed)
+
+
+@query(
+    "m3_strong_components",
+    """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component, count(*) OVER (PARTITION BY o_custkey) AS n_members
+       FROM orders WHERE o_custkey % 3 = 0""",
+)
+def m3_circles(spark, root):
+    return strong_components(_rings(spark, root), "src", "dst")
+
+
+@query(
+    "m3_cyclic_waves",
+    """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place,
+                         min(o_orderkey) OVER (PARTITION BY o_custkey) AS least, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+       SELECT o_orderkey AS node, CASE WHEN o_custkey % 3 = 0 THEN least ELSE o_orderkey END AS component,
+              CAST(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE place END AS INT) AS wave FROM o WHERE n > 1 OR o_custkey % 3 = 0""",
+)
+def m3_cyclic(spark, root):
+    return ln.cyclic_waves(_rings(spark, root)).withColumn("wave", F.col("wave").cast("int"))
+
+
 @query(
     "m4_node_roles",
     f"""WITH e AS ({_sql(_PARTS)}), nodes AS (SELECT src AS node FROM e UNION SELECT dst FROM e UNION SELECT concat('s', s_suppkey) FROM supplier),

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from layerflow.operators import expectations as ex
+from layerflow.operators.digests import digest_diff, publish_digested
+from layerflow.operators.joins import attach
 from layerflow.operators.parity import column_diff, count_diff, resolve_pairs, value_diff
+from layerflow.operators.reshape import unpivot
+from layerflow.operators.sketches import DISTINCT_ERROR, column_profile, merge_profiles, profile_diff, read_profile
 from layerflow.plans import models
 from layerflow.plans.catalog.registry import number_where, query, table
+from layerflow.session import cut, scratch_path
 
 
 def _profile_sql(column: str, type_a: str | None, type_b: str | None, a: str, b: str) -> str:
@@ -69,6 +74,51 @@ def l2_total(spark, root):
     return count_diff(table(spark, root, "lineitem"), table(spark, root, "orders"))
 
 
+def _sketch_sql(column):
+    return (
+        f"SELECT '{column}' AS \"column\", count(*) AS \"rows\", count(*) - count({column}) AS nulls, CAST(min({column}) AS VARCHAR) AS min,"
+        f" CAST(max({column}) AS VARCHAR) AS max, true AS distinct_near FROM orders"
+    )
+
+
+@query("l1_profile_sketch", " UNION ALL ".join(_sketch_sql(c) for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")))
+def l1_sketch(spark, root):
+    """Profiles of four parts, stored, merged and read; estimates must be near the exact numbers."""
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+    stored = [cut(column_profile(orders.where(F.col("o_orderkey") % 4 == k))) for k in range(4)]
+    read = read_profile(merge_profiles(*stored))
+    exact = orders.agg(*[F.countDistinct(c).alias(c) for c in orders.columns])
+    counted = unpivot(exact, [], orders.columns, "column", "exact")
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.greatest(F.lit(1.0), 4 * DISTINCT_ERROR * F.col("exact"))
+    return attach(read, counted, "column", unique=True).select("column", "rows", "nulls", "min", "max", near.alias("distinct_near"))
+
+
+@query(
+    "l1_profile_diff",
+    """SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice']) AS "column", unnest([true, false, false, false]) AS same,
+              unnest([true, true, true, false]) AS in_a, unnest([true, true, true, true]) AS in_b""",
+)
+def l1_profiles(spark, root):
+    orders = table(spark, root, "orders")
+    old = cut(column_profile(orders.select("o_orderkey", "o_custkey", "o_orderstatus")))
+    changed = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("o_custkey"), F.lower("o_orderstatus").alias("o_orderstatus"), "o_totalprice")
+    return profile_diff(old, cut(column_profile(changed))).select("column", "same", "in_a", "in_b")
+
+
+@query(
+    "l3_digest_diff",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 1000 = 7 THEN 'only_a' ELSE 'differs' END AS status,
+              CASE WHEN o_orderkey % 1000 = 7 THEN '' ELSE 'o_totalprice' END AS columns FROM orders WHERE o_orderkey % 1000 IN (7, 8)""",
+)
+def l3_digests(spark, root):
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    changed = orders.where("o_orderkey % 1000 <> 7").withColumn("o_totalprice", F.expr("o_totalprice + if(o_orderkey % 1000 = 8, 1D, 0D)"))
+    old, new = scratch_path(spark, "l3-old"), scratch_path(spark, "l3-new")
+    publish_digested(orders, old, "o_orderkey", leaves=64)
+    publish_digested(changed, new, "o_orderkey", leaves=64)
+    return digest_diff(spark, old, new, "o_orderkey").withColumn("columns", F.array_join("columns", ","))
+
+
 @query(
     "l3_value_diff",
     """WITH a AS (SELECT l_partkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2),
