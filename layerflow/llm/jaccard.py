@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerflow.llm.common import components, query, small, table, text_or_empty
@@ -357,10 +357,10 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"a": [keys[a] for a, _ in found], "b": [keys[b] for _, b in found]})
 
     for batch in batches:
-        for block, one, two, chunk, key, body in batch.itertuples(index=False):
-            if (block, one, two) != now:
+        for unit, one, two, chunk, key, body in batch.itertuples(index=False):
+            if (unit, one, two) != now:
                 yield from done()
-                now, keys, bodies, left, right = (block, one, two), [], [], [], []
+                now, keys, bodies, left, right = (unit, one, two), [], [], [], []
             if keys and keys[-1] == key:
                 continue
             keys.append(key)
@@ -411,16 +411,59 @@ def _members(docs: DataFrame, members: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(pick, "text long, set binary, body string")
 
 
+def _chunks(texts: str, shingles: str) -> Column:
+    """Chunks of a unit, so that two of them make a tile of bounded size."""
+    return F.greatest(F.ceil(F.greatest(F.col(texts) / TILE_TEXTS, F.col(shingles) / TILE_SHINGLES)), F.lit(1)).cast("long")
+
+
+def compared_together(prefix: DataFrame) -> DataFrame:
+    """The units within which texts are compared: (text, unit, chunks, chunk), from the prefixes
+    (shingle, text, n).
+
+    The texts of a prefix shingle are a group; groups of the same texts, as the shingles of one
+    passage make them, are one. Groups that overlap form a block. A block is a unit if its texts
+    are sent less often so: families of near copies, whose groups are nearly all the same, and
+    blocks of one chunk. Otherwise each of its groups is a unit: texts that are chained by
+    passages meet only those with which they share a prefix shingle. Either way each two
+    texts that share one meet in a unit.
+    """
+    name = F.xxhash64(F.lit("texts"), "text")
+    groups = prefix.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"), F.min("text").alias("lead"),
+        F.bit_xor(name).alias("x"), F.sum(F.xxhash64("text").cast("decimal(20,0)")).alias("s"),
+    )
+    groups = groups.where("texts > 1").groupBy("texts", "shingles", "lead", "x", "s").agg(F.min("shingle").alias("shingle"))
+    members = cut(prefix.select("shingle", "text", "n").join(groups.select("shingle", "lead", "texts", "shingles"), "shingle"))
+    linked = components(members.select(F.col("text").alias("a"), F.col("lead").alias("b")).distinct())
+    blocks = linked.select(F.col("node").alias("text"), F.col("root").alias("block"))
+    sizes = members.select("text", "n").distinct()
+    blocks = cut(blocks.join(sizes, "text"))
+    shape = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
+    shape = shape.select("block", "texts", _chunks("texts", "shingles").alias("chunks"))
+    # how often texts are sent if each group is a unit
+    own = members.select("shingle", "lead", "texts", _chunks("texts", "shingles").alias("chunks")).distinct()
+    sent = own.join(blocks.select(F.col("text").alias("lead"), "block"), "lead").groupBy("block").agg(
+        F.sum(F.col("texts") * F.col("chunks")).alias("sent")
+    )
+    shape = cut(shape.join(sent, "block").select("block", "chunks", (F.col("texts") * F.col("chunks") <= F.col("sent")).alias("whole")))
+    whole = blocks.join(shape.where("whole"), "block").select("text", F.col("block").alias("unit"), "chunks")
+    chained = shape.where("not whole").select("block")
+    apart = members.join(blocks.join(chained, "block").select(F.col("text").alias("lead")), "lead").select(
+        "text", F.xxhash64(F.lit("group"), "shingle").alias("unit"), _chunks("texts", "shingles").alias("chunks")
+    )
+    both = whole.unionByName(apart)
+    return both.withColumn("chunks", F.col("chunks").cast("int")).withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int"))
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, n_shingles, set, component_id): the component of every row under links between
     texts with a similarity of 3/4 or more; its name is the smallest key in it.
 
     1. Texts with equal sets are one from the start; copies are sent once by each task.
     2. Shingles are counted over all texts, and each text's prefix by rarity is taken. Texts
-       that share a prefix shingle come into one block, as connected components; each shingle
-       connects its texts to the first of them, no pairs are written, and every link lies
-       within a block.
-    3. Blocks are compared in tiles of bounded size, each pair of chunks of a block in a task of
+       that share a prefix shingle come into one unit (see ``compared_together``), so every link
+       lies within a unit; no pairs are written.
+    3. Units are compared in tiles of bounded size, each pair of chunks of a unit in a task of
        its own. In a tile, pairs must share prefixes under further orders, and are compared
        exactly unless they are connected already; only links that connect are written.
 
@@ -429,23 +472,12 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     equal values. No step gathers a block, a shingle's texts or the links anywhere.
     """
     rows = cut(shingle_keys(docs, key))
-    prefix = cut(prefixes(docs, rows))
-    lead = prefix.groupBy("shingle").agg(F.min("text").alias("lead"), F.count(F.lit(1)).alias("texts")).where("texts > 1")
-    meet = prefix.join(lead, "shingle").select(F.col("text").alias("a"), F.col("lead").alias("b")).distinct()
-    blocks = components(meet).select(F.col("node").alias("text"), F.col("root").alias("block"))
-    sizes = prefix.select("text", "n").distinct()
-    blocks = cut(blocks.join(sizes, "text"))
-    shape = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("shingles"))
-    chunks = F.ceil(F.greatest(F.col("texts") / TILE_TEXTS, F.col("shingles") / TILE_SHINGLES)).cast("int")
-    shape = shape.select("block", chunks.alias("chunks"))
-    placed = cut(
-        blocks.join(shape, "block").select("text", "block", "chunks", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int").alias("chunk"))
-    )
+    placed = cut(compared_together(cut(prefixes(docs, rows))))
     sets = _members(docs, placed).join(placed, "text")
     tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "block", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "set", "body"
+        "unit", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "set", "body"
     )
-    tiles = tiles.repartition("block", "one", "two").sortWithinPartitions("block", "one", "two", "set")
+    tiles = tiles.repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two", "set")
     joined = components(tiles.mapInPandas(_compare, "a binary, b binary"))
 
     smallest = rows.where("set is not null").groupBy("set").agg(F.min(key).alias("own"))
