@@ -15,8 +15,12 @@ BLOCKS = frozenset(
 )
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements whose content is not page text.
-RAW = frozenset("script style noscript template iframe noframes noembed svg math object canvas textarea title audio".split())
+#: Elements whose content is no markup and no page text; without an end tag they last to the
+#: page's end, and a slash in their start tag ends nothing.
+RAW = frozenset("script style iframe noframes noembed textarea title xmp".split())
+#: Elements with a tree of their own that is no page text. They end with the end tag that
+#: matches; without one only the start tag is passed over.
+APART = frozenset("svg template".split())
 #: An element of this kind ends an open one of these, up to the nearest of the barriers.
 IMPLIED = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])),
@@ -66,16 +70,38 @@ class Block:
     linked: float  # part of its characters inside links
 
 
+class _Ends:
+    """Where the elements of one name end, nested ones matched. The page's tags of that name are
+    found once, however many of them stay open."""
+
+    def __init__(self, name: str, page: str):
+        tags = re.compile(rf"<(/?){re.escape(name)}\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+        self._end: dict[int, int] = {}
+        opened: list[int] = []
+        for tag in tags.finditer(page):
+            if tag[1]:
+                if opened:
+                    self._end[opened.pop()] = tag.end()
+            elif not tag[0].endswith("/>"):
+                opened.append(tag.end())
+
+    def after(self, start: int) -> int:
+        """The place behind the end tag of the element whose start tag ends at ``start``."""
+        return self._end.get(start, start)
+
+
 def leaf_blocks(page: str, weigh: Callable[[str, str], object], nothing: object) -> Iterator[Block]:
     """The leaf blocks of a page in page order, without empty ones.
 
     ``weigh(tag, attributes)`` gives what an element says; the sums over the ancestors go with
-    each block. Comments, markup, and the content of scripts and the like are left out,
+    each block. Comments, markup, and the content of scripts, drawings and the like are left
+    out; what stands in formulas and inside elements that only some browsers show is text,
     character references are decoded and white space is one blank. Open paragraphs, items and
     cells are ended as HTML says; end tags without a start tag are passed over; everything
     open ends with the page.
     """
     stack: list[tuple[str, object]] = []
+    ends_apart: dict[str, _Ends] = {}
     parts: list[str] = []
     linked = links = at = 0
     above, tag, landmark = nothing, "", ""
@@ -122,9 +148,14 @@ def leaf_blocks(page: str, weigh: Callable[[str, str], object], nothing: object)
                 close(place)
             continue
         if name in RAW:
+            end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
+        if name in APART:
             if not found[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else len(page)
+                if name not in ends_apart:
+                    ends_apart[name] = _Ends(name, page)
+                at = ends_apart[name].after(at)
             continue
         if name in VOID:
             continue
@@ -165,6 +196,6 @@ def text_features(block: Block) -> list[str]:
     ]
     if "©" in text:
         out.append("sign")
-    if sum(map(str.isdigit, text[:200])) * 4 > min(n, 200):
+    if sum(map(str.isdigit, text)) * 4 > n:
         out.append("digits")
     return out

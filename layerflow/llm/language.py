@@ -321,12 +321,15 @@ def learnt(docs: DataFrame) -> Model:
 
 @query("op3_language")
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The language of all documents, learnt from the rows outside the held-out part."""
+    """The language of all documents and its spans (lang:start:end in code points, end
+    exclusive), learnt from the rows outside the held-out part."""
     docs = table(spark, sf_dir, "documents")
-    found = label_documents(docs.select("doc_id", "text"), learnt(docs), spans=False)
+    found = label_documents(docs.select("doc_id", "text"), learnt(docs))
+    put = lambda s: F.concat_ws(":", s["lang"], s["start"].cast("string"), s["end"].cast("string"))
     return found.select(
         F.col("row.doc_id").alias("doc_id"),
         held_out(F.col("row.doc_id"), 3, 1).alias("held_out"),
         "lang_pred",
         "score",
+        F.array_join(F.transform("spans", put), ",").alias("spans"),
     )

@@ -70,16 +70,16 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * difference + self.start, -30.0, 30.0)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and start of the logistic curve of y over x, by Newton's method with a slight
-    penalty on the slope."""
+    penalty on the slope. A row counts ``weight`` times."""
     spread = x.std() or 1.0
     a = np.column_stack([x / spread, np.ones(len(x))])
     w, penalty = np.zeros(2), np.array([1e-3, 1e-6])
     for _ in range(50):
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -30.0, 30.0)))
-        grad = a.T @ (p - y) + penalty * w
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), grad)
+        grad = a.T @ (weight * (p - y)) + penalty * w
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.diag(penalty + 1e-9), grad)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -97,7 +97,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
     """Learn from labelled documents: ``labels`` has (doc_id, quality), quality 1 being good.
 
     For each class, ``sample_docs`` documents with the lowest hashes of their ids give the
-    dictionary, and as many others calibrate. Rows with a null id or another label are left
+    dictionary (at most SAMPLE_PIECES evenly spaced pieces of each), and as many others, whole,
+    calibrate; these are weighed by the numbers of labels, so that the mix of the classes is
+    that of all labels whatever the bound. Rows with a null id or another label are left
     out; an id that is labelled twice counts by its higher label. Only the sampled ids are
     broadcast, and only pieces and scores of those documents reach the driver.
     """
@@ -142,7 +144,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DO
     x, y = np.array([r.x for r in rows]), np.array([float(r.y) for r in rows])
     if len(set(y)) < 2:
         return model
-    slope, start = _logistic(x, y)
+    # as many of each class as are labelled, not as are sampled: the curve does not depend on
+    # where the bound of the sample lies
+    counts = {r.y: r.n for r in known.where("role = 1").groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = np.array([counts[int(v)] / (y == v).sum() for v in y])
+    slope, start = _logistic(x, y, weight / weight.mean())
     return Model(model.dictionaries, slope, start)
 
 
