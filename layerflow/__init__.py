@@ -104,11 +104,13 @@ from layerflow.operators.versions import (
 from layerflow.operators.windows import fixed, renumber, row_number
 from layerflow.session import build_session, scratch_scope
 from layerflow.sources import (
+    first_rows,
     limit_rows,
     read_csv,
     read_dataset,
     read_extract,
     read_sql,
+    sample_groups,
     sample_rows,
     scan,
 )

@@ -24,11 +24,13 @@ from layerflow.operators.spellings import group_similar, similar_values
 from layerflow.plans.catalog.registry import query, table, text_where
 from layerflow.session import scratch_path
 from layerflow.sources import (
+    first_rows,
     limit_rows,
     read_csv,
     read_dataset,
     read_extract,
     read_sql,
+    sample_groups,
     sample_rows,
     scan,
 )
@@ -98,6 +100,25 @@ def a6(spark, root):
     return limit_rows(table(spark, root, "orders").select("o_orderkey", "o_totalprice"), 500, ["o_totalprice", "o_orderkey"])
 
 
+@query(
+    "a6_first_rows",
+    """SELECT l_orderkey, l_linenumber, l_shipdate FROM lineitem
+       ORDER BY l_shipdate, l_orderkey, l_linenumber LIMIT (SELECT count(*) // 3 FROM lineitem)""",
+)
+def a6_first(spark, root):
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
+    return first_rows(lines, lines.count() // 3, ["l_shipdate", "l_orderkey", "l_linenumber"])
+
+
+@query(
+    "a7_sample_groups",
+    """SELECT event_type, event_id FROM events
+       QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY substr(md5('5|' || CAST(event_id AS VARCHAR)), 1, 8), event_id) <= 100""",
+)
+def a7_groups(spark, root):
+    return sample_groups(table(spark, root, "events").select("event_type", "event_id"), 100, "event_type", "event_id", seed=5)
+
+
 @query(
     "a7_sample_rows",
     # a draw below 0.1 of 2^32 is a hexadecimal prefix up to 19999999

@@ -1,15 +1,17 @@
 """Readers: published tables, SQL, CSV and extract files."""
 
 from layerflow.sources.tables import (
+    first_rows,
     limit_rows,
     read_csv,
     read_dataset,
     read_extract,
     read_sql,
+    sample_groups,
     sample_rows,
     scan,
 )
 
 __all__ = [
-    "limit_rows", "read_csv", "read_dataset", "read_extract", "read_sql", "sample_rows", "scan",
+    "first_rows", "limit_rows", "read_csv", "read_dataset", "read_extract", "read_sql", "sample_groups", "sample_rows", "scan",
 ]
