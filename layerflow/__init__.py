@@ -38,6 +38,7 @@ from layerflow.operators.expectations import (
     unknown_tokens,
 )
 from layerflow.operators.digests import digest_diff, digest_tree, publish_digested
+from layerflow.operators.fields import absent_fields, chain_actions, field_lineage
 from layerflow.operators.graphs import condensed, connected_components, strong_components
 from layerflow.operators.joins import (
     attach,

@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from layerflow.operators import lineage as ln
+from layerflow.operators.fields import absent_fields, field_lineage
 from layerflow.operators.graphs import strong_components
+from layerflow.operators.joins import exists_in
 from layerflow.plans.catalog.registry import query, table
 
 _PARTS = {
@@ -240,3 +242,67 @@ def m6_by_name(spark, root):
     inputs = nations.selectExpr("concat('in', n_nationkey) AS input", "n_name AS name")
     originals = nations.selectExpr("concat('n', n_nationkey) AS node", "n_name AS name")
     return ln.lineage_closure(wired, tree, ln.input_sources(inputs, originals))
+
+
+_FIELD_STEPS = """o AS (SELECT o_orderkey AS step, o_custkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt,
+                              min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders),
+    act AS (SELECT step, 'c3' AS name, 'c0' AS source FROM o WHERE step % 5 = 0
+            UNION ALL SELECT step, 'c4', unnest(['c1', 'c3']) FROM o WHERE step % 5 = 1
+            UNION ALL SELECT step, 'c1', 'c2' FROM o WHERE step % 5 = 2),
+    gone AS (SELECT step, 'c0' AS name FROM o WHERE step % 5 = 0 UNION ALL SELECT step, 'c2' FROM o WHERE step % 5 = 3)"""
+
+_FIELD_WALK = f"""WITH RECURSIVE {_FIELD_STEPS},
+    -- what becomes of a column in a step: it passes, or others are made from it
+    full_map AS (SELECT step, c AS source, c AS name FROM o, (SELECT unnest(['c0', 'c1', 'c2', 'c3', 'c4', 'c5']) AS c)
+                 WHERE NOT EXISTS (SELECT 1 FROM act WHERE act.step = o.step AND act.name = c)
+                   AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.step = o.step AND gone.name = c)
+                 UNION ALL SELECT step, source, name FROM act WHERE source IS NOT NULL),
+    before AS (
+        SELECT first AS step, unnest(['c0', 'c1', 'c2']) AS name, first AS origin_step, unnest(['c0', 'c1', 'c2']) AS origin FROM o WHERE step = first
+        UNION
+        SELECT o.nxt, x.name, x.origin_step, x.origin FROM o JOIN (
+            SELECT b.step, m.name, b.origin_step, b.origin FROM before b JOIN full_map m ON m.step = b.step AND m.source = b.name) x ON x.step = o.step
+        WHERE o.nxt IS NOT NULL)"""
+
+
+def _field_tables(spark, root):
+    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    orders = table(spark, root, "orders").select("o_custkey", F.col("o_orderkey").alias("step"), F.lead("o_orderkey").over(own).alias("nxt"))
+    edges = orders.where("nxt is not null").select(F.col("step").alias("src"), F.col("nxt").alias("dst"))
+    firsts = orders.groupBy("o_custkey").agg(F.min("step").alias("step"))
+    inputs = firsts.select("step", F.explode(F.array(*[F.lit(f"c{k}") for k in range(3)])).alias("column"))
+    made = {0: [("c3", "c0")], 1: [("c4", "c1"), ("c4", "c3")], 2: [("c1", "c2")]}
+    listed = [
+        F.when(F.col("step") % 5 == k, F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).alias("source")) for n, s in pairs]))
+        for k, pairs in made.items()
+    ]
+    actions = orders.select("step", F.inline(F.coalesce(*listed)))
+    removed = orders.where("step % 5 in (0, 3)").select("step", F.when(F.col("step") % 5 == 0, "c0").otherwise("c2").alias("name"))
+    return edges, inputs, actions, removed
+
+
+@query(
+    "o4_field_lineage",
+    _FIELD_WALK + " SELECT DISTINCT b.step, m.name, b.origin_step, b.origin FROM before b JOIN full_map m ON m.step = b.step AND m.source = b.name",
+)
+def o4_lineage(spark, root):
+    """Input columns behind the columns of chains of steps that rename, create and remove."""
+    edges, inputs, actions, removed = _field_tables(spark, root)
+    found = field_lineage(edges, inputs, actions, removed)
+    # columns that are made from nothing that exists are their own origin; the walk has none
+    return exists_in(found, inputs, [("origin_step", "step"), ("origin", "column")])
+
+
+@query(
+    "l17_absent_fields",
+    f"""WITH RECURSIVE {_FIELD_STEPS},
+    there AS (
+        (SELECT first AS step, unnest(['c0', 'c1', 'c2']) AS name FROM o WHERE step = first
+         UNION SELECT nxt, act.name FROM act JOIN o USING (step) WHERE nxt IS NOT NULL)
+        UNION
+        SELECT o.nxt, t.name FROM there t JOIN o USING (step)
+        WHERE o.nxt IS NOT NULL AND NOT EXISTS (SELECT 1 FROM gone WHERE gone.step = t.step AND gone.name = t.name))
+    SELECT step, name, source FROM act WHERE source IS NOT NULL AND NOT EXISTS (SELECT 1 FROM there t WHERE t.step = act.step AND t.name = act.source)""",
+)
+def l17_absent(spark, root):
+    return absent_fields(*_field_tables(spark, root))
