@@ -81,17 +81,18 @@ def m3(spark, root):
 
 
 def _rings(spark, root) -> DataFrame:
-    """Each customer's orders in a chain; of every third customer the last leads to the first."""
-    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    orders = table(spark, root, "orders").select("o_custkey", "o_orderkey", F.lead("o_orderkey").over(own).alias("next"))
-    firsts = orders.groupBy("o_custkey").agg(F.min("o_orderkey").alias("dst"), F.max("o_orderkey").alias("src"))
+    """Each customer's orders of one priority in a chain; of every third customer the last leads
+    to the first."""
+    own = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    orders = table(spark, root, "orders").select("o_custkey", "o_orderpriority", "o_orderkey", F.lead("o_orderkey").over(own).alias("next"))
+    firsts = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("o_orderkey").alias("dst"), F.max("o_orderkey").alias("src"))
     closed = firsts.where("o_custkey % 3 = 0").select("src", "dst")
     return orders.select(F.col("o_orderkey").alias("src"), F.col("next").alias("dst")).where("dst is not null").unionByName(closed)
 
 
 @query(
     "m3_strong_components",
-    """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component, count(*) OVER (PARTITION BY o_custkey) AS n_members
+    """SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS component, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n_members
        FROM orders WHERE o_custkey % 3 = 0""",
 )
 def m3_circles(spark, root):
@@ -100,8 +101,8 @@ def m3_circles(spark, root):
 
 @query(
     "m3_cyclic_waves",
-    """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place,
-                         min(o_orderkey) OVER (PARTITION BY o_custkey) AS least, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)
+    """WITH o AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) - 1 AS place,
+                         min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS least, count(*) OVER (PARTITION BY o_custkey, o_orderpriority) AS n FROM orders)
        SELECT o_orderkey AS node, CASE WHEN o_custkey % 3 = 0 THEN least ELSE o_orderkey END AS component,
               CAST(CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE place END AS INT) AS wave FROM o WHERE n > 1 OR o_custkey % 3 = 0""",
 )
@@ -244,8 +245,8 @@ def m6_by_name(spark, root):
     return ln.lineage_closure(wired, tree, ln.input_sources(inputs, originals))
 
 
-_FIELD_STEPS = """o AS (SELECT o_orderkey AS step, o_custkey, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nxt,
-                              min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders),
+_FIELD_STEPS = """o AS (SELECT o_orderkey AS step, o_custkey, lead(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderkey) AS nxt,
+                              min(o_orderkey) OVER (PARTITION BY o_custkey, o_orderpriority) AS first FROM orders),
     act AS (SELECT step, 'c3' AS name, 'c0' AS source FROM o WHERE step % 5 = 0
             UNION ALL SELECT step, 'c4', unnest(['c1', 'c3']) FROM o WHERE step % 5 = 1
             UNION ALL SELECT step, 'c1', 'c2' FROM o WHERE step % 5 = 2),
@@ -266,10 +267,10 @@ _FIELD_WALK = f"""WITH RECURSIVE {_FIELD_STEPS},
 
 
 def _field_tables(spark, root):
-    own = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    orders = table(spark, root, "orders").select("o_custkey", F.col("o_orderkey").alias("step"), F.lead("o_orderkey").over(own).alias("nxt"))
+    own = Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderkey")
+    orders = table(spark, root, "orders").select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("step"), F.lead("o_orderkey").over(own).alias("nxt"))
     edges = orders.where("nxt is not null").select(F.col("step").alias("src"), F.col("nxt").alias("dst"))
-    firsts = orders.groupBy("o_custkey").agg(F.min("step").alias("step"))
+    firsts = orders.groupBy("o_custkey", "o_orderpriority").agg(F.min("step").alias("step"))
     inputs = firsts.select("step", F.explode(F.array(*[F.lit(f"c{k}") for k in range(3)])).alias("column"))
     made = {0: [("c3", "c0")], 1: [("c4", "c1"), ("c4", "c3")], 2: [("c1", "c2")]}
     listed = [

@@ -137,7 +137,7 @@ def test_digests_find_changed_rows_in_their_leaves(spark, data, tmp_path, rows):
     assert rows(found) == rows(value_diff(orders, spark.read.parquet(f"{paths[2]}/rows/data").drop("__leaf", "write"), "o_orderkey"))
     assert {r.status for r in found.collect()} == {"differs", "only_a", "repeated_key"}
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("PartitionFilters: [__leaf") == 2 or plan.count("PartitionFilters: [isnotnull(__leaf") == 2
+    assert plan.count("PartitionFilters: [__leaf") == plan.count("PartitionFilters: [") > 0
     trees = [digest_tree(df, "o_orderkey", 64, 4) for df in (orders, changed)]
     assert len(differing_leaves(*trees, 4)) == 1
     assert differing_leaves(trees[0], digest_tree(orders.limit(0), "o_orderkey", 64, 4), 4)
