@@ -9,27 +9,41 @@ from layerflow.llm.common import query, table, text_or_empty
 from layerflow.session import cut
 
 KINDS = ("email", "ip", "card", "phone")
-#: The kind of a span that covers a disclosing term; it sorts behind the patterns' kinds.
+#: Keys and other secrets: long strings that no word list has, told by their own characters.
+KEY = "key"
+PROTECTED = (*KINDS, KEY)
+#: The kind of a span that covers a disclosing term; it sorts behind the protected kinds.
 TERM = "term"
 
 #: The patterns, so written that a failed start is never tried again within the same run of
 #: characters: a match begins where its run of characters begins or where the match before it
-#: ended, and runs are taken whole. The matches are those of the plain patterns.
+#: ended, and runs are taken whole. The matches are those of the plain patterns. None holds a
+#: line feed, so a text may be searched line by line.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?:(?<![0-9])|\G)[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?:(?<![0-9])|\G)[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "key": r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
 }
+#: What every line with a match of some kind has.
+HINT = r"@|[0-9]\.[0-9]|[0-9](?:[\x20-]?[0-9]){8}|\+[0-9]|[0-9][A-Za-z]"
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP_PARTS = rf"^{_PART}(?:\.{_PART}){{3}}$"
 
+#: A key has at least so many different characters, and so often a digit next to a letter.
+#: Words, numbers, dates and paths have few such places.
+KEY_CHARACTERS = 10
+KEY_CHANGES = 4
+
 #: A term discloses a kind of personal data if it tells this part of the information that the
 #: kind's presence carries, and beside at least so many different lines with that kind.
 DISCLOSED = 0.8
 SUPPORT = 5
 #: Terms that tell this part are removed, others are generalised.
 REMOVED = 0.95
+#: Texts are rewritten in pieces of so many code points.
+PIECE = 4096
 
 SPAN = "array<struct<start: bigint, kind: int, end: bigint>>"
 
@@ -48,40 +62,52 @@ def _luhn(digits: Column) -> Column:
 def _holds(kind: str, match: Column) -> Column:
     digits = F.regexp_replace(match, "[^0-9]", "")
     size = F.length(digits)
+    changes = F.regexp_count(match, F.lit("[A-Za-z][0-9]")) + F.regexp_count(match, F.lit("[0-9][A-Za-z]"))
     return {
         "email": F.lit(True),
         "ip": match.rlike(IP_PARTS),
         "card": F.when(size.between(12, 19), _luhn(digits)).otherwise(F.lit(False)),
         "phone": size.between(9, 15),
+        "key": (changes >= KEY_CHANGES) & (F.size(F.array_distinct(F.split(match, ""))) >= KEY_CHARACTERS),
     }[kind]
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """The spans of one kind, in code points, end exclusive. Splitting by the pattern gives
-    the text between the matches, and so their places."""
-    pattern = F.lit(PATTERNS[kind])
-    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), F.regexp_extract_all(text, pattern, F.lit(0)).alias("hit"))
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
+def _bit(kind: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), kind)
 
-    def add(so_far: Column, pair: Column) -> Column:
-        hit = pair.getField("hit")
-        start = (so_far.getField("at") + F.length(pair.getField("gap"))).cast("long")
-        end = (start + F.coalesce(F.length(hit), F.lit(0))).cast("long")
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        kept = hit.isNotNull() & _holds(kind, hit)
-        found = so_far.getField("found")
-        return F.struct(end.alias("at"), F.when(kept, F.concat(found, F.array(span))).otherwise(found).alias("found"))
 
-    return F.aggregate(pairs, nothing, add).getField("found")
+def _pairs(text: Column, pattern: str) -> Column:
+    """The matches of a pattern, each with the length of the text before it; a last pair without
+    a match is the rest. Splitting by the pattern gives the text between the matches."""
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    return F.arrays_zip(gaps.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"))
 
 
-def pattern_spans(text: Column) -> Column:
-    """All spans of the four kinds in a text, by start and then kind. Null has none."""
-    text = F.coalesce(text, F.lit(""))
-    none = F.array().cast(SPAN)
-    email = F.when(F.contains(text, F.lit("@")), _spans(text, "email")).otherwise(none)
-    digits = F.concat(_spans(text, "ip"), _spans(text, "card"), F.when(F.contains(text, F.lit("+")), _spans(text, "phone")).otherwise(none))
-    return F.array_sort(F.concat(email, F.when(text.rlike("[0-9]"), digits).otherwise(none)))
+def hinted_lines(found: DataFrame) -> DataFrame:
+    """The lines of (rid, text) that may hold matches: (rid, line, at, unit), ``at`` being where
+    the line begins. Only lengths of the other lines are moved."""
+    lines = found.where("text is not null").select("rid", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
+    lines = lines.select("rid", "line", F.length("unit").alias("size"), F.when(F.col("unit").rlike(HINT), F.col("unit")).alias("unit"))
+    before = Window.partitionBy("rid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.col("size") + 1).over(before), F.lit(0)).cast("long")
+    return lines.withColumn("at", at).where("unit is not null").select("rid", "line", "at", "unit")
+
+
+def line_spans(lines: DataFrame) -> DataFrame:
+    """The matches in lines: (rid, line, kind, start, end), in code points of the text, end
+    exclusive. Places are running sums of lengths, so a line with very many matches costs no
+    more than its length and a sort."""
+    each = F.array(*[F.struct(F.lit(k).alias("kind"), _pairs(F.col("unit"), PATTERNS[kind]).alias("pairs")) for k, kind in enumerate(PROTECTED)])
+    apart = lines.select("rid", "line", "at", F.explode(each).alias("of")).where(F.size("of.pairs") > 1)
+    pairs = apart.select("rid", "line", "at", F.col("of.kind").alias("kind"), F.posexplode("of.pairs").alias("place", "pair"))
+    size = F.coalesce(F.length("pair.hit"), F.lit(0))
+    run = Window.partitionBy("rid", "line", "kind").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    placed = pairs.withColumn("end", (F.col("at") + F.sum(F.col("pair.gap") + size).over(run)).cast("long"))
+    holds = F.lit(False)
+    for k, kind in enumerate(PROTECTED):
+        holds = F.when(F.col("kind") == k, _holds(kind, F.col("pair.hit"))).otherwise(holds)
+    placed = placed.where(F.col("pair.hit").isNotNull() & holds)
+    return placed.select("rid", "line", "kind", (F.col("end") - size).alias("start"), "end")
 
 
 def terms_of(text: Column) -> Column:
@@ -89,32 +115,36 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")
 
 
-def marked_terms(found: DataFrame) -> DataFrame:
-    """The words of the lines that have pattern spans, without those inside a span: (rid, line,
-    kinds, term, start, end). ``found`` has (rid, text, spans); ``kinds`` are those on the line
-    as bits.
+def marked_terms(lines: DataFrame, spans: DataFrame) -> DataFrame:
+    """The words of the lines that have spans, without those that share a character with one:
+    (rid, line, unit, kinds, term, start, end). ``unit`` is a hash of the line; ``kinds`` are
+    those on the line as bits.
 
-    Lines and words are told their places by running sums within one document.
+    Words and spans of a line are swept once forwards, for spans that begin before a word ends
+    it, and once backwards, for spans that begin inside it.
     """
-    lines = found.where(F.size("spans") > 0).select("rid", "spans", F.posexplode(F.split("text", "\n")).alias("line", "unit"))
-    before = Window.partitionBy("rid").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("at", F.coalesce(F.sum(F.length("unit") + 1).over(before), F.lit(0)))
-    inside = F.filter("spans", lambda s: (s.getField("start") >= F.col("at")) & (s.getField("start") < F.col("at") + F.length("unit")))
-    bits = F.aggregate(F.transform(inside, lambda s: s.getField("kind")), F.lit(0), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), k)))
-    lines = lines.withColumn("spans", inside).withColumn("kinds", bits).where("kinds <> 0")
-    pairs = F.arrays_zip(F.split("unit", r"\p{L}+", -1).alias("gap"), F.regexp_extract_all("unit", F.lit(r"\p{L}+"), F.lit(0)).alias("hit"))
-    words = lines.select("rid", "line", "at", "kinds", "spans", F.posexplode(pairs).alias("place", "pair"))
-    run = Window.partitionBy("rid", "line").orderBy("place")
-    gap, hit = F.length("pair.gap"), F.coalesce(F.length("pair.hit"), F.lit(0))
-    words = words.withColumn("end", F.col("at") + F.sum(gap + hit).over(run)).withColumn("start", F.col("end") - hit)
-    words = words.where(
-        F.col("pair.hit").isNotNull()
-        & ~F.exists("spans", lambda s: (s.getField("start") < F.col("end")) & (s.getField("end") > F.col("start")))
+    kinds = spans.groupBy("rid", "line").agg(F.bit_or(_bit(F.col("kind"))).alias("kinds"))
+    held = lines.join(kinds, ["rid", "line"])
+    words = held.select("rid", "line", "at", "kinds", F.xxhash64("unit").alias("unit"), F.posexplode(_pairs(F.col("unit"), r"\p{L}+")).alias("place", "pair"))
+    size = F.coalesce(F.length("pair.hit"), F.lit(0))
+    run = Window.partitionBy("rid", "line").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    words = words.withColumn("end", (F.col("at") + F.sum(F.col("pair.gap") + size).over(run)).cast("long"))
+    words = words.withColumn("start", F.col("end") - size).where("pair.hit is not null")
+    words = words.select("rid", "line", "unit", "kinds", F.lower("pair.hit").alias("term"), "start", "end")
+    both = words.unionByName(spans.select("rid", "line", "start", "end"), allowMissingColumns=True)
+    isa = F.col("term").isNull()
+    ahead = Window.partitionBy("rid", "line").orderBy("start", isa.desc()).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("rid", "line").orderBy(F.desc("start"), isa).rowsBetween(Window.unboundedPreceding, 0)
+    swept = both.select(
+        "*",
+        F.coalesce(F.max(F.when(isa, F.col("end"))).over(ahead), F.lit(-1)).alias("covered"),
+        F.min(F.when(isa, F.col("start"))).over(back).alias("next"),
     )
-    return words.select("rid", "line", "kinds", F.lower("pair.hit").alias("term"), "start", "end")
+    free = (F.col("covered") <= F.col("start")) & (F.col("next").isNull() | (F.col("next") >= F.col("end")))
+    return swept.where(~isa & free).drop("covered", "next")
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, marked: DataFrame) -> DataFrame:
+def disclosing_terms(docs: DataFrame, marked: DataFrame) -> DataFrame:
     """Terms by which readers can tell that personal data stood beside them: (term, kind, told).
 
     Lines are the contexts. For a term t and a kind c the corpus gives p(c) and p(c | t); the
@@ -122,94 +152,125 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, marked: DataFrame) -> Da
     the kind itself, is what t tells of c. Repeated lines with personal data count once, so a
     copied line does not make its words disclosing. The counts cover all lines of ``docs``.
     """
-    texts = marked.join(found.select("rid", "text"), "rid")
-    lines = texts.select("rid", "line", "kinds", "term", F.xxhash64(F.element_at(F.split("text", "\n"), F.col("line") + 1)).alias("unit"))
-    each = lines.select("unit", "kinds", "term").distinct()
-    apart = [F.col("kinds").bitwiseAND(1 << k) != 0 for k in range(len(KINDS))]
+    each = marked.select("unit", "kinds", "term").distinct()
+    apart = [F.col("kinds").bitwiseAND(1 << k) != 0 for k in range(len(PROTECTED))]
     kinds = F.explode(F.array_compact(F.array(*[F.when(has, F.lit(k)) for k, has in enumerate(apart)])))
     joint = each.select("term", kinds.alias("kind")).groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n_both"))
     joint = joint.where(F.col("n_both") >= SUPPORT)
-    raw = lines.select("rid", "line", "kinds", "term").distinct().select("term", kinds.alias("kind"))
+    raw = marked.select("rid", "line", "kinds", "term").distinct().select("term", kinds.alias("kind"))
     raw = raw.groupBy("term", "kind").agg(F.count(F.lit(1)).alias("n_raw"))
-    units = docs.select(F.explode(F.split(text_or_empty(), "\n")).alias("unit"))
+    text = text_or_empty()
+    units = docs.select(F.explode(F.split(text, "\n")).alias("unit"))
     hashed = F.transform(terms_of(F.col("unit")), lambda w: F.xxhash64(w))
     counts = units.select(F.explode(F.array_distinct(hashed)).alias("hashed")).groupBy("hashed").agg(F.count(F.lit(1)).alias("n_term"))
-    # A count of all lines and one for each of the four kinds.
-    n_lines = float(units.count())
+    # A count of all lines and one for each of the kinds.
+    ends = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    n_lines = float(docs.agg(F.sum(ends + 1).alias("n")).first()["n"] or 0)
     n_kind = {r["kind"]: r["n"] for r in each.select("unit", kinds.alias("kind")).distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
-    of_all = F.element_at(F.array(*[F.lit(n_kind.get(k, 0) / max(n_lines, n_kind.get(k, 0), 1.0)) for k in range(len(KINDS))]), F.col("kind") + 1)
+    of_all = F.element_at(F.array(*[F.lit(n_kind.get(k, 0) / max(n_lines, n_kind.get(k, 0), 1.0)) for k in range(len(PROTECTED))]), F.col("kind") + 1)
     known = joint.join(raw, ["term", "kind"]).withColumn("hashed", F.xxhash64("term")).join(counts, "hashed")
     within = F.col("n_both") / (F.col("n_both") + F.greatest(F.col("n_term") - F.col("n_raw"), F.lit(0)))
     told = F.when((of_all > 0) & (of_all < 1), F.log(within / of_all) / -F.log(of_all)).otherwise(F.lit(0.0))
     return known.select("term", "kind", told.alias("told")).where(F.col("told") >= DISCLOSED)
 
 
-def find_personal_data(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of all rows, with ``text``, ``spans`` and ``terms``.
+def find_personal_data(docs: DataFrame, keep: list[str], sanitise: bool = False) -> DataFrame:
+    """The columns ``keep`` of all rows, with ``spans``, ``terms`` and, if asked for,
+    ``sanitised``.
 
-    ``spans`` are those of the patterns, ``terms`` those of disclosing terms on lines with the
-    kind that they disclose, as (start, end, told). A null text is empty. Equal texts have
-    equal spans. The patterns are applied once; the result, with the texts of the documents
-    that have spans, is written to the shared folder and read for everything after.
+    ``spans`` are those of the patterns by start and kind, ``terms`` those of disclosing terms on
+    lines with the kind that they disclose, as (start, end, told). ``sanitised`` is the text
+    without them, null for rows that have none. A null text is empty. Equal texts have equal
+    spans. Rows, and the texts of those that may have spans, are written to the shared folder
+    once and read for everything after.
     """
     text = text_or_empty()
-    base = docs.select(*[F.col(k) for k in keep], text.alias("text")).withColumn("spans", pattern_spans(F.col("text")))
     found = cut(
-        base.select(
+        docs.select(
             F.monotonically_increasing_id().alias("rid"),
-            *keep,
-            F.when(F.size("spans") > 0, F.col("text")).alias("text"),
-            "spans",
+            *[F.col(k) for k in keep],
+            F.when(text.rlike(HINT), text).alias("text"),
         )
     )
-    marked = cut(marked_terms(found))
-    telling = disclosing_terms(docs, found, marked)
+    lines = hinted_lines(found)
+    spans = cut(line_spans(lines))
+    marked = cut(marked_terms(lines, spans))
+    telling = disclosing_terms(docs, marked)
     hits = marked.join(telling, "term").where(F.call_function("shiftright", F.col("kinds"), F.col("kind")).bitwiseAND(1) == 1)
-    terms = hits.groupBy("rid", "start", "end").agg(F.max("told").alias("told"))
-    terms = terms.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "told"))).alias("terms"))
-    none = F.array().cast("array<struct<start: bigint, end: bigint, told: double>>")
-    return found.join(terms, "rid", "left").select(*keep, "text", "spans", F.coalesce("terms", none).alias("terms"))
-
-
-def redacted(text: Column, spans: Column, terms: Column) -> Column:
-    """A text with pattern spans replaced by their kind in brackets, disclosing terms replaced
-    by ``[TERM]``, and those that tell nearly all removed. Of overlapping spans the first one
-    stands for all."""
-    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    marks = F.concat(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(kinds, s["kind"] + 1).alias("put"))),
-        F.transform(
-            terms,
-            lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(s["told"] >= REMOVED, "").otherwise("[TERM]").alias("put")),
-        ),
+    terms = cut(hits.groupBy("rid", "start", "end").agg(F.max("told").alias("told")))
+    own = spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    more = terms.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end", "told"))).alias("terms"))
+    none = F.array()
+    out = found.join(own, "rid", "left").join(more, "rid", "left")
+    if sanitise:
+        out = out.join(redacted(found, spans, terms), "rid", "left")
+    return out.select(
+        *keep,
+        F.coalesce("spans", none.cast(SPAN)).alias("spans"),
+        F.coalesce("terms", none.cast("array<struct<start: bigint, end: bigint, told: double>>")).alias("terms"),
+        *(["sanitised"] if sanitise else []),
+    )
+
+
+def redacted(found: DataFrame, spans: DataFrame, terms: DataFrame) -> DataFrame:
+    """(rid, sanitised) of the texts with spans: spans are replaced by their kind in brackets,
+    disclosing terms by ``[TERM]``, and those that tell nearly all are removed. Of overlapping
+    spans the first one stands for all.
+
+    Spans that overlap are made one, and dealt to the pieces of the text that they touch; each
+    piece is rewritten by itself and the pieces are joined again.
+    """
+    kinds = F.array(*[F.lit(f"[{k.upper()}]") for k in PROTECTED])
+    marks = spans.select("rid", "start", "end", F.element_at(kinds, F.col("kind") + 1).alias("put"))
+    marks = marks.unionByName(terms.select("rid", "start", "end", F.when(F.col("told") >= REMOVED, "").otherwise("[TERM]").alias("put")))
+    order = Window.partitionBy("rid").orderBy("start", "end", "put")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marks = marks.withColumn("first", F.coalesce(F.col("start") >= before, F.lit(True)))
+    marks = marks.withColumn("island", F.sum(F.col("first").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    marks = marks.groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max(F.when(F.col("first"), F.col("put"))).alias("put"))
+    size = F.lit(PIECE)
+    marks = marks.withColumn("piece", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("end") - 1) / size))))
+    here = F.col("piece") * size
+    marks = marks.select(
+        "rid",
+        "piece",
+        F.struct(
+            (F.greatest("start", here) - here).alias("start"),
+            (F.least("end", here + size) - here).alias("end"),
+            F.when(F.col("start") >= here, F.col("put")).otherwise("").alias("put"),
+        ).alias("mark"),
     )
-    nothing = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+    marks = marks.groupBy("rid", "piece").agg(F.array_sort(F.collect_list("mark")).alias("marks"))
+    texts = found.join(spans.select("rid").distinct(), "rid", "left_semi")
+    cuts = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    pieces = texts.select("rid", F.posexplode(cuts).alias("piece", "body")).withColumn("piece", F.col("piece").cast("long"))
+    body, nothing = F.col("body"), F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def add(so_far: Column, mark: Column) -> Column:
-        at, out = so_far["at"], so_far["out"]
-        gap = F.substr(text, (at + 1).cast("int"), (mark["start"] - at).cast("int"))
-        return F.when(mark["start"] >= at, F.struct(mark["end"].alias("at"), F.concat(out, gap, mark["put"]).alias("out"))).otherwise(
-            F.struct(F.greatest(at, mark["end"]).alias("at"), out.alias("out"))
-        )
+        gap = F.substr(body, (so_far["at"] + 1).cast("int"), (mark["start"] - so_far["at"]).cast("int"))
+        return F.struct(mark["end"].alias("at"), F.concat(so_far["out"], gap, mark["put"]).alias("out"))
 
-    done = F.aggregate(F.array_sort(marks), nothing, add)
-    return F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int")))
+    done = F.aggregate("marks", nothing, add)
+    whole = F.concat(done["out"], F.substr(body, (done["at"] + 1).cast("int")))
+    pieces = pieces.join(marks, ["rid", "piece"], "left").select("rid", "piece", F.when(F.col("marks").isNull(), body).otherwise(whole).alias("out"))
+    joined = pieces.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("piece", "out"))).alias("parts"))
+    return joined.select("rid", F.array_join(F.transform("parts", lambda p: p["out"]), "").alias("sanitised"))
 
 
 def sanitise_documents(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, sanitised) for the rows that have personal data; other texts stay as they are."""
-    found = find_personal_data(docs, [key]).where(F.size("spans") > 0)
-    return found.select(key, redacted(F.col("text"), F.col("spans"), F.col("terms")).alias("sanitised"))
+    return find_personal_data(docs, [key], sanitise=True).where("sanitised is not null").select(key, "sanitised")
 
 
 OP2_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 p(kno, kind, pattern) AS (VALUES (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), (1, 'ip', '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'),
-  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]')),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'), (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'), (4, 'key', '[A-Za-z0-9_+/-]{20,}')),
 m AS (SELECT rid, 0 AS kno, regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS hit, string_split_regex(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+') AS gap FROM d
   UNION ALL SELECT rid, 1, regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)'), string_split_regex(text, '[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)') FROM d
   UNION ALL SELECT rid, 2, regexp_extract_all(text, '[0-9](?:[\x20-]?[0-9])+'), string_split_regex(text, '[0-9](?:[\x20-]?[0-9])+') FROM d
-  UNION ALL SELECT rid, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d),
+  UNION ALL SELECT rid, 3, regexp_extract_all(text, '\+[0-9][\x20().0-9-]+[0-9]'), string_split_regex(text, '\+[0-9][\x20().0-9-]+[0-9]') FROM d
+  UNION ALL SELECT rid, 4, regexp_extract_all(text, '[A-Za-z0-9_+/-]{20,}'), string_split_regex(text, '[A-Za-z0-9_+/-]{20,}') FROM d),
 x AS (SELECT rid, kno, hit, gap, unnest(range(1, len(hit) + 1)) AS i FROM m),
 s AS (SELECT rid, kno, hit[i] AS h, regexp_replace(hit[i], '[^0-9]', '', 'g') AS g,
   (list_sum(list_transform(gap[1:i], lambda u: length(u))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda u: length(u))), 0))::BIGINT AS a FROM x),
@@ -217,7 +278,8 @@ base AS (SELECT rid, kno, a, a + length(h) AS z FROM s WHERE CASE kno WHEN 0 THE
   WHEN 1 THEN len(list_filter(string_split(h, '.'), lambda u: length(ltrim(u, '0')) > 3 OR (length(ltrim(u, '0')) = 3 AND ltrim(u, '0') > '255'))) = 0
   WHEN 2 THEN length(g) BETWEEN 12 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda j: CASE WHEN j % 2 = 1 THEN substr(g, length(g) - j + 1, 1)::INT
       ELSE (2 * substr(g, length(g) - j + 1, 1)::INT) // 10 + (2 * substr(g, length(g) - j + 1, 1)::INT) % 10 END)) % 10 = 0
-  ELSE length(g) BETWEEN 9 AND 15 END),
+  WHEN 3 THEN length(g) BETWEEN 9 AND 15
+  ELSE len(regexp_extract_all(h, '[A-Za-z][0-9]')) + len(regexp_extract_all(h, '[0-9][A-Za-z]')) >= 4 AND len(list_distinct(string_split(h, ''))) >= 10 END),
 ll AS (SELECT rid, string_split(text, chr(10)) AS l FROM d),
 ln AS (SELECT rid, l, unnest(range(0, len(l))) AS line FROM ll),
 lo AS (SELECT rid, line, l[line + 1] AS unit, coalesce(list_sum(list_transform(l[1:line], lambda u: length(u) + 1)), 0)::BIGINT AS line_at FROM ln),
@@ -235,35 +297,44 @@ kn AS (SELECT kno, count(*) AS n_kind FROM (SELECT DISTINCT unit, kno FROM ek) G
 nl AS (SELECT count(*)::DOUBLE AS n_lines FROM lo),
 t AS (SELECT j.term, j.kno, n_both / (n_both + greatest(n_term - n_raw, 0)) AS within_t, n_kind / greatest(n_lines, n_kind) AS of_all
   FROM joint_n j JOIN raw USING (term, kno) JOIN tn USING (term) JOIN kn USING (kno), nl),
-telling AS (SELECT term, kno FROM t WHERE of_all < 1 AND ln(within_t / of_all) / -ln(of_all) >= 0.8),
-hits AS (SELECT DISTINCT rid, a, z FROM w JOIN telling USING (term) WHERE (kinds >> kno) & 1 = 1),
-sp AS (SELECT rid, a, kno, z FROM base UNION ALL SELECT rid, a, 4, z FROM hits),
+telling AS (SELECT term, kno, ln(within_t / of_all) / -ln(of_all) AS told FROM t WHERE of_all < 1 AND ln(within_t / of_all) / -ln(of_all) >= 0.8),
+hits AS (SELECT rid, a, z, max(told) AS told FROM w JOIN telling USING (term) WHERE (kinds >> kno) & 1 = 1 GROUP BY ALL),
+sp AS (SELECT rid, a, kno, z FROM base UNION ALL SELECT rid, a, 5, z FROM hits),
 o AS (SELECT rid, count(*) FILTER (kno = 0) AS n_email, count(*) FILTER (kno = 1) AS n_ip, count(*) FILTER (kno = 2) AS n_card, count(*) FILTER (kno = 3) AS n_phone,
   string_agg((['email', 'ip', 'card', 'phone'])[kno + 1] || ':' || a || ':' || z, ',' ORDER BY a, kno, z) FILTER (kno < 4) AS own,
-  string_agg((['email', 'ip', 'card', 'phone', 'term'])[kno + 1] || ':' || a || ':' || z, ',' ORDER BY a, kno, z) AS every, count(*) FILTER (kno = 4) AS n_term
-  FROM sp GROUP BY rid)
+  string_agg((['email', 'ip', 'card', 'phone', 'key', 'term'])[kno + 1] || ':' || a || ':' || z, ',' ORDER BY a, kno, z) AS every,
+  count(*) FILTER (kno = 4) AS n_key, count(*) FILTER (kno = 5) AS n_term, count(*) AS n_spans
+  FROM sp GROUP BY rid),
+mk AS (SELECT rid, a, z, (['[EMAIL]', '[IP]', '[CARD]', '[PHONE]', '[KEY]'])[kno + 1] AS put FROM base
+  UNION ALL SELECT rid, a, z, CASE WHEN told >= 0.95 THEN '' ELSE '[TERM]' END FROM hits),
+mo AS (SELECT *, coalesce(max(z) OVER (PARTITION BY rid ORDER BY a, z, put ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done_to FROM mk),
+rd AS (SELECT rid, string_agg(substr(text, done_to + 1, a - done_to) || put, '' ORDER BY a, z, put) FILTER (a >= done_to) || substr(any_value(text), max(z) + 1) AS sanitised
+  FROM mo JOIN d USING (rid) GROUP BY rid)
 SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone,
-  sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(n_term, 0) AS n_term
-FROM d LEFT JOIN o USING (rid)
+  sha256(coalesce(own, '')) AS base_sha256, coalesce(every, '') AS spans, coalesce(n_key, 0) AS n_key, coalesce(n_term, 0) AS n_term,
+  coalesce(n_spans, 0) AS n_spans, sanitised
+FROM d LEFT JOIN o USING (rid) LEFT JOIN rd USING (rid)
 """
 
 
 @query("op2_privacy", OP2_SQL)
 def op2_privacy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The personal data of all documents."""
-    found = find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
-    names = F.array(*[F.lit(k) for k in (*KINDS, TERM)])
+    """The personal data of all documents, and the texts without it."""
+    found = find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"], sanitise=True)
+    names = F.array(*[F.lit(k) for k in (*PROTECTED, TERM)])
     put = lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
     more = F.transform(
-        "terms", lambda s: F.struct(s["start"].alias("start"), F.lit(len(KINDS)).alias("kind"), s["end"].alias("end"))
+        "terms", lambda s: F.struct(s["start"].alias("start"), F.lit(len(PROTECTED)).alias("kind"), s["end"].alias("end"))
     )
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id",
-        *[
-            (F.size("spans") - F.size(F.array_remove(F.transform("spans", lambda s: s["kind"]), k))).cast("long").alias(f"n_{kind}")
-            for k, kind in enumerate(KINDS)
-        ],
-        F.sha2(F.array_join(F.transform("spans", put), ","), 256).alias("base_sha256"),
+        *[number(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)],
+        F.sha2(F.array_join(F.transform(base, put), ","), 256).alias("base_sha256"),
         F.array_join(F.transform(F.array_sort(F.concat("spans", more.cast(SPAN))), put), ",").alias("spans"),
+        number(len(KINDS)).alias(f"n_{KEY}"),
         F.size("terms").cast("long").alias("n_term"),
+        (F.size("spans") + F.size("terms")).cast("long").alias("n_spans"),
+        "sanitised",
     )
