@@ -1,4 +1,4 @@
-"""Vectorised code against plain twins: jump hashing, the decoders, blocks of odd pages."""
+"""Vectorised code against plain twins: jump hashing, the decoders, blocks of odd pages, the parse."""
 
 import itertools
 import random
@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from layerflow.llm import quality
+from layerflow.llm import fingerprints, quality
 from layerflow.llm.blocks import leaf_blocks, text_features
 from layerflow.llm.extraction import Field, default_field
 from layerflow.llm.language import SWITCH, viterbi
@@ -99,3 +99,76 @@ def test_calibration_does_not_hang_on_the_bound():
     assert bound == pytest.approx(whole, abs=0.2)
     share = lambda m: float(np.mean(1 / (1 + np.exp(-(m[0] * x + m[1])))))
     assert share(whole) == pytest.approx(0.8, abs=0.01) and share(bound) == pytest.approx(0.8, abs=0.02)
+
+
+FULL = (1 << 64) - 1
+GOLDEN = 0x9E3779B97F4A7C15
+
+
+def mixed(x):
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & FULL
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & FULL
+    return x ^ (x >> 31)
+
+
+def tossed(names):
+    """For each name twice the lowest place where it differs from the one before, and its bit there."""
+    out = [names[0] & 1]
+    for before, own in zip(names, names[1:]):
+        place = 0
+        while (before >> place) & 1 == (own >> place) & 1:
+            place += 1
+        out.append(2 * place + ((own >> place) & 1))
+    return out
+
+
+def parsed(text):
+    """All phrase names of one text that count, one name at a time."""
+    names, level, out = [ord(c) for c in text], 0, []
+    while names:
+        runs = []
+        for name in names:
+            if runs and runs[-1][0] == name:
+                runs[-1][1] += 1
+            else:
+                runs.append([name, 1])
+        names = [mixed((name + n * GOLDEN) & FULL) if n > 1 else name for name, n in runs]
+        labels = tossed(tossed(tossed(names)))
+        phrases, last = [], len(names) - 1
+        for i, name in enumerate(names):
+            if i == 0 or (i < last and labels[i - 1] < labels[i] > labels[i + 1]):
+                phrases.append([])
+            phrases[-1].append(name)
+        names = [mixed((sum(mixed((i * GOLDEN & FULL) ^ name) for i, name in enumerate(p)) + level + 1) & FULL) for p in phrases]
+        level += 1
+        if level >= fingerprints.LOWEST or len(names) == 1:
+            out += names
+        if len(names) == 1:
+            break
+    return out
+
+
+def test_parse_by_coin_tossing_against_one_name_at_a_time():
+    rng = random.Random(12)
+    texts = ["a", "ab", "aaaa", "", "aab" * 40, "é😀\n" * 3, "x" * 3_000, "abababab" * 30]
+    texts += ["".join(rng.choice("abc \U0001F600é") for _ in range(rng.randint(1, 1_500))) for _ in range(60)]
+    found = [[] for _ in texts]
+    for docs, names in fingerprints.phrases(texts):
+        for doc, name in zip(docs.tolist(), names.tolist()):
+            found[doc].append(name)
+    for text, names in zip(texts, found):
+        assert sorted(names) == sorted(parsed(text))
+    orders = [mixed(k * GOLDEN & FULL) | 1 for k in range(1, fingerprints.VALUES + 1)]
+    for text, printed in zip(texts, fingerprints.fingerprint_texts(texts)):
+        names = parsed(text)
+        assert printed == ("".join(f"{mixed(min(n * o & FULL for n in names)) >> 48:04x}" for o in orders) if text else "")
+
+
+def test_equal_passages_share_phrases_whatever_their_offset():
+    rng = random.Random(13)
+    prose = lambda n: "".join(rng.choice("abcdefghij klmnop") for _ in range(n))
+    passage = prose(4_000)
+    own = set(parsed(passage))
+    for offset in (1, 2, 3, 57, 1_001):
+        inside = set(parsed(prose(offset) + passage + prose(300)))
+        assert len(own & inside) > 0.95 * len(own)
