@@ -24,6 +24,9 @@ from layerflow.session import cut
 DEFAULT_NS = "Default"
 # Rounds after which the table of seen rows is written in one piece again.
 REWRITE_EVERY = 10
+# Inputs that share one number, as a power of two.
+MASK_SHIFT = 6
+MASK_BITS = 1 << MASK_SHIFT
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -311,20 +314,57 @@ def lineage_closure(
     graph, one row per original node. A node passes when an input reaches it in the new graph
     and that input's original is among its ancestors, or is itself. Inputs, and nodes the
     original graph does not know, are not judged. ``nodes`` adds new nodes without edges.
+
+    Both graphs are walked at once, from the inputs and from their originals. A node keeps one
+    number for 64 inputs, whose bits are those that reach it, and passes if a bit comes on both
+    ways; pairs of inputs and nodes are never listed.
     """
-    entry = inputs.select("input").distinct()
+    entry = inputs.select("input").where("input IS NOT NULL").distinct()
     ends = [e.select(F.explode(F.array("src", "dst")).alias("node")).distinct() for e in (new_edges, source_edges)]
     mine = ends[0] if nodes is None else ends[0].union(nodes.select(nodes.columns[0])).distinct()
     judged = cut(missing_from(exists_in(mine, ends[1], "node"), entry, [("node", "input")]))
     inward = missing_from(new_edges, entry, [("dst", "input")])
-    fed = exists_in(reachable(inward, entry), judged, "node").withColumnsRenamed({"seed": "input"})
-    grounded = cut(fed.join(inputs.select("input", "source").distinct(), "input").select("source", "node").distinct())
-    # Only originals of inputs that feed a judged node need to be followed.
-    descends = reachable(source_edges, grounded.select("source").where("source IS NOT NULL").distinct())
-    closed = exists_in(grounded, descends.withColumnRenamed("seed", "source"), ["source", "node"])
+    links = cut(
+        _sided(inward, False).union(_sided(source_edges, True)).where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+    )
+    # Each input has a bit, which its originals have too.
+    marked = cut(entry.withColumn("id", F.monotonically_increasing_id()))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("id") % MASK_BITS).cast("int"))
+    marked = marked.select("input", F.call_function("shiftright", F.col("id"), F.lit(MASK_SHIFT)).alias("batch"), bit.alias("mask"))
+    origins = inputs.select("input", "source").where("source IS NOT NULL").distinct().join(marked, "input")
+    start = marked.select(F.lit(False).alias("original"), "batch", F.col("input").alias("node"), "mask").union(
+        origins.select(F.lit(True), "batch", "source", "mask")
+    )
+    masks = _walk_masks(links, start.groupBy("original", "batch", "node").agg(F.bit_or("mask").alias("mask")))
+    side = [F.bit_or(F.when(F.col("original") == original, F.col("mask"))) for original in (False, True)]
+    met = masks.groupBy("batch", "node").agg(side[0].alias("fed"), side[1].alias("demanded"))
+    closed = met.where(F.col("fed").bitwiseAND(F.col("demanded")) != 0).select("node").distinct()
     return missing_from(judged, closed, "node")
 
 
+def _sided(edges: DataFrame, original: bool) -> DataFrame:
+    return edges.select(F.lit(original).alias("original"), "src", "dst")
+
+
+def _walk_masks(links: DataFrame, start: DataFrame) -> DataFrame:
+    """The bits that reach each node of either graph, as rows of (original, batch, node, mask)
+    whose masks are to be united. Every round carries only bits that are new to a node."""
+    keys = ["original", "batch", "node"]
+    frontier = cut(start)
+    seen, rounds = frontier, 0
+    while not frontier.isEmpty():
+        rounds += 1
+        met = links.join(frontier.withColumnRenamed("node", "src"), ["original", "src"])
+        met = cut(met.groupBy("original", "batch", F.col("dst").alias("node")).agg(F.bit_or("mask").alias("mask")))
+        known = seen.join(met.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.bit_or("mask").alias("had"))
+        fresh = F.col("mask").bitwiseAND(F.bitwise_not(F.coalesce("had", F.lit(0).cast("bigint"))))
+        frontier = cut(met.join(known, keys, "left").select(*keys, fresh.alias("mask")).where("mask <> 0"))
+        seen = seen.unionByName(frontier)
+        if rounds % REWRITE_EVERY == 0:
+            seen = cut(seen.groupBy(*keys).agg(F.bit_or("mask").alias("mask")))
+    return seen
+
+
 def input_sources(inputs: DataFrame, originals: DataFrame, supplied: DataFrame | None = None) -> DataFrame:
     """What the inputs of a new graph stand for in the original one, as distinct (input,
     source): an original of the same id or of the same data set name, and whatever ``supplied``

@@ -169,6 +169,34 @@ def test_closure(spark, rows):
     assert rows(lineage_closure(new, source, more, frame(spark, [("i2",)], "node string"))) == [("i2",)]
 
 
+def test_closure_of_many_inputs_with_circles(spark):
+    """More inputs than bits of a number, circles in both graphs, against plain walks."""
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(60)]
+    source = sorted({(rng.choice(names), rng.choice(names)) for _ in range(70)})
+    new = sorted({(rng.choice(names), rng.choice(names)) for _ in range(50)} | {(f"in{i}", rng.choice(names)) for i in range(200)})
+    inputs = [(f"in{i}", rng.choice([*names, None, "elsewhere"])) for i in range(200) for _ in range(rng.randint(1, 2))]
+
+    def walk(edges, start):
+        found, todo = {start}, [start]
+        while todo:
+            at = todo.pop()
+            fresh = {b for a, b in edges if a == at} - found
+            found |= fresh
+            todo += fresh
+        return found
+
+    reached = {i: walk(new, i) for i, _ in inputs}
+    below = {s: walk(source, s) for _, s in inputs if s is not None}
+    closed = {n for i, s in inputs if s is not None for n in reached[i] & below[s]}
+    judged = {n for e in new for n in e} & {n for e in source for n in e}
+    got = lineage_closure(
+        frame(spark, new, "src string, dst string"), frame(spark, source, "src string, dst string"), frame(spark, inputs, "input string, source string")
+    )
+    assert sorted(r.node for r in got.collect()) == sorted(judged - closed)
+    assert judged - closed and judged & closed
+
+
 def test_edge_diff(spark, rows):
     source = frame(spark, [("a", "j", "Left"), ("b", "j", "Right"), ("c", "d", None)], "src string, dst string, ns string")
     new = frame(
