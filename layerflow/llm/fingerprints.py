@@ -181,7 +181,7 @@ def with_next(docs: DataFrame, order: str, hashed: str, ranges: int, carry: list
         cuts = []
     else:
         share = min(1.0, ranges * SPLIT_ROWS / total[0])
-        near = F.pmod(F.xxhash64("o", "h"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+        near = F.pmod(F.xxhash64("o", "h"), F.lit(1 << 40)) < int(share * (1 << 40)) + 1
         some = sorted({(r.late, r.o, r.h) for r in keys.where(near).collect()})
         cuts = sorted({tuple(total[1]), *(some[len(some) * i // ranges] for i in range(ranges) if some)})
     at = {cut: i for i, cut in enumerate(cuts)}
