@@ -17,9 +17,9 @@ SIMILAR = 0.75
 #: block differs in at most 2; every item is filed under all values of a block within 2 bits.
 BLOCKS, WIDTH, NEAR = 8, 8, 2
 RADIUS = BLOCKS * (NEAR + 1) - 1
-#: Counters of bits that share a long integer, and their width: windows of up to 2 million
-#: shingles.
-PACKED, FIELD = 3, 21
+#: Counters of bits that share a long integer, and their width: a window has fewer shingles
+#: than an array has places, which 31 bits hold.
+PACKED, FIELD = 2, 31
 
 
 def words_of(text: Column) -> Column:
@@ -196,20 +196,26 @@ def drop_leaked(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 OP6_SQL = r"""
 WITH i AS (SELECT DISTINCT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
-ig AS (SELECT item_id, len(w) AS m, unnest(range(0, len(w) - 4)) AS q, w FROM i WHERE len(w) >= 5),
-ih AS (SELECT item_id, m, q, array_to_string(w[q + 1:q + 5], ' ') AS h FROM ig),
+x AS (SELECT DISTINCT item_id, array_to_string(w, ' ') AS item, w, len(w) AS m, least(len(w), 5) AS g FROM i WHERE len(w) > 0),
+ih AS (SELECT item, m, g, array_to_string(w[q + 1:q + g], ' ') AS h
+  FROM (SELECT item, m, g, w, unnest(range(0, m - g + 1)) AS q FROM (SELECT DISTINCT item, w, m, g FROM x))),
+z AS (SELECT DISTINCT g FROM x),
 d AS (SELECT DISTINCT md5(coalesce(text, '')) AS k, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
-dg AS (SELECT k, len(w) AS n, unnest(range(0, len(w) - 4)) AS p, w FROM d WHERE len(w) >= 5),
-dh AS (SELECT k, n, p, array_to_string(w[p + 1:p + 5], ' ') AS h FROM dg),
-s AS (SELECT DISTINCT dh.k, ih.m, greatest(least(dh.p - ih.q, dh.n - ih.m), 0) AS start FROM dh JOIN (SELECT DISTINCT h, m, q FROM ih) ih USING (h)),
-wg AS (SELECT s.k, s.m, s.start, dh.h, count(*) AS n FROM s JOIN dh ON s.k = dh.k AND dh.p BETWEEN s.start AND s.start + s.m - 5 GROUP BY ALL),
+dg AS (SELECT k, len(w) AS n, w, g, unnest(range(0, len(w) - g + 1)) AS p FROM d JOIN z ON len(w) >= g),
+dh AS (SELECT k, n, g, p, array_to_string(w[p + 1:p + g], ' ') AS h FROM dg),
+hit AS (SELECT DISTINCT k, n, m, g, p FROM dh JOIN (SELECT DISTINCT h, m, g FROM ih) USING (h, g)),
+sp AS (SELECT k, n, m, g, unnest(range(greatest(least(p + g, n) - least(m, n), 0), least(p, greatest(n - m, 0)) + 1)) AS start FROM hit),
+s AS (SELECT k, m, g, start, count(*) AS shared FROM sp GROUP BY k, n, m, g, start
+  HAVING count(*) * 1.75 >= 0.75 * (least(any_value(n), m) - g + 1 + m - g + 1) - 0.001),
+wg AS (SELECT s.k, s.m, s.start, dh.h, count(*) AS n FROM s JOIN dh ON s.k = dh.k AND s.g = dh.g AND dh.p BETWEEN s.start AND s.start + s.m - s.g GROUP BY ALL),
 ws AS (SELECT k, m, start, sum(n) AS weight FROM wg GROUP BY ALL),
-ic AS (SELECT item_id, m, h, count(*) AS n FROM ih GROUP BY ALL),
-iw AS (SELECT item_id, m, sum(n) AS weight FROM ic GROUP BY ALL),
-b AS (SELECT wg.k, wg.m, wg.start, ic.item_id, sum(least(wg.n, ic.n)) AS both_n FROM wg JOIN ic ON wg.m = ic.m AND wg.h = ic.h GROUP BY ALL),
-v AS (SELECT b.k, b.item_id, b.start, b.both_n::DOUBLE / (ws.weight + iw.weight - b.both_n)::DOUBLE AS similarity
-  FROM b JOIN ws USING (k, m, start) JOIN iw ON iw.item_id = b.item_id),
-f AS (SELECT k, item_id, max(similarity) AS similarity, arg_max(start, (similarity, -start)) AS first_word FROM v WHERE similarity >= 0.75 GROUP BY ALL)
+ic AS (SELECT item, m, h, count(*) AS n FROM ih GROUP BY ALL),
+iw AS (SELECT item, m, sum(n) AS weight FROM ic GROUP BY ALL),
+b AS (SELECT wg.k, wg.m, wg.start, ic.item, sum(least(wg.n, ic.n)) AS both_n FROM wg JOIN ic ON wg.m = ic.m AND wg.h = ic.h GROUP BY ALL),
+v AS (SELECT b.k, b.item, b.start, b.both_n::DOUBLE / (ws.weight + iw.weight - b.both_n)::DOUBLE AS similarity
+  FROM b JOIN ws USING (k, m, start) JOIN iw ON iw.item = b.item),
+f AS (SELECT k, item_id, max(similarity) AS similarity, arg_max(start, (similarity, -start)) AS first_word
+  FROM v JOIN (SELECT DISTINCT item, item_id FROM x) USING (item) WHERE similarity >= 0.75 GROUP BY k, item_id)
 SELECT doc_id, item_id, similarity, first_word::BIGINT AS first_word
 FROM documents JOIN f ON md5(coalesce(text, '')) = f.k
 """

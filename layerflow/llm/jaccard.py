@@ -297,7 +297,7 @@ def _together(sets: list[np.ndarray]) -> np.ndarray:
     several = np.bincount(place) > 1
     keep = several[place]
     place, owner = (np.cumsum(several) - 1)[place[keep]], owner[keep]
-    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    out = np.zeros((len(sets), len(sets)))
     slices = np.searchsorted(place, np.arange(0, (place[-1] if len(place) else -1) + 1 + 4096, 4096))
     for k, (a, b) in enumerate(zip(slices[:-1], slices[1:])):
         part = np.zeros((len(sets), 4096), dtype=np.float32)
@@ -306,22 +306,17 @@ def _together(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links between sets of the left and of the right side of a tile that connect what the
-    links of the tile connect.
-
-    Candidates are pairs whose sizes allow the similarity and that share a prefix shingle
-    under each of several orders by hash. Of the candidates, those that are not connected yet
-    are compared exactly.
-    """
+def _candidates(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The pairs (row above column) of the left and the right side of a tile whose sizes allow
+    the similarity and that share a prefix shingle under each of several orders by hash."""
     n = np.array([len(s) for s in sets])
     few, many = np.minimum.outer(n, n), np.maximum.outer(n, n)
     mask = (SIMILAR[1] * few >= SIMILAR[0] * many) & np.logical_and.outer(left, right)
     mask = np.triu(mask | mask.T, 1)
-    if not mask.any():
-        return []
     some = len(sets) > 8
     for order in range(ORDERS):
+        if not mask.any():
+            break
         first = []
         for s in sets:
             rank = _mix(s.view(np.uint64) ^ _SEEDS[order])
@@ -332,41 +327,95 @@ def links_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
         else:
             for a, b in np.argwhere(mask):
                 mask[a, b] = len(np.intersect1d(first[a], first[b], assume_unique=True)) > 0
-        if not mask.any():
-            return []
-    pairs, forest, out = np.argwhere(mask), _Forest(len(sets)), []
+    return mask
+
+
+def _similar(shared: int | np.ndarray, a: int | np.ndarray, b: int | np.ndarray) -> bool | np.ndarray:
+    return SIMILAR[1] * shared >= SIMILAR[0] * (a + b - shared)
+
+
+def links_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Links between sets of the left and of the right side of a tile that connect what the
+    links of the tile connect. Candidates that are not connected yet are compared exactly."""
+    pairs, forest, out = np.argwhere(_candidates(sets, left, right)), _Forest(len(sets)), []
     both = _together(sets) if len(pairs) > 4 * len(sets) else None
     for a, b in pairs:
         a, b = int(a), int(b)
         if forest.top(a) == forest.top(b):
             continue
         shared = int(both[a, b]) if both is not None else len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-        if SIMILAR[1] * shared >= SIMILAR[0] * (n[a] + n[b] - shared) and forest.join(a, b):
+        if _similar(shared, len(sets[a]), len(sets[b])) and forest.join(a, b):
             out.append((a, b))
     return out
 
 
-def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links of each tile; the rows of a tile come together."""
-    now, keys, bodies, left, right = None, [], [], [], []
-
-    def done() -> Iterator[pd.DataFrame]:
-        if len(keys) > 1:
-            found = links_in_tile(list(shingle_sets(bodies)), np.array(left), np.array(right))
-            if found:
-                yield pd.DataFrame({"a": [keys[a] for a, _ in found], "b": [keys[b] for _, b in found]})
+def all_links_in_tile(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """All links between sets of the left and of the right side of a tile, as a matrix (row
+    above column). Every candidate is compared exactly."""
+    mask = _candidates(sets, left, right)
+    pairs = np.argwhere(mask)
+    if len(pairs) > 4 * len(sets):
+        n = np.array([len(s) for s in sets])
+        return mask & _similar(_together(sets), n[:, None], n[None, :])
+    for a, b in pairs:
+        shared = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+        mask[a, b] = _similar(shared, len(sets[a]), len(sets[b]))
+    return mask
+
+
+def _connect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that connect each tile; the rows of a tile come together."""
+    for tile in _tiles(batches):
+        found = links_in_tile(list(shingle_sets(tile["body"])), tile["left"], tile["right"])
+        if found:
+            yield pd.DataFrame({"a": [tile["set"][a] for a, _ in found], "b": [tile["set"][b] for _, b in found]})
+
+
+def _count_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links that connect each tile, and a row (set, null, links) for each linked set of it with
+    the number of rows it links with. A pair that meets in several units counts in the first
+    of them."""
+    for tile in _tiles(batches):
+        linked = all_links_in_tile(list(shingle_sets(tile["body"])), tile["left"], tile["right"])
+        if not linked.any():
+            continue
+        forest = _Forest(len(linked))
+        found = [(int(a), int(b)) for a, b in np.argwhere(linked) if forest.join(int(a), int(b))]
+        if tile["units"][0] is not None:
+            linked &= _together([u[u < tile["unit"]] for u in (np.asarray(u, dtype=np.int64) for u in tile["units"])]) == 0
+        links = (linked | linked.T) @ np.array(tile["copies"], dtype=np.int64)
+        some = np.flatnonzero(links)
+        names = tile["set"]
+        yield pd.DataFrame(
+            {
+                "a": [names[a] for a, _ in found] + [names[i] for i in some],
+                "b": [names[b] for _, b in found] + [None] * len(some),
+                "links": [0] * len(found) + [int(links[i]) for i in some],
+            }
+        )
+
+
+def _tiles(batches: Iterator[pd.DataFrame]) -> Iterator[dict]:
+    """The tiles of more than one set, from rows that come together and sorted by set."""
+    now: tuple | None = None
+    tile: dict = {}
+
+    def done() -> Iterator[dict]:
+        if now is not None and len(tile["set"]) > 1:
+            sides = np.array(tile["chunk"])
+            yield {**tile, "unit": now[0], "left": sides == now[1], "right": sides == now[2]}
 
     for batch in batches:
-        for unit, one, two, chunk, key, body in batch.itertuples(index=False):
+        names = list(batch.columns[3:])
+        for unit, one, two, *rest in batch.itertuples(index=False):
             if (unit, one, two) != now:
                 yield from done()
-                now, keys, bodies, left, right = (unit, one, two), [], [], [], []
-            if keys and keys[-1] == key:
+                now, tile = (unit, one, two), {c: [] for c in names}
+            row = dict(zip(names, rest))
+            if tile["set"] and tile["set"][-1] == row["set"]:
                 continue
-            keys.append(key)
-            bodies.append(body)
-            left.append(chunk == one)
-            right.append(chunk == two)
+            for c, value in row.items():
+                tile[c].append(value)
     yield from done()
 
 
@@ -417,8 +466,8 @@ def _chunks(texts: str, shingles: str) -> Column:
 
 
 def compared_together(prefix: DataFrame) -> DataFrame:
-    """The units within which texts are compared: (text, unit, chunks, chunk), from the prefixes
-    (shingle, text, n).
+    """The units within which texts are compared: (text, unit, chunks, several, chunk), from the
+    prefixes (shingle, text, n). ``several``: the text's units are groups, of which it may have more.
 
     The texts of a prefix shingle are a group; groups of the same texts, as the shingles of one
     passage make them, are one. Groups that overlap form a block. A block is a unit if its texts
@@ -446,18 +495,30 @@ def compared_together(prefix: DataFrame) -> DataFrame:
         F.sum(F.col("texts") * F.col("chunks")).alias("sent")
     )
     shape = cut(shape.join(sent, "block").select("block", "chunks", (F.col("texts") * F.col("chunks") <= F.col("sent")).alias("whole")))
-    whole = blocks.join(shape.where("whole"), "block").select("text", F.col("block").alias("unit"), "chunks")
+    whole = blocks.join(shape.where("whole"), "block").select(
+        "text", F.col("block").alias("unit"), "chunks", F.lit(False).alias("several")
+    )
     chained = shape.where("not whole").select("block")
     apart = members.join(blocks.join(chained, "block").select(F.col("text").alias("lead")), "lead").select(
-        "text", F.xxhash64(F.lit("group"), "shingle").alias("unit"), _chunks("texts", "shingles").alias("chunks")
+        "text", F.xxhash64(F.lit("group"), "shingle").alias("unit"), _chunks("texts", "shingles").alias("chunks"), F.lit(True).alias("several")
     )
     both = whole.unionByName(apart)
     return both.withColumn("chunks", F.col("chunks").cast("int")).withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int"))
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def _counted(placed: DataFrame, rows: DataFrame) -> DataFrame:
+    """``placed`` with what counting links needs: how many rows each set of the text's name has
+    (``same``), and the units of a text that is in several (``units``, no more than its prefix)."""
+    same = rows.where("set is not null").groupBy("text", "set").agg(F.count(F.lit(1)).alias("copies"))
+    same = same.groupBy("text").agg(F.collect_list(F.struct("set", "copies")).alias("same"))
+    units = placed.where("several").groupBy("text").agg(F.collect_set("unit").alias("units"))
+    return placed.join(same, "text").join(units, "text", "left")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", links: bool = False) -> DataFrame:
     """(key, n_shingles, set, component_id): the component of every row under links between
-    texts with a similarity of 3/4 or more; its name is the smallest key in it.
+    texts with a similarity of 3/4 or more; its name is the smallest key in it. With ``links``
+    also ``n_links``, the number of other rows it links with.
 
     1. Texts with equal sets are one from the start; copies are sent once by each task.
     2. Shingles are counted over all texts, and each text's prefix by rarity is taken. Texts
@@ -465,29 +526,50 @@ def near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
        lies within a unit; no pairs are written.
     3. Units are compared in tiles of bounded size, each pair of chunks of a unit in a task of
        its own. In a tile, pairs must share prefixes under further orders, and are compared
-       exactly unless they are connected already; only links that connect are written.
-
-    Null texts are empty; rows without words are components of their own. Rows with a null key
-    can link others; a component's name is null only if all its keys are. Repeated rows get
-    equal values. No step gathers a block, a shingle's texts or the links anywhere.
+       exactly unless they are connected already; only links that connect are written. With
+       ``links`` all candidates are compared, and a set's number of links in the tile is
+       written, weighed by the copies of the sets it links with.
+
+    Null texts are empty; rows without words are components of their own and have no links. Rows
+    with a null key can link others; a component's name is null only if all its keys are. Repeated
+    rows get equal values, and each counts as a link of the others. No step gathers a block, a
+    shingle's texts or the links anywhere.
     """
     rows = cut(shingle_keys(docs, key))
     placed = cut(compared_together(cut(prefixes(docs, rows))))
+    if links:
+        placed = cut(_counted(placed, rows))
     sets = _members(docs, placed).join(placed, "text")
+    tile = ["unit", "one", "two"]
+    body = ["chunk", "set", "body"]
+    if links:
+        own = F.element_at(F.filter("same", lambda s: s["set"] == F.col("set")), 1)["copies"]
+        sets = sets.withColumn("copies", own)
+        body += ["copies", "units"]
     tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "unit", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), "chunk", "set", "body"
+        "unit", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), *body
     )
-    tiles = tiles.repartition("unit", "one", "two").sortWithinPartitions("unit", "one", "two", "set")
-    joined = components(tiles.mapInPandas(_compare, "a binary, b binary"))
-
-    smallest = rows.where("set is not null").groupBy("set").agg(F.min(key).alias("own"))
+    tiles = tiles.repartition(*tile).sortWithinPartitions(*tile, "set")
+    if links:
+        compared = cut(tiles.mapInPandas(_count_links, "a binary, b binary, links long"))
+        joined = components(compared.where("b is not null").select("a", "b"))
+    else:
+        joined = components(tiles.mapInPandas(_connect, "a binary, b binary"))
+
+    smallest = rows.where("set is not null").groupBy("set").agg(F.min(key).alias("own"), F.count(F.lit(1)).alias("copies"))
     named = joined.select(F.col("node").alias("set"), "root").join(smallest, "set")
     names = named.groupBy("root").agg(F.min("own").alias("name"))
     found = smallest.join(named.join(names, "root").select("set", "name"), "set", "left")
-    found = found.select("set", F.coalesce("name", "own").alias("component_id"))
+    found = found.select("set", F.coalesce("name", "own").alias("component_id"), "copies")
+    if links:
+        others = compared.where("b is null").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
+        found = found.join(others, "set", "left")
     out = rows.join(found, "set", "left")
-    name = F.when(F.col("set").isNull(), F.col(key)).otherwise(F.col("component_id"))
-    return out.select(key, "n_shingles", "set", name.alias("component_id"))
+    name = F.when(F.col("set").isNull(), F.col(key)).otherwise(F.col("component_id")).alias("component_id")
+    if not links:
+        return out.select(key, "n_shingles", "set", name)
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    return out.select(key, "n_shingles", "set", name, n_links.cast("long").alias("n_links"))
 
 
 def drop_near_copies(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -532,13 +614,13 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_n FROM s a JOIN s b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both_n >= 75 * (x.n + y.n - both_n)),
 r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id
-FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, coalesce(k.n_links, 0)::BIGINT AS n_links
+FROM documents d LEFT JOIN (SELECT a, count(*) AS n_links FROM l GROUP BY a) k ON k.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS component_id FROM r GROUP BY a) c ON c.a = d.doc_id
 """
 
 
 @query("op8_jaccard", OP8_SQL)
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The components of near copies among all documents."""
-    found = near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return found.select("doc_id", "n_shingles", "component_id")
+    """The components of near copies among all documents, and how many others each links with."""
+    found = near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"), links=True)
+    return found.select("doc_id", "n_shingles", "component_id", "n_links")

@@ -1,16 +1,17 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from layerflow.llm import jaccard
 from layerflow.llm.decontamination import drop_leaked, leaked_documents
 from layerflow.llm.extraction import default_field, extract_main_text
 from layerflow.llm.fingerprints import fingerprint_documents, fingerprint_texts, likeness_of, with_next
-from layerflow.llm.jaccard import drop_near_copies, near_copies, shingle_sets
+from layerflow.llm.jaccard import compared_together, drop_near_copies, near_copies, prefixes, shingle_keys, shingle_sets
 from layerflow.llm.language import fit_languages, label_documents, label_texts
 from layerflow.llm.licences import known_licences, scan_licences
 from layerflow.llm.mixing import mix_sources, mixed_copies, source_targets
@@ -329,7 +330,10 @@ def test_shingles_of_long_texts_are_those_of_short_ones():
 
 
 def test_near_copy_edges(odd, clashing, empty):
-    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_copies(odd).collect())
+    linked = near_copies(odd, links=True).collect()
+    got = Counter((r.doc_id, r.n_shingles, r.component_id) for r in linked)
+    assert got == Counter((r.doc_id, r.n_shingles, r.component_id) for r in near_copies(odd).collect())
+    assert Counter((r.doc_id, r.n_links) for r in linked if r.n_links) == Counter([(1, 2), (1, 2), (2, 2), (8, 1), (9, 1)])
     by_id = {d: c for d, _, c in got}
     assert by_id[1] == by_id[2] == 1 and by_id[8] == by_id[9] == 8 and by_id[3] == 3 and by_id[4] == 4
     assert sum(got.values()) == 14 and got[(1, 2, 1)] == 2
@@ -337,6 +341,38 @@ def test_near_copy_edges(odd, clashing, empty):
     assert kept.columns == clashing.columns
     assert Counter(r.doc_id for r in kept.collect()) == Counter([1, 3, 4, None, None, 5, 6, 7, 8, 10, 11])
     assert near_copies(empty).count() == 0 and drop_near_copies(empty).count() == 0
+    assert near_copies(empty, links=True).collect() == []
+
+
+def test_links_of_texts_chained_by_passages(spark, monkeypatch):
+    """Texts that meet in several groups, copies among them: each link counts once."""
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", 32)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    passages = [[word() for _ in range(30)] for _ in range(300)]
+    rows, texts = [], []
+    for i in range(1500):
+        text = [w for p in rng.sample(passages, 5) for w in p] if i % 3 else list(rng.choice(texts or [[word()] * 150]))
+        if i % 6 == 3:
+            text[rng.randrange(len(text))] = word()
+        texts.append(text)
+        rows.append((i, " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    several = compared_together(prefixes(docs, shingle_keys(docs))).groupBy("text").count().where("count > 1").count()
+    assert several > 500
+    found = {r.doc_id: (r.component_id, r.n_links) for r in near_copies(docs, links=True).collect()}
+    plain = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    sets = list(shingle_sets([t for _, t in rows]))
+    links, holders = Counter(), defaultdict(list)
+    for i, s in enumerate(sets):
+        shared = Counter(j for h in s.tolist() for j in holders[h])
+        for j, both in shared.items():
+            if 4 * both >= 3 * (len(s) + len(sets[j]) - both):
+                links.update((i, j))
+        for h in s.tolist():
+            holders[h].append(i)
+    assert {i: n for i, (_, n) in found.items()} == {i: links[i] for i in range(1500)}
+    assert {i: c for i, (c, _) in found.items()} == plain
 
 
 def test_large_family_of_near_copies(spark):
@@ -352,21 +388,25 @@ def test_large_family_of_near_copies(spark):
             copy[at] = word()
         rows.append((i, " ".join(copy)))
     rows += [(1000 + i, " ".join(passage + [word() for _ in range(60)])) for i in range(400)]
-    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_copies(docs).collect()}
+    linked = {r.doc_id: (r.component_id, r.n_links) for r in near_copies(docs, links=True).collect()}
     sets = [(i, s) for (i, _), s in zip(rows, shingle_sets([t for _, t in rows]))]
-    up = {i: i for i, _ in rows}
+    up, links = {i: i for i, _ in rows}, Counter()
 
     def top(i):
         return i if up[i] == i else top(up[i])
 
     for n, (a, x) in enumerate(sets):
         for b, y in sets[n + 1 :]:
-            if (a < 1000) == (b < 1000) and top(a) != top(b):
+            if (a < 1000) == (b < 1000):
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 if 4 * both >= 3 * (len(x) + len(y) - both):
+                    links.update((a, b))
                     p, q = top(a), top(b)
                     up[max(p, q)] = min(p, q)
     assert got == {i: top(i) for i, _ in rows}
+    assert linked == {i: (top(i), links[i]) for i, _ in rows}
 
 
 def test_quality_edges(spark, odd, clashing, empty):

@@ -101,7 +101,7 @@ def test_near_copies_by_brute_force(spark, texts):
         words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
         runs = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
         sets[i] = runs if len(words) >= 5 else {tuple(words)} if words else set()
-    up = {i: i for i in sets}
+    up, links = {i: i for i in sets}, Counter()
 
     def top(i):
         return i if up[i] == i else top(up[i])
@@ -111,10 +111,11 @@ def test_near_copies_by_brute_force(spark, texts):
         for b in ids[n + 1 :]:
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                links.update((a, b))
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in QUERIES["op8_jaccard"](spark, DATA).collect()}
-    assert got == {i: (len(sets[i]), top(i)) for i in ids}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in QUERIES["op8_jaccard"](spark, DATA).collect()}
+    assert got == {i: (len(sets[i]), top(i), links[i]) for i in ids}
     assert any(top(i) != i for i in ids)
 
 
