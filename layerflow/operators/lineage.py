@@ -79,35 +79,82 @@ def waves(edges: DataFrame) -> DataFrame:
     """(node, wave): length of the longest path that ends in the node, so all nodes of one
     wave can be built at the same time. Raises when the edges contain a cycle.
 
-    Each round takes the nodes whose parents are all done and notes that for their children;
-    only children noted in a round are looked at for the next, and every edge is used once.
+    A node with one parent lies one beyond it, so chains and trees of such nodes are shortened
+    by doubling, and the edges that are left lead from their tops to nodes with several
+    parents. All nodes without parents count as one, which makes others nodes with one parent:
+    the next round takes these. Edges of nodes that are settled are not read again.
     """
-    links = _links(edges)
-    zero = F.lit(0).cast("bigint")
-    ends = F.array(
-        F.struct(F.col("src").alias("node"), zero.alias("n")),
-        F.struct(F.col("dst").alias("node"), F.lit(1).cast("bigint").alias("n")),
-    )
-    parents = cut(links.select(F.inline(ends)).groupBy("node").agg(F.sum("n").alias("n_parents")))
-    ready = parents.where("n_parents = 0").select("node")
-    done, noted, wave = None, None, 0
-    while not ready.isEmpty():
-        peeled = ready.withColumn("wave", F.lit(wave))
-        done = peeled if done is None else done.unionByName(peeled)
-        freed = cut(
-            links.join(ready, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("n"))
+    links = cut(edges.select("src", "dst").where("src IS NOT NULL AND dst IS NOT NULL"))
+    # a null src stands for all nodes without parents
+    left, rounds, parented = links.withColumn("hops", F.lit(1).cast("bigint")), [], None
+    while True:
+        grouped = left.groupBy(F.col("dst").alias("node")).agg(
+            F.min("src").alias("low"), F.max("src").alias("high"), F.max(F.col("src").isNull()).alias("top"), F.max("hops").alias("hops")
+        )
+        several = F.col("low").isNotNull() & (F.col("top") | (F.col("low") != F.col("high")))
+        ups = _climbed(
+            grouped.select(
+                "node",
+                F.when(~several, F.col("low")).alias("up"),
+                F.when(several, F.lit(0)).otherwise(F.col("hops")).alias("hops"),
+                (~several & F.col("low").isNotNull()).alias("going"),
+                several.alias("several"),
+            )
+        )
+        parented = ups if parented is None else parented
+        rounds.append(ups.where("NOT several").select("node", "up", "hops"))
+        open_nodes = ups.where("several").select("node")
+        n_open = open_nodes.count()
+        if not n_open:
+            break
+        if n_open == ups.count():
+            raise ValueError("waves: the edges contain a cycle")
+        above = ups.select(
+            F.col("node").alias("src"), F.when(F.col("several"), F.col("node")).otherwise(F.col("up")).alias("up"), F.col("hops").alias("more")
+        )
+        met = left.where("src IS NOT NULL").join(above, "src", "left")
+        met = met.select(F.col("up").alias("src"), "dst", (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        met = met.unionByName(left.where("src IS NULL")).groupBy("src", "dst").agg(F.max("hops").alias("hops"))
+        left = cut(met.join(open_nodes.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst", "hops"))
+    tops = links.select(F.col("src").alias("node")).distinct().join(parented.select("node"), "node", "left_anti")
+    found = tops.withColumn("wave", F.lit(0).cast("bigint"))
+    known = None
+    for number, some in enumerate(reversed(rounds), 1):
+        settled = some.where("up IS NULL").select("node", F.col("hops").alias("wave"))
+        if known is not None:
+            base = known.select(F.col("node").alias("up"), "wave")
+            beyond = some.where("up IS NOT NULL").join(base, "up").select("node", (F.col("wave") + F.col("hops")).alias("wave"))
+            settled = known.unionByName(settled).unionByName(beyond)
+        known = cut(settled) if number % REWRITE_EVERY == 0 else settled
+    return found.unionByName(known).select("node", F.col("wave").cast("int").alias("wave"))
+
+
+def _climbed(ups: DataFrame) -> DataFrame:
+    """Pointers (node, up, hops, going, several) moved up by doubling, to a node with several
+    parents or past the last parent, where ``up`` is null. Only pointers still going are looked
+    up; what goes on after enough doublings to cross the whole table runs in a circle."""
+    ups = cut(ups)
+    n = ups.where("going").count()
+    for _ in range(ceil(log2(max(n, 2))) + 2):
+        if not n:
+            return ups
+        onward = ups.select(
+            F.col("node").alias("up"), F.col("up").alias("up_2"), F.col("hops").alias("hops_2"),
+            F.col("going").alias("going_2"), F.col("several").alias("stop"),
+        )
+        met = ups.where("going").join(onward, "up", "left")
+        moved = met.select(
+            "node",
+            F.when(F.col("stop"), F.col("up")).otherwise(F.col("up_2")).alias("up"),
+            (F.col("hops") + F.coalesce("hops_2", F.lit(0))).alias("hops"),
+            F.coalesce("going_2", F.lit(False)).alias("going"),
+            "several",
         )
-        noted = freed if noted is None else noted.unionByName(freed)
-        sums = noted.join(freed.select("node"), "node", "left_semi").groupBy("node").agg(F.sum("n").alias("n"))
-        ready = cut(parents.join(sums, "node").where("n = n_parents").select("node"))
-        wave += 1
-        if wave % REWRITE_EVERY == 0:
-            done, noted = cut(done), cut(noted.groupBy("node").agg(F.sum("n").alias("n")))
-    if done is None:
-        done = parents.select("node", F.lit(0).alias("wave")).where("false")
-    if done.count() < parents.count():
+        ups = cut(ups.where("NOT going").unionByName(moved))
+        n = ups.where("going").count()
+    if n:
         raise ValueError("waves: the edges contain a cycle")
-    return done
+    return ups
 
 
 def cyclic_waves(edges: DataFrame) -> DataFrame:

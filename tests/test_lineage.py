@@ -84,6 +84,24 @@ def test_waves_are_longest_paths_and_cycles_raise(spark, rows):
     assert waves(frame(spark, [], "src string, dst string")).count() == 0
 
 
+def test_waves_of_long_chains_take_few_rounds(spark, rows, monkeypatch):
+    """Tables written grow with the logarithm of a chain, and edges into one node do not count."""
+    from layerflow.operators import lineage
+
+    written = []
+    monkeypatch.setattr(lineage, "cut", lambda df, cut=lineage.cut: written.append(1) or cut(df))
+    chain = [(i, i + 1) for i in range(40)]
+    got = rows(waves(frame(spark, [*chain, *chain, *[(i, 99) for i in range(41)]], "src int, dst int")))
+    assert got == sorted([*[(i, i) for i in range(41)], (99, 41)], key=repr)
+    assert len(written) < 20
+
+
+@pytest.mark.parametrize("edges", [[(1, 1)], [(1, 2), (2, 3), (3, 4), (4, 1)], [(0, 1), (1, 2), (2, 1)], [(0, 1), (9, 1), (1, 2), (2, 1), (2, 3)]])
+def test_waves_raise_on_circles_of_any_kind(spark, edges):
+    with pytest.raises(ValueError, match="cycle"):
+        waves(frame(spark, edges, "src int, dst int"))
+
+
 def test_node_roles(spark):
     edges = frame(spark, [("a", "c"), ("b", "c"), ("c", "d"), ("c", "e")], "src string, dst string")
     nodes = frame(spark, [(n,) for n in "abcdex"], "node string")
