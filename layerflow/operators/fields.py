@@ -35,61 +35,101 @@ def chain_actions(actions: DataFrame, edges: DataFrame) -> tuple[DataFrame, Data
     return renamed, whole
 
 
-def _passed_on(arrived: DataFrame, made: DataFrame, gone: DataFrame) -> DataFrame:
-    """What steps put out of the columns that arrive at them."""
-    written = made.select("step", "name").distinct()
-    kept = arrived.join(written.unionByName(gone).distinct(), ["step", "name"], "left_anti")
+def _passed_on(arrived: DataFrame, made: DataFrame, blocked: DataFrame) -> DataFrame:
+    """What steps put out of the columns that arrive at them; each table has no row twice.
+    ``blocked`` (step, name) lists the columns that are made or removed."""
+    kept = arrived.join(blocked, ["step", "name"], "left_anti")
     derived = made.join(arrived.withColumnRenamed("name", "source"), ["step", "source"])
-    derived = derived.select("step", "name", "origin_step", "origin")
+    derived = derived.select("step", "name", "origin_step", "origin").distinct()
     # a column that is made from nothing that exists is its own origin
-    fresh = written.join(derived.select("step", "name").distinct(), ["step", "name"], "left_anti")
+    fresh = made.select("step", "name").distinct().join(derived.select("step", "name").distinct(), ["step", "name"], "left_anti")
     fresh = fresh.select("step", "name", F.col("step").alias("origin_step"), F.col("name").alias("origin"))
-    return kept.unionByName(derived).unionByName(fresh).distinct()
+    return kept.unionByName(derived).unionByName(fresh)
+
 
+def _stored(rows: DataFrame, label: str) -> tuple[str, T.StructType]:
+    """Rows written in one folder for each wave: its path, and the schema to read it with."""
+    path = scratch_path(rows.sparkSession, label)
+    rows = rows.withColumn("wave", F.col("wave").cast("int"))
+    rows.write.partitionBy("wave").parquet(path)
+    return path, T.StructType([*[f for f in rows.schema.fields if f.name != "wave"], T.StructField("wave", T.IntegerType())])
 
-def _propagate(edges: DataFrame, inputs: DataFrame, actions: DataFrame, removed: DataFrame):
-    """(arrived, made, gone): all columns that arrive at steps, with their origins, the distinct
-    actions and the removed columns. Steps are done wave by wave, one job each: what a wave's
-    steps put out is written to the waves that take it, so every row is read once."""
+
+def _dealt(edges: DataFrame, inputs: DataFrame, actions: DataFrame, removed: DataFrame):
+    """(inputs, made, blocked, onward, last): the tables by the wave of their step, each written
+    once, so that a wave reads its own rows only. ``onward`` (src, dst, to) leads to the
+    wave ``to`` of the next step; ``inputs`` is a path and a schema, as more rows are added."""
     spark = edges.sparkSession
-    steps = [edges.selectExpr("src AS step"), edges.selectExpr("dst AS step"), inputs.select("step"), actions.select("step")]
-    nodes = steps[0].unionByName(steps[1]).unionByName(steps[2]).unionByName(steps[3]).where("step is not null").distinct()
     pairs = cut(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
-    placed = nodes.join(waves(pairs).withColumnRenamed("node", "step"), "step", "left")
-    placed = cut(placed.select("step", F.coalesce("wave", F.lit(0)).cast("int").alias("wave")))
-    onward = cut(pairs.join(placed.select(F.col("step").alias("dst"), "wave"), "dst"))
-    made = actions.select("step", "name", "source").where("step is not null and name is not null").distinct()
-    by_wave = scratch_path(spark, "field-actions")
-    made.join(placed, "step").write.partitionBy("wave").parquet(by_wave)
-    made_schema = T.StructType([*made.schema.fields, T.StructField("wave", T.IntegerType())])
-    gone = cut(removed.select("step", "name").distinct())
-    own = inputs.select("step", "column").where("step is not null and column is not null").distinct()
-    start = own.select("step", F.col("column").alias("name"), F.col("step").alias("origin_step"), F.col("column").alias("origin"))
-    inbox = scratch_path(spark, "fields")
-    schema = T.StructType([*start.schema.fields, T.StructField("wave", T.IntegerType())])
-    start.join(placed, "step").write.partitionBy("wave").parquet(inbox)
-    last = placed.agg(F.max("wave")).first()[0]
-    for number in range(last or 0):
-        arrived = spark.read.schema(schema).parquet(inbox).where(F.col("wave") == number).drop("wave").distinct()
-        mine = spark.read.schema(made_schema).parquet(by_wave).where(F.col("wave") == number).drop("wave")
-        sent = _passed_on(arrived, mine, gone).withColumnRenamed("step", "src").join(onward, "src")
-        sent = sent.select(F.col("dst").alias("step"), "name", "origin_step", "origin", "wave")
-        sent.write.partitionBy("wave").mode("append").parquet(inbox)
-    arrived = spark.read.schema(schema).parquet(inbox).drop("wave").distinct()
-    return arrived, spark.read.schema(made_schema).parquet(by_wave).drop("wave"), gone
+    # a step without a row here has none before it
+    later = cut(waves(pairs).where("wave > 0").select(F.col("node").alias("step"), "wave"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(later, "step", "left").withColumn("wave", F.coalesce("wave", F.lit(0)))
+
+    def reread(rows: DataFrame, label: str) -> DataFrame:
+        path, schema = _stored(rows, label)
+        return spark.read.schema(schema).parquet(path)
+
+    made = reread(placed(actions.select("step", "name", "source").where("step is not null and name is not null").distinct()), "field-actions")
+    gone = placed(removed.select("step", "name").where("step is not null and name is not null"))
+    blocked = reread(made.select("step", "name", "wave").unionByName(gone).distinct(), "field-blocked")
+    to = later.select(F.col("step").alias("dst"), F.col("wave").alias("to"))
+    onward = placed(pairs.join(to, "dst").withColumnRenamed("src", "step")).withColumnRenamed("step", "src")
+    own = inputs.select("step", F.col("column").alias("name")).where("step is not null and name is not null").distinct()
+    last = later.agg(F.max("wave")).first()[0] or 0
+    return placed(own), made, blocked, reread(onward, "field-edges"), last
+
+
+def _of_wave(rows: DataFrame, number: int) -> DataFrame:
+    return rows.where(F.col("wave") == number).drop("wave")
+
+
+def _sent(rows: DataFrame, onward: DataFrame) -> DataFrame:
+    """What steps put out, as rows of the steps that take it and their waves."""
+    met = rows.withColumnRenamed("step", "src").join(onward, "src")
+    return met.select(F.col("dst").alias("step"), *[c for c in rows.columns if c != "step"], F.col("to").alias("wave"))
 
 
 def field_lineage(edges: DataFrame, inputs: DataFrame, actions: DataFrame, removed: DataFrame) -> DataFrame:
     """(step, name, origin_step, origin): for every column a step puts out, the columns of
     ``inputs`` (step, column) it comes from, over all ways through the graph; a column made from
     nothing, or only from columns that are not there, is its own origin. Columns of several
-    parents with one name are one column. Raises when the steps run in a circle."""
-    return _passed_on(*_propagate(edges, inputs, actions, removed))
+    parents with one name are one column. Raises when the steps run in a circle.
+
+    Steps are done wave by wave: what a wave's steps put out is written, as part of the result
+    and to the waves that take it, so every step is worked out once.
+    """
+    spark = edges.sparkSession
+    own, made, blocked, onward, last = _dealt(edges, inputs, actions, removed)
+    start = own.select("step", "name", F.col("step").alias("origin_step"), F.col("name").alias("origin"), "wave")
+    inbox, schema = _stored(start, "fields")
+    paths = []
+    for number in range(last + 1):
+        arrived = _of_wave(spark.read.schema(schema).parquet(inbox), number).distinct()
+        paths.append(scratch_path(spark, "field-results"))
+        _passed_on(arrived, _of_wave(made, number), _of_wave(blocked, number)).write.parquet(paths[-1])
+        if number < last:
+            put_out = spark.read.schema(T.StructType(schema.fields[:-1])).parquet(paths[-1])
+            _sent(put_out, _of_wave(onward, number)).write.partitionBy("wave").mode("append").parquet(inbox)
+    return spark.read.schema(T.StructType(schema.fields[:-1])).parquet(*paths)
 
 
 def absent_fields(edges: DataFrame, inputs: DataFrame, actions: DataFrame, removed: DataFrame) -> DataFrame:
     """(step, name, source): uses of a column that no step before has created, or that one has
-    removed or renamed, on every way to the step."""
-    arrived, made, _ = _propagate(edges, inputs, actions, removed)
-    known = arrived.select("step", F.col("name").alias("source")).distinct()
-    return made.where("source is not null").join(known, ["step", "source"], "left_anti").select("step", "name", "source")
+    removed or renamed, on every way to the step. Raises when the steps run in a circle.
+
+    Only names go from wave to wave. What a step makes is there after it, whatever arrives, so
+    that is sent on at once, and a wave only passes on what it neither makes nor removes.
+    """
+    spark = edges.sparkSession
+    own, made, blocked, onward, last = _dealt(edges, inputs, actions, removed)
+    written = made.select("step", "name").distinct()
+    inbox, schema = _stored(own.unionByName(_sent(written, onward.drop("wave"))), "field-names")
+    for number in range(last):
+        arrived = _of_wave(spark.read.schema(schema).parquet(inbox), number).distinct()
+        kept = arrived.join(_of_wave(blocked, number), ["step", "name"], "left_anti")
+        _sent(kept, _of_wave(onward, number)).write.partitionBy("wave").mode("append").parquet(inbox)
+    known = spark.read.schema(schema).parquet(inbox).select("step", F.col("name").alias("source")).distinct()
+    uses = made.where("source is not null").select("step", "name", "source")
+    return uses.join(known, ["step", "source"], "left_anti").select("step", "name", "source")

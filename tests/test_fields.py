@@ -78,3 +78,26 @@ def test_a_circle_of_steps_is_an_error(spark):
     none = spark.createDataFrame([], "step string, name string")
     with pytest.raises(ValueError, match="cycle"):
         field_lineage(edges, none.withColumnRenamed("name", "column"), spark.createDataFrame([], "step string, name string, source string"), none)
+
+
+def chain(spark):
+    """Six steps in a row; every step makes a column, the second removes one."""
+    edges = spark.createDataFrame([(f"s{k}", f"s{k + 1}") for k in range(5)], "src string, dst string")
+    inputs = spark.createDataFrame([("s0", "a"), ("s0", "b")], "step string, column string")
+    actions = spark.createDataFrame([(f"s{k}", f"m{k}", "a" if k % 2 else "b") for k in range(6)], "step string, name string, source string")
+    return edges, inputs, actions, spark.createDataFrame([("s1", "b"), ("s4", "m0")], "step string, name string")
+
+
+def test_every_step_is_worked_out_once(spark, monkeypatch):
+    """A wave takes the actions and removals of its own steps, and no step is done again."""
+    from layerflow.operators import fields
+
+    taken = []
+    plain = fields._passed_on
+    monkeypatch.setattr(fields, "_passed_on", lambda *tables: taken.append([t.count() for t in tables[1:]]) or plain(*tables))
+    found = {tuple(r) for r in field_lineage(*chain(spark)).where("step = 's5'").collect()}
+    assert found == {
+        ("s5", "a", "s0", "a"), ("s5", "m1", "s0", "a"), ("s5", "m2", "s2", "m2"), ("s5", "m3", "s0", "a"),
+        ("s5", "m4", "s4", "m4"), ("s5", "m5", "s0", "a"),
+    }
+    assert [sum(n) for n in zip(*taken, strict=True)] == [6, 8]
