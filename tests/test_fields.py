@@ -101,3 +101,14 @@ def test_every_step_is_worked_out_once(spark, monkeypatch):
         ("s5", "m4", "s4", "m4"), ("s5", "m5", "s0", "a"),
     }
     assert [sum(n) for n in zip(*taken, strict=True)] == [6, 8]
+
+
+def test_absent_fields_carry_names_only(spark, monkeypatch):
+    """No origins are written for uses of columns that are not there."""
+    from layerflow.operators import fields
+
+    paths = []
+    plain = fields.scratch_path
+    monkeypatch.setattr(fields, "scratch_path", lambda *args: paths.append(plain(*args)) or paths[-1])
+    assert {tuple(r) for r in absent_fields(*chain(spark)).collect()} == {("s2", "m2", "b"), ("s4", "m4", "b")}
+    assert paths and not any("origin" in spark.read.parquet(p).columns for p in paths)
