@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from layerflow.llm.common import components, query, small, table, text_or_empty
-from layerflow.session import cut
+from layerflow.session import cut, shuffles_freed
 
 SHINGLE = 5
 #: Two texts link when SIMILAR[1] * shared shingles >= SIMILAR[0] * all their shingles.
@@ -22,6 +23,9 @@ SIMILAR = (3, 4)
 ORDERS = 2
 #: Texts and shingles of one side of a tile: what one task compares at a time.
 TILE_TEXTS, TILE_SHINGLES = 256, 1 << 18
+#: About what a round of tiles sends at most, as a share of the shingles of all rows. A text of a large
+#: unit goes into many tiles, so all tiles at once would need disk by the square of the unit.
+ROUND = 0.5
 #: Counts of a shingle's texts stop here; more frequent ones are all the most frequent.
 MOST = 1 << 20
 #: Bytes of text that are hashed at a time.
@@ -252,11 +256,12 @@ def prefixes(docs: DataFrame, rows: DataFrame) -> DataFrame:
     The order puts three eighths of all shingles first, chosen by hash: those by the number of
     texts that have them and then by hash; the others follow by hash alone. So shingles of
     passages that many texts share come late. The numbers are counted over all texts. Sets
-    with a similarity of 3/4 share one of their first n - ceil(3 n / 4) + 1 shingles.
+    with a similarity of 3/4 share one of their first n - ceil(3 n / 4) + 1 shingles. The shared
+    ones are written, so that the shuffle of all of them is over before they are ranked.
     """
     sent = docs.select(text_or_empty().alias("text")).mapInArrow(_spread, "shingle long, text long")
     dealt = sent.repartition("shingle").sortWithinPartitions("shingle", "text")
-    shared = dealt.mapInArrow(_shared, "shingle long, text long, texts long")
+    shared = cut(dealt.mapInArrow(_shared, "shingle long, text long, texts long"))
     sizes = rows.where("text is not null").groupBy("text").agg(F.max("n_shingles").alias("n"), F.max("n_first").alias("n_first"))
     early, own = F.col("shingle") < FIRST, Window.partitionBy("text")
     ranked = shared.join(sizes, "text").select(
@@ -466,7 +471,7 @@ def _chunks(texts: str, shingles: str) -> Column:
 
 
 def compared_together(prefix: DataFrame) -> DataFrame:
-    """The units within which texts are compared: (text, unit, chunks, several, chunk), from the
+    """The units within which texts are compared: (text, n, unit, chunks, several, chunk), from the
     prefixes (shingle, text, n). ``several``: the text's units are groups, of which it may have more.
 
     The texts of a prefix shingle are a group; groups of the same texts, as the shingles of one
@@ -496,11 +501,11 @@ def compared_together(prefix: DataFrame) -> DataFrame:
     )
     shape = cut(shape.join(sent, "block").select("block", "chunks", (F.col("texts") * F.col("chunks") <= F.col("sent")).alias("whole")))
     whole = blocks.join(shape.where("whole"), "block").select(
-        "text", F.col("block").alias("unit"), "chunks", F.lit(False).alias("several")
+        "text", "n", F.col("block").alias("unit"), "chunks", F.lit(False).alias("several")
     )
     chained = shape.where("not whole").select("block")
     apart = members.join(blocks.join(chained, "block").select(F.col("text").alias("lead")), "lead").select(
-        "text", F.xxhash64(F.lit("group"), "shingle").alias("unit"), _chunks("texts", "shingles").alias("chunks"), F.lit(True).alias("several")
+        "text", "n", F.xxhash64(F.lit("group"), "shingle").alias("unit"), _chunks("texts", "shingles").alias("chunks"), F.lit(True).alias("several")
     )
     both = whole.unionByName(apart)
     return both.withColumn("chunks", F.col("chunks").cast("int")).withColumn("chunk", F.pmod(F.xxhash64("text"), F.col("chunks")).cast("int"))
@@ -515,6 +520,48 @@ def _counted(placed: DataFrame, rows: DataFrame) -> DataFrame:
     return placed.join(same, "text").join(units, "text", "left")
 
 
+def _rounds(placed: DataFrame, rows: DataFrame) -> int:
+    """In how many rounds the tiles are compared, so that each sends about ROUND at most."""
+    sent = placed.agg(F.sum(F.col("n") * F.col("chunks"))).first()[0] or 0
+    return max(1, math.ceil(sent / (ROUND * max(1, rows.agg(F.sum("n_shingles")).first()[0] or 0))))
+
+
+def _tile_rows(bodies: DataFrame, placed: DataFrame, number: int, rounds: int, links: bool) -> DataFrame:
+    """The rows of the tiles of one round, those of a tile together and sorted by set. A tile's
+    round follows from the sum of its two chunks, which is the same for the texts of both."""
+    at = F.col("chunk") + F.pmod(F.xxhash64("unit"), F.lit(rounds))
+    first = F.pmod(F.lit(number) - at, F.lit(rounds)).cast("int")
+    sets = bodies.join(placed.withColumn("first", first).where("first < chunks"), "text")
+    tile = ["unit", "one", "two"]
+    body = ["chunk", "set", "body"]
+    if links:
+        own = F.element_at(F.filter("same", lambda s: s["set"] == F.col("set")), 1)["copies"]
+        sets = sets.withColumn("copies", own)
+        body += ["copies", "units"]
+    others = F.sequence(F.col("first"), F.col("chunks") - 1, F.lit(rounds))
+    tiles = sets.withColumn("other", F.explode(others)).select(
+        "unit", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), *body
+    )
+    return tiles.repartition(*tile).sortWithinPartitions(*tile, "set")
+
+
+def _compared(docs: DataFrame, placed: DataFrame, rounds: int, links: bool) -> DataFrame:
+    """What all tiles find, as ``_count_links`` or ``_connect`` give it. Each round's rows are
+    sent and gone before the next one's; with several rounds the texts are written once."""
+    bodies = _members(docs, placed).repartition("text").dropDuplicates(["text", "set"])
+    if rounds > 1:
+        bodies = cut(bodies)
+    out = None
+    for number in range(rounds):
+        tiles = _tile_rows(bodies, placed, number, rounds, links)
+        if links:
+            found = cut(tiles.mapInPandas(_count_links, "a binary, b binary, links long"))
+        else:
+            found = cut(tiles.mapInPandas(_connect, "a binary, b binary"))
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 def near_copies(docs: DataFrame, key: str = "doc_id", links: bool = False) -> DataFrame:
     """(key, n_shingles, set, component_id): the component of every row under links between
     texts with a similarity of 3/4 or more; its name is the smallest key in it. With ``links``
@@ -528,33 +575,24 @@ def near_copies(docs: DataFrame, key: str = "doc_id", links: bool = False) -> Da
        its own. In a tile, pairs must share prefixes under further orders, and are compared
        exactly unless they are connected already; only links that connect are written. With
        ``links`` all candidates are compared, and a set's number of links in the tile is
-       written, weighed by the copies of the sets it links with.
+       written, weighed by the copies of the sets it links with. Tiles that would send the texts
+       of large units too often at once are compared in rounds (see ``ROUND``).
+
+    Every step's shuffle files are removed when the step is written.
 
     Null texts are empty; rows without words are components of their own and have no links. Rows
     with a null key can link others; a component's name is null only if all its keys are. Repeated
     rows get equal values, and each counts as a link of the others. No step gathers a block, a
     shingle's texts or the links anywhere.
     """
-    rows = cut(shingle_keys(docs, key))
-    placed = cut(compared_together(cut(prefixes(docs, rows))))
-    if links:
-        placed = cut(_counted(placed, rows))
-    sets = _members(docs, placed).join(placed, "text")
-    tile = ["unit", "one", "two"]
-    body = ["chunk", "set", "body"]
-    if links:
-        own = F.element_at(F.filter("same", lambda s: s["set"] == F.col("set")), 1)["copies"]
-        sets = sets.withColumn("copies", own)
-        body += ["copies", "units"]
-    tiles = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
-        "unit", F.least("chunk", "other").alias("one"), F.greatest("chunk", "other").alias("two"), *body
-    )
-    tiles = tiles.repartition(*tile).sortWithinPartitions(*tile, "set")
-    if links:
-        compared = cut(tiles.mapInPandas(_count_links, "a binary, b binary, links long"))
+    with shuffles_freed(docs.sparkSession):
+        rows = cut(shingle_keys(docs, key))
+        placed = cut(compared_together(cut(prefixes(docs, rows))))
+        rounds = _rounds(placed, rows)
+        if links:
+            placed = cut(_counted(placed, rows))
+        compared = _compared(docs, placed, rounds, links)
         joined = components(compared.where("b is not null").select("a", "b"))
-    else:
-        joined = components(tiles.mapInPandas(_connect, "a binary, b binary"))
 
     smallest = rows.where("set is not null").groupBy("set").agg(F.min(key).alias("own"), F.count(F.lit(1)).alias("copies"))
     named = joined.select(F.col("node").alias("set"), "root").join(smallest, "set")

@@ -58,6 +58,25 @@ def shared_folder(spark: SparkSession) -> str:
     return made
 
 
+# By this setting Spark removes an execution's shuffle files at its end.
+FREE_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Remove the shuffle files of each result computed within the block as soon as it is there.
+
+    Otherwise they stay until the driver happens to collect its garbage, and the disk must hold
+    those of all steps at once. What is computed after the block is not affected.
+    """
+    before = spark.conf.get(FREE_CONF, None)
+    spark.conf.set(FREE_CONF, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(FREE_CONF) if before is None else spark.conf.set(FREE_CONF, before)
+
+
 # The paths made in each open scope, innermost last.
 _SCOPES: list[list[str]] = []
 

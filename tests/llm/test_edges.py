@@ -1,6 +1,8 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing names."""
 
 import random
+import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -18,6 +20,7 @@ from layerflow.llm.mixing import mix_sources, mixed_copies, source_targets
 from layerflow.llm.privacy import find_personal_data, sanitise_documents
 from layerflow.llm.quality import Model, fit_quality, score_quality
 from layerflow.llm.sharding import jump, number_in_shards, shard_documents
+from layerflow.session import FREE_CONF, cut
 
 
 def test_jump_moves_only_to_the_new_shard():
@@ -409,6 +412,59 @@ def test_large_family_of_near_copies(spark):
     assert linked == {i: (top(i), links[i]) for i, _ in rows}
 
 
+def _family(rng, size, alone):
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    base, rows = [word() for _ in range(60)], []
+    for i in range(size):
+        copy = list(base)
+        copy[rng.randrange(60)] = word()
+        rows.append((i, " ".join(copy)))
+    return rows + [(1000 + i, " ".join(word() for _ in range(60))) for i in range(alone)]
+
+
+def test_large_units_are_compared_in_rounds(spark, monkeypatch):
+    """No round sends the texts of a family to all its tiles, and all rounds find all links."""
+    monkeypatch.setattr(jaccard, "TILE_TEXTS", 16)
+    monkeypatch.setattr(jaccard, "ROUND", 2.5)
+    rows = _family(random.Random(9), 200, 100)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = shingle_keys(docs)
+    placed = cut(compared_together(prefixes(docs, keys)))
+    sent, rounds = placed.agg(F.sum("chunks")).first()[0], jaccard._rounds(placed, keys)
+    assert sent > 8 * 200 and rounds > 2
+    bodies = docs.withColumnRenamed("text", "body").join(keys, "doc_id").select("text", "set", "body")
+    parts = [jaccard._tile_rows(bodies, placed, k, rounds, False).select("unit", "one", "two", "set").collect() for k in range(rounds)]
+    assert max(len(p) for p in parts) <= 1.2 * 2.5 * len(rows) and sum(len(p) for p in parts) == sent
+    owners = [{tuple(r)[:3] for r in p} for p in parts]
+    assert sum(len(o) for o in owners) == len(set().union(*owners))
+    found = {r.doc_id: (r.component_id, r.n_links) for r in near_copies(docs, links=True).collect()}
+    links, sets = Counter(), list(shingle_sets([t for _, t in rows[:200]]))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(set(s.tolist()) & set(sets[j].tolist()))
+            if 4 * both >= 3 * (len(s) + len(sets[j]) - both):
+                links.update((i, j))
+    assert found == {i: (0 if i < 1000 else i, links[i]) for i, _ in rows}
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    """Each step's shuffle files are gone when its rows are written, whatever the driver's heap."""
+
+    def shuffles():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return set(re.findall(r"shuffle_(\d+)_", manager.getAllFiles().mkString(" ")))
+
+    before = shuffles()
+    docs = spark.createDataFrame(_family(random.Random(10), 30, 100), "doc_id long, text string")
+    found = near_copies(docs, links=True)
+    until = time.time() + 20
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert shuffles() <= before
+    assert spark.conf.get(FREE_CONF, None) is None
+    assert found.where("component_id = 0").count() == 30
+
+
 def test_quality_edges(spark, odd, clashing, empty):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (8, None), (9, 7)], "doc_id long, quality int")
     model = fit_quality(odd, labels)
